@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, urls
+from . import bpe, decontaminate, langid, quality, toxicity, urls
 from .common import fold_of, table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold_of("doc_id", 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold_of("doc_id", 5) != 0))
     return langid.identify(docs, model).select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold_of("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rules_table(spark, URL_RULES))
 
@@ -36,6 +48,10 @@ select page_id, host, path,
 """
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,8 +60,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op9_decontaminate": op9_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
 }
 SQL = {"op5_url_filter": OP5_SQL}
