@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, toxicity, urls
+from . import bpe, decontaminate, langid, minhash, quality, substring, toxicity, urls
 from .common import fold_of, table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -48,6 +48,40 @@ select page_id, host, path,
 """
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+p as (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50),
+k as (select doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) as h from p),
+m as (select h, min(doc_id) as first_id from k group by h),
+r as (select distinct doc_id, unnest(range(i, i + 50)) as pos from k join m using (h) where k.doc_id > m.first_id),
+c as (select doc_id, list(pos) as gone from r group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, len(coalesce(gone, []))::bigint as n_removed,
+    sha256(coalesce(array_to_string(list_filter(ws, lambda x, j: not list_contains(coalesce(gone, []), j)), ' '), '')) as kept_sha256
+from w left join c using (doc_id)
+"""
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP8_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+j as (select a.doc_id as x, b.doc_id as y, count(*) as both_n from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from j join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * both_n >= 85 * (nx.n + ny.n - both_n)),
+reach as (select doc_id as a, doc_id as b from w union select r.a, l.y from reach r join l on l.x = r.b),
+c as (select a as doc_id, min(b) as component_id from reach group by a)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, w.doc_id = component_id as kept
+from w join c using (doc_id) left join n using (doc_id)
+"""
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +98,9 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op7_substrings": op7_substrings,
+    "op8_minhash": op8_minhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
 }
-SQL = {"op5_url_filter": OP5_SQL}
+SQL = {"op5_url_filter": OP5_SQL, "op7_substrings": OP7_SQL, "op8_minhash": OP8_SQL}
