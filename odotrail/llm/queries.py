@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, quality, substring, toxicity, urls
+from . import bpe, decontaminate, langid, minhash, quality, substring, suffix, toxicity, urls
 from .common import fold_of, table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -48,6 +48,25 @@ select page_id, host, path,
 """
 
 
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_runs(table(spark, sf_dir, "documents"), length=200)
+
+
+OP6_SQL = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as hx, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, i, md5(substr(hx, (2 * i + 1)::bigint, 400)) as h from (select doc_id, hx, unnest(range(0, n - 199)) as i from d where n >= 200)),
+m as (select h from w group by h having count(*) > 1),
+s as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from w semi join m using (h)),
+r as (select doc_id, i, sum(case when before is null or i > before + 200 then 1 else 0 end) over (partition by doc_id order by i) as k from s),
+g as (select doc_id, k, min(i) as b, max(i) + 200 as e from r group by all),
+t as (select doc_id, sum(e - b)::bigint as n_removed, count(*) as n_spans, list(b order by b) as bs, list(e order by b) as es from g group by doc_id)
+select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+    sha256(unhex(case when bs is null then hx else array_to_string(list_transform(range(1, len(bs) + 2),
+        lambda j: substr(hx, 2 * (case when j = 1 then 0 else es[j - 1] end) + 1, 2 * ((case when j > len(bs) then n else bs[j] end) - (case when j = 1 then 0 else es[j - 1] end)))), '') end)) as kept_sha256
+from d left join t using (doc_id)
+"""
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -98,9 +117,10 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_arrays": op6_suffix_arrays,
     "op7_substrings": op7_substrings,
     "op8_minhash": op8_minhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
 }
-SQL = {"op5_url_filter": OP5_SQL, "op7_substrings": OP7_SQL, "op8_minhash": OP8_SQL}
+SQL = {"op5_url_filter": OP5_SQL, "op6_suffix_arrays": OP6_SQL, "op7_substrings": OP7_SQL, "op8_minhash": OP8_SQL}
