@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, quality, substring, suffix, toxicity, urls
+from . import ann, bpe, decontaminate, langid, minhash, quality, substring, suffix, toxicity, urls
 from .common import fold_of, table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), fold_of("doc_id", 5) == 0
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held))
@@ -113,6 +117,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
