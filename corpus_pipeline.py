@@ -1,15 +1,16 @@
 """The corpus pipeline: language identification, near-duplicate removal, substring removal, benchmark decontamination, tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
-as the next stage's docs.
+as the next stage's docs. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odotrail.llm import langid
+from odotrail.llm import bpe, decontaminate, langid, minhash, substring
 from odotrail.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,7 +22,42 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
-STAGES = [("language", language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8)."""
+    found = minhash.near_duplicates(docs, shingle=5, percent=80)
+    unnamed = F.when(F.col("component_id").isNull(), F.col("text_hash"))
+    chosen = found.filter("kept").groupBy("component_id", unnamed).agg(F.min("text_hash").alias("text_hash"))
+    named = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = named.join(chosen, named.doc_id.eqNullSafe(chosen.component_id) & (named["__hash"] == chosen.text_hash), "left_semi")
+    return one.dropDuplicates(["doc_id", "__hash"]).select(*COLUMNS)
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 words that a document with a smaller id holds; drops documents of which nothing is left."""
+    found = substring.remove_repeats(docs, window=50, keep=("lang", "source"), with_text=True)
+    left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item, up to a twentieth of edits."""
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
+    return found.filter(F.size("matches") == 0).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with proof that they decode to it."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_substrings", repeated_substrings),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
 
 #: Trained models, hashing and tokenisation are not SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None

@@ -124,19 +124,20 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     n_blocks = max(1, -(-size // block_bytes))
     id_type = items.schema[item_id].dataType
     found_type = T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("distance", T.IntegerType()), T.StructField("budget", T.IntegerType())]))
-    out = docs.select(*keep, F.col(text_col).alias("__text"))
+    carried = text_col in keep
+    out = docs.select(*keep) if carried else docs.select(*keep, F.col(text_col).alias("__text"))
     columns = []
     for n in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(n_blocks)) == n).orderBy(item_id, item_text).collect()
         block = spark.sparkContext.broadcast([(r[0], s) for r in part if len(s := normalize(r[1].encode())) >= min_bytes])
-        out, name = _match(out, block, rate, found_type, f"__found{n}"), f"__found{n}"
+        out, name = _match(out, text_col if carried else "__text", block, rate, found_type, f"__found{n}"), f"__found{n}"
         columns.append(name)
     return out.select(*keep, F.concat(*columns).alias(column))
 
 
-def _match(docs: DataFrame, block, rate: float, found_type: T.ArrayType, name: str) -> DataFrame:
+def _match(docs: DataFrame, text_col: str, block, rate: float, found_type: T.ArrayType, name: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, found_type)])
-    at = docs.columns.index("__text")
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type

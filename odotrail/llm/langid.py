@@ -127,7 +127,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds lang_pred and score to the id and the columns in ``keep`` of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [id_col, *[c for c in keep if c != text_col]]
+    names = [id_col, *[c for c in keep if c not in (id_col, text_col)]]
     carry = text_col in keep
     source = docs.select(*names, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"), text_col)
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in [*names, *[text_col] * carry]) + ", lang_pred string, score double"

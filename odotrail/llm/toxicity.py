@@ -48,7 +48,7 @@ def features(data: np.ndarray, bounds: np.ndarray, wanted: np.ndarray | None = N
     return key >> SLOT_BITS, key & ((1 << SLOT_BITS) - 1)
 
 
-def fit_logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, l2: float, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows by accelerated full-batch gradient steps."""
     n, d = len(y), len(value)
     w, b = np.zeros(d), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
@@ -72,7 +72,7 @@ class NaiveBayesLinear:
     bias: float
 
     @staticmethod
-    def fit(texts: list[bytes], labels: np.ndarray, max_features: int = 4096, min_texts: int = 3, smoothing: float = 1.0, l2: float = 1e-4) -> NaiveBayesLinear:
+    def fit(texts: list[bytes], labels: np.ndarray, max_features: int = 8192, min_texts: int = 5, smoothing: float = 1.0, l2: float = 1e-5) -> NaiveBayesLinear:
         y = np.asarray(labels, float)
         if not len(y) or y.min() == y.max():
             share = y.mean() if len(y) else 0.5
