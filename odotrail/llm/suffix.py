@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,20 +130,26 @@ class SuffixFamily:
     """Suffix arrays over sampled suffixes, in levels whose sizes double.
 
     right: rows of ``length`` bytes from the anchor on; left: the bytes before it, backwards; both padded,
-    with their true lengths. ``covered[s, d]``: the window that starts d bytes before the anchor of suffix s
-    also starts elsewhere.
+    with their true lengths. ``least[s]`` and ``most[s]``: among the windows that hold the anchor of suffix s and
+    also start elsewhere, the least and the greatest distance from the window's start to the anchor (most < least:
+    there are none). As all of them hold the anchor, these two bound the bytes that they cover together.
     """
 
     def __init__(self, right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray):
         self.right, self.right_len, self.left, self.left_len = right, right_len, left, left_len
         self.length, self.reach = right.shape[1], left.shape[1]
         self.text = np.ascontiguousarray(right).view(f"S{self.length}").ravel()
-        self.covered = np.zeros((len(right), self.reach + 1), bool)
+        self.lowest = np.maximum(0, self.length - right_len)  # of the windows that fit
+        self.least, self.most = np.full(len(right), self.reach + 1), np.full(len(right), -1)
         self.levels: dict[int, np.ndarray] = {}
 
-    def possible(self, rows: np.ndarray) -> np.ndarray:
-        d = np.arange(self.reach + 1)
-        return (self.left_len[rows, None] >= d) & (self.right_len[rows, None] >= self.length - d)
+    def cover(self, rows: np.ndarray) -> None:
+        """All windows of ``rows`` also start elsewhere."""
+        rows = rows[self.lowest[rows] <= self.left_len[rows]]
+        self.least[rows], self.most[rows] = self.lowest[rows], self.left_len[rows]
+
+    def done(self) -> np.ndarray:
+        return (self.lowest > self.left_len) | ((self.least <= self.lowest) & (self.most >= self.left_len))
 
     def add(self, batch: np.ndarray) -> None:
         """Take in the suffixes numbered ``batch``."""
@@ -179,12 +186,13 @@ class SuffixFamily:
         """Mark the repeats among the sorted suffixes ``order`` that concern a fresh one."""
         if len(order) < 2:
             return
+        done = self.done()[order]
         lcp = self.common(self.right, self.right_len, order[:-1], order[1:])
         i = np.flatnonzero(lcp >= SEED)
         shared = lcp[i]
         for step in range(1, NEAR + 1):
             j = i + step
-            use = fresh[i] | fresh[j]
+            use = (fresh[i] | fresh[j]) & ~(done[i] & done[j])
             a, b, right = order[i[use]], order[j[use]], shared[use]
             left = self.common(self.left, self.left_len, a, b)
             found = right + left >= self.length
@@ -202,28 +210,28 @@ class SuffixFamily:
                 self.scan_class(members)
 
     def mark(self, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        for lo in range(0, len(a), 8192):
-            part = slice(lo, lo + 8192)
-            d = np.arange(self.reach + 1)
-            hit = (d >= low[part, None]) & (d <= high[part, None])
-            for x in (a[part], b[part]):
-                np.logical_or.at(self.covered, x, hit)
+        for x in (a, b):
+            np.minimum.at(self.least, x, low)
+            np.maximum.at(self.most, x, high)
 
     def scan_class(self, members: np.ndarray) -> None:
+        if self.done()[members].all():
+            return
         by_left = np.argsort(np.ascontiguousarray(self.left[members]).view(f"S{self.reach}").ravel(), kind="stable")
         left_lcp = self.common(self.left, self.left_len, members[by_left[:-1]], members[by_left[1:]])
         right_lcp = self.common(self.right, self.right_len, members[:-1], members[1:])
         left_class = np.empty(len(members), np.int64)
-        possible = self.possible(members)
         for d in range(self.reach + 1):
             left_class[by_left] = np.concatenate(([0], np.cumsum(left_lcp < d)))
             key = np.concatenate(([0], np.cumsum(right_lcp < self.length - d))) * len(members) + left_class
-            ok = np.flatnonzero(possible[:, d])
+            ok = np.flatnonzero((self.lowest[members] <= d) & (d <= self.left_len[members]))
             _, inverse, n = np.unique(key[ok], return_inverse=True, return_counts=True)
-            self.covered[members[ok[n[inverse] > 1]], d] = True
+            found = members[ok[n[inverse] > 1]]
+            self.least[found] = np.minimum(self.least[found], d)
+            self.most[found] = np.maximum(self.most[found], d)
 
 
-SURROUNDINGS = ["bucket", "chunk", "ids", "text", "doc", "at", "left", "right", "runs"]
+SURROUNDINGS = ["bucket", "chunk", "ids", "text", "doc", "at", "bytes", "runs"]
 
 
 def _send_surroundings(buckets: int, length: int, chunk_bytes: int):
@@ -263,12 +271,12 @@ def _send_surroundings(buckets: int, length: int, chunk_bytes: int):
                 order = np.argsort(bucket, kind="stable")
                 keep = keep[order]
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [(int(number % buckets), number, ids[i:j].tobytes(), text[i:j].tobytes(), None, None, None, None, runs.tobytes())]
+                rows = [(int(number % buckets), number, ids[i:j].tobytes(), text[i:j].tobytes(), None, None, None, runs.tobytes())]
                 for k in range(buckets):
                     mine = keep[edge[k] : edge[k + 1]]
                     if len(mine):
                         w = wide[mine]
-                        rows.append((k, number, None, None, (doc[mine] - i).astype(np.uint32).tobytes(), at[mine].astype(np.uint32).tobytes(), w[:, length:-2].tobytes(), w[:, :length].tobytes(), w[:, -2:].tobytes()))
+                        rows.append((k, number, None, None, (doc[mine] - i).astype(np.uint32).tobytes(), at[mine].astype(np.uint32).tobytes(), zstandard.compress(w.tobytes(), 1), None))
                         if len(rows) == 64:
                             yield _binary_batch(rows, SURROUNDINGS, [pa.int32(), pa.int64()])
                             rows = []
@@ -288,20 +296,19 @@ def _match(length: int, n_batches: int):
         sent = sorted((r for r in rows if r["ids"] is None), key=lambda r: r["chunk"])
         if sent:
             size = np.array([len(r["doc"]) // 4 for r in sent])
-            wide = np.concatenate([np.concatenate([np.frombuffer(r["right"], np.uint8).reshape(-1, length), np.frombuffer(r["left"], np.uint8).reshape(-1, reach), np.frombuffer(r["runs"], np.uint8).reshape(-1, 2)], 1) for r in sent])
+            wide = np.concatenate([np.frombuffer(zstandard.decompress(r["bytes"]), np.uint8).reshape(-1, length + reach + 2) for r in sent])
             chunk = np.repeat(np.arange(len(sent)), size)
             doc, at = np.concatenate([np.frombuffer(r["doc"], np.uint32) for r in sent]), np.concatenate([np.frombuffer(r["at"], np.uint32) for r in sent]).astype(np.int64)
             _, first, inverse, n = np.unique(wide.view(f"S{wide.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
             w = wide[first]
             del wide
             family = SuffixFamily(np.ascontiguousarray(w[:, :length]), w[:, -2].astype(np.int64), np.ascontiguousarray(w[:, length:-2]), w[:, -1].astype(np.int64))
-            family.covered |= (n > 1)[:, None] & family.possible(np.arange(len(n)))
+            family.cover(np.flatnonzero(n > 1))
             batch = (chunk[first] * n_batches) // len(sent)
             for k in range(n_batches):
                 family.add(np.flatnonzero(batch == k))
-            any_, least, most = family.covered.any(1), family.covered.argmax(1), reach - family.covered[:, ::-1].argmax(1)
-            hit = any_[inverse]
-            start, stop = at - most[inverse], at - least[inverse] + length
+            hit = (family.most >= family.least)[inverse]
+            start, stop = at - family.most[inverse], at - family.least[inverse] + length
             for k, (lo, hi) in enumerate(zip(np.cumsum(size) - size, np.cumsum(size), strict=True)):
                 mine = np.flatnonzero(hit[lo:hi]) + lo
                 if len(mine):
@@ -339,7 +346,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4, id_col:
     found = answers.groupBy("chunk").applyInArrow(_anchors_of_documents, "__id long, __hash long, anchors array<int>")
     found = found.groupBy("__id", "__hash").agg(F.max("anchors").alias("anchors"))
     near = long_rows.join(found, ["__id", "__hash"]).select("__id", "__hash", "anchors", "__text")
-    sent = near.mapInArrow(_send_surroundings(buckets, length, chunk_bytes), "bucket int, chunk long, ids binary, text binary, doc binary, at binary, left binary, right binary, runs binary")
+    sent = near.mapInArrow(_send_surroundings(buckets, length, chunk_bytes), "bucket int, chunk long, ids binary, text binary, doc binary, at binary, bytes binary, runs binary")
     matched = sent.groupBy("bucket").applyInArrow(_match(length, batches), "chunk long, ids binary, text binary, runs binary")
     runs = matched.groupBy("chunk").applyInArrow(_runs_of_documents, "__id long, __hash long, starts array<int>, stops array<int>")
     return runs.groupBy("__id", "__hash").agg(F.max(F.struct("starts", "stops")).alias("s")).select("__id", "__hash", "s.starts", "s.stops")
