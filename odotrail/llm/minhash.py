@@ -34,9 +34,11 @@ from .common import ASCII_LOWER, PolyHash, blocks, materialize, mix64, utf8, wor
 from .graph import connected_components
 
 UNIVERSE = 1 << 18
-#: Largest group, in nodes and in shingles, that one task verifies alone.
-GROUP_NODES = 3000
-GROUP_SHINGLES = 3_000_000
+#: Largest group, in nodes and in shingles, that one task verifies alone; and the nodes of a pack of small groups.
+GROUP_NODES = 1000
+GROUP_SHINGLES = 1_000_000
+PACK_NODES = 500
+PACK_SHINGLES = 500_000
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     members = materialize(members.select("node", "id", "text_hash", "short", "label", "n"), "members")
     sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
     totals = members.agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")).first()
-    packs = max(1, -(-totals["nodes"] // GROUP_NODES), -(-(totals["shingles"] or 0) // GROUP_SHINGLES))
+    packs = max(1, -(-totals["nodes"] // PACK_NODES), -(-(totals["shingles"] or 0) // PACK_SHINGLES))
     large = materialize(sizes.filter("parts > 1"), "large-groups")
     split = large.limit(1).count() > 0
 
