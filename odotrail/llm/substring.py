@@ -171,7 +171,7 @@ def _merge(window: int):
         row = np.searchsorted(first, at, "right") - 1
         fresh = np.append(True, (at[1:] > at[:-1] + window) | (row[1:] != row[:-1])) if len(at) else np.zeros(0, bool)
         begin = np.flatnonzero(fresh)
-        end = np.append(begin[1:], len(at)) - 1
+        end = np.append(begin[1:], len(at))[: len(begin)] - 1
         doc = row[begin] if len(at) else np.zeros(0, np.int64)
         start, stop = at[begin] - first[doc], at[end] + window - first[doc]
         docs, n = np.unique(doc, return_counts=True)
