@@ -4,8 +4,7 @@ A test item with an error budget of k edits is split into k + 1 pieces: a passag
 at least one piece unchanged. One pass of an Aho-Corasick automaton over each document finds all pieces;
 every region around a hit is then verified by Myers' bit-parallel edit distance against the whole item.
 
-Both sides are normalised: lower-cased, every run of ASCII characters other than letters and digits
-one blank. Edits count in bytes of that text. The budget is ``rate`` times the item's length.
+Both sides are normalised: lower-cased, every run of characters other than letters and digits one blank. Edits count in bytes of that text. The budget is ``rate`` times the item's length.
 
 The items are shared with the tasks in blocks of at most ``block_bytes``; more items take more passes over
 the documents, and no row is shuffled.
@@ -17,6 +16,7 @@ texts are matched whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,12 +31,13 @@ for _b in range(128):
     _c = chr(_b)
     _NORMAL[_b] = ord(_c.lower()) if _c.isalnum() else 32
 _NORMAL = bytes(_NORMAL)
+_OTHER = re.compile(r"[\W_]+")
 
 
 def normalize(text: bytes) -> str:
     """The normalised bytes, one character each."""
     if not text.isascii():
-        text = text.decode().lower().encode()
+        return _OTHER.sub(" ", text.decode().lower()).strip().encode().decode("latin-1")
     return b" ".join(text.translate(_NORMAL).split()).decode("latin-1")
 
 
