@@ -17,6 +17,11 @@ def long_sql(columns, keys="") -> str:
     return " union all ".join(f"select {keys}'{c}' as feature, {c}::double as value from tel" for c in columns)
 
 
+@book.add("select (select count(*) from part) as rows, 6 as columns, * from (values (0, 'p_partkey', 'bigint'), (1, 'p_name', 'string'), (2, 'p_brand', 'string'), (3, 'p_type', 'string'), (4, 'p_size', 'int'), (5, 'p_retailprice', 'double')) as c(position, \"column\", dtype)")
+def shape_report(spark, d):
+    return quality.shape_report(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
+
+
 MISSING_SQL = f"{views.TEL_SQL}, report as (select feature, count(*) as rows, count(*) filter (value is null) as missing, round(count(*) filter (value is null) * 100.0::double / count(*), 4) as missing_pct from ({long_sql(COLUMNS)}) group by 1)"
 
 

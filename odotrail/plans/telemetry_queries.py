@@ -336,13 +336,19 @@ def throttle(spark, d):
     return fusion.throttle(views.tel(spark, d), min_gap=20000.0, track="sequence_id").select("sequence_id", "row_idx")
 
 
-@book.add()
+MOTION_SQL = f"""{views.TEL_SQL}, a as (select *, t / {SCALE} as ts, sqrt(coalesce(ax, 0) * coalesce(ax, 0) + ay * ay + az * az) as am, sqrt(gx * gx + gy * gy + gz * gz) as gm from tel),
+m as (select *, ts - lag(ts) over {W} as dt, am - lag(am) over {W} as da, coalesce(stddev_samp(am) over (partition by sequence_id order by t, row_idx rows between 49 preceding and current row), 0) as sd from a),
+j as (select *, abs(am - {fusion.G}) as off, case when dt > 0.001 then abs(da) / dt else 0 end as jerk from m)"""
+
+
+@book.add(f"""{MOTION_SQL} select sequence_id as track_id, case when gm > 1.5 and off > 2.5 then 'PHONE_DISTURBANCE' when off > 5 and jerk > 150 then 'POTHOLE' when off < 0.15 and gm < 0.05 and sd < 0.04 then 'STATIONARY' when coalesce(ax, 0) < -2.5 then 'BRAKING' when abs(gz) > 0.4 then 'TURNING' when coalesce(ax, 0) > 1.5 then 'ACCELERATING' else 'NORMAL' end as motion_state, count(*) as rows from j group by all""")
 def motion_states(spark, d):
     s = states(spark, d).withColumn("accel_magnitude", scalar.vector_magnitude(F.coalesce("ax", F.lit(0.0)), "ay", "az"))
     return fusion.motion_state(fusion.motion_window_std(s), vehicle_accel="ax").groupBy("track_id", "motion_state").agg(F.count("*").alias("rows"))
 
 
-@book.add()
+@book.add(f"""{views.TEL_SQL}, v as (select *, t / {SCALE} as ts, least(coalesce(stddev_samp(ay) over (partition by sequence_id order by t, row_idx rows between 49 preceding and current row), 0) / 2.5, 1) as vib, last_value(case when accuracy < 10 and satellites <> 0 then t / {SCALE} end ignore nulls) over (partition by sequence_id order by t, row_idx rows between unbounded preceding and current row) as seen from tel)
+select sequence_id as track_id, row_idx, {r('case when seen is null then 0 else (1 - 0.45 * vib) * case when ts - seen > 60 then exp(-(ts - seen - 60) / 60) else 1 end end')} as imu_confidence from v""")
 def imu_confidence(spark, d):
     s = fusion.motion_window_std(states(spark, d), x="ay").withColumn("gnss_heading", F.when(F.col("reset"), F.col("heading")))
     return fusion.imu_confidence(s).select("track_id", "row_idx", "imu_confidence")
