@@ -12,18 +12,23 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+#: Links that one task of a round writes.
+TASK_LINKS = 500_000
+
+
 def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """links: columns a, b of any one orderable type. -> node, component (the smallest node of it), for all nodes of links between two different nodes."""
     down = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    tasks = 8 + down.count() // TASK_LINKS  # rounds never add links; few links make few files
     state = None
     for _ in range(max_rounds):
         both = down.select("u", "v").union(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        large = materialize(large, "large-star")
+        large = materialize(large.coalesce(tasks), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        small = materialize(small, "small-star")
+        small = materialize(small.coalesce(tasks), "small-star")
         discard(large)
         discard(down)
         down, before = small, state
