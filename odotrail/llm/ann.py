@@ -223,30 +223,28 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4, le
                     ids = [i for h in held for i in h.column(5).to_pylist()]
                 yield from best(x, leaf, ids, c)
 
+    found_type = pa.list_(pa.struct([("less", pa.float64()), ("id", pa.int64())]))
+
     def best(x: np.ndarray, leaf: np.ndarray, ids: list, c: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, c.num_rows, 256):
             part = c.slice(at, 256)
             q = _matrix(part.column(4))
             scores = q @ x.T
-            who, found, score = [], [], []
-            for i, (asker, opened) in enumerate(zip(part.column(5).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            found = []
+            for i, opened in enumerate(part.column(3).to_pylist()):
                 inside = np.flatnonzero(np.isin(leaf, opened))
                 if len(inside) > k + 5:  # a few more than wanted, as the last bits differ from the exact scores
                     inside = inside[np.argpartition(-scores[i, inside], k + 4)[: k + 5]]
                 exact = np.einsum("ij,ij->i", x[inside], np.broadcast_to(q[i], (len(inside), q.shape[1])))
-                for n, s in zip(inside.tolist(), exact.tolist(), strict=True):
-                    for j in ids[n]:
-                        who.append(asker[0])
-                        found.append(j)
-                        score.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], names=["q", "id", "score"])
+                hits = sorted({(-s, j) for n, s in zip(inside.tolist(), exact.tolist(), strict=True) for j in ids[n]})[: k + 1]
+                found.append([{"less": s, "id": j} for s, j in hits])
+            yield pa.RecordBatch.from_arrays([part.column(5).flatten(), part.column(0), pa.array(found, found_type)], names=["q", "part", "found"])
 
     met = points.mapInArrow(index, ROWS).union(asking.mapInArrow(ask, ROWS)).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind")
-    hits = met.mapInArrow(rank, "q long, id long, score double")
-    best_first = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    hits = hits.withColumn("n", F.dense_rank().over(best_first)).filter(F.col("n") <= k + 1).dropDuplicates(["q", "id"])
-    lists = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("found"))
+    hits = met.mapInArrow(rank, "q long, part int, found array<struct<less: double, id: long>>")
+    best_of = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1)  # least minus score, then least id
+    lists = hits.groupBy("q", F.pmod("part", F.lit(64)).alias("share")).agg(best_of.alias("found")).groupBy("q").agg(best_of.alias("found"))
     who = rows.filter("asks").select(F.col("id").alias("query_id"), "v").join(asking, "v").select("query_id", "q").join(lists, "q")
     others = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k)
     out = who.select("query_id", F.posexplode(others).alias("pos", "f"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.id").alias(id_col), F.col("f.score").alias("score"))
+    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.id").alias(id_col), (-F.col("f.less")).alias("score"))
