@@ -159,8 +159,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4, le
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     rows = rows.filter(F.size("v") == size["d"])
     first = Window.partitionBy("v").orderBy("id")
-    points = rows.select("id", "v").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
-    points = materialize(points.groupBy("v").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids")), "points")
+    points = rows.select("id", "v").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
+    points = materialize(points.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "points")
     asking = materialize(rows.filter("asks").groupBy("v").agg(F.min("id").alias("q")), "queries")
 
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -226,15 +226,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4, le
     found_type = pa.list_(pa.struct([("less", pa.float64()), ("id", pa.int64())]))
 
     def best(x: np.ndarray, leaf: np.ndarray, ids: list, c: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        longest = np.linalg.norm(x, axis=1).max()
         for at in range(0, c.num_rows, 256):
             part = c.slice(at, 256)
             q = _matrix(part.column(4))
             scores = q @ x.T
+            margin = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * longest
             found = []
             for i, opened in enumerate(part.column(3).to_pylist()):
                 inside = np.flatnonzero(np.isin(leaf, opened))
-                if len(inside) > k + 5:  # a few more than wanted, as the last bits differ from the exact scores
-                    inside = inside[np.argpartition(-scores[i, inside], k + 4)[: k + 5]]
+                if len(inside) > k + 1:  # with all that may tie with the last: its last bits differ from the exact score
+                    rough = scores[i, inside]
+                    inside = inside[~(rough < -np.partition(-rough, k)[k] - margin[i])]
                 exact = np.einsum("ij,ij->i", x[inside], np.broadcast_to(q[i], (len(inside), q.shape[1])))
                 hits = sorted({(-s, j) for n, s in zip(inside.tolist(), exact.tolist(), strict=True) for j in ids[n]})[: k + 1]
                 found.append([{"less": s, "id": j} for s, j in hits])
