@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     others = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
     paired = F.transform(others, lambda o: F.struct(F.col("label").alias("g"), F.least(o, "part").alias("i"), F.greatest(o, "part").alias("j")))
     placed = placed.withColumn("tasks", F.when(F.col("parts").isNull(), F.array(alone)).otherwise(paired)).select("id", "text_hash", "node", "label", "tasks")
-    texts = source.join(placed, (source.id.eqNullSafe(placed.id)) & (source.text_hash == placed.text_hash), "inner").select("node", "label", "tasks", "text")
+    texts = source.join(placed, (source.id.eqNullSafe(placed.id)) & (source.text_hash == placed.text_hash), "inner").select("node", "label", "tasks", "text").dropDuplicates(["node"])
     links = texts.select("node", "label", F.explode("tasks").alias("task"), "text").groupBy("task").applyInArrow(_verify_task(shingle, percent), "a binary, b binary")
     links = materialize(links, "verified-links")
     if split:

@@ -1,11 +1,12 @@
 """Cases in which a training-data operator once gave less than the whole result."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from odotrail.llm import ann
+from odotrail.llm import ann, minhash
 
-from .test_llm import brute
+from .test_llm import brute, brute_components, documents, near_copies
 
 
 def neighbours(df, k):
@@ -27,3 +28,15 @@ def test_neighbours_with_a_repeated_row(spark):
     rows = [(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])]
     got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5)
     assert got[2] == [1, 3, 4] and got[3] == [1, 2, 4]
+
+
+@pytest.mark.parametrize("limit", [1000, 10])  # 10: there are large groups too
+def test_near_duplicates_of_repeated_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(minhash, "GROUP_NODES", limit)
+    words = [f"q{i}" for i in range(120)]
+    texts = [*near_copies(2), " ".join(words), " ".join([*words, "more"])]
+    twice = [len(texts) - 2, len(texts) - 1] * 2
+    docs = documents(spark, texts).union(documents(spark, [texts[i] for i in twice], twice))
+    got = sorted(tuple(r) for r in minhash.near_duplicates(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    once = [(i, n, root, i == root) for i, (n, root) in enumerate(brute_components(texts, 3, 85))]
+    assert got == sorted(once + [once[i] for i in twice])
