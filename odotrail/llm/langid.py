@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, blocks, bounded_sample, mix64, utf8
+from .common import ASCII_LOWER, blocks, bounded_rows, mix64, utf8
 
 UNKNOWN = "und"
 SIZES = (3, 5)
@@ -119,7 +119,7 @@ class LanguageFilter:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_texts: int = 6000, **options) -> LanguageFilter:
     """Fit on a bounded sample of the rows with text and language."""
-    rows = bounded_sample(labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, text_col), max_texts, id_col)
+    rows = bounded_rows(labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, text_col), max_texts)
     data = rows.toArrow()
     return LanguageFilter.fit([(lang, text.encode()) for lang, text in zip(data.column(1).to_pylist(), data.column(2).to_pylist(), strict=True)], **options)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_sample, utf8, word_hashes, words
+from .common import blocks, bounded_rows, bounded_sample, utf8, word_hashes, words
 from .toxicity import sigmoid
 
 PASSAGE_BYTES = 600
@@ -155,7 +155,8 @@ class AttentionMil:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_texts: int = 8000, **options) -> AttentionMil:
     """Fit on a bounded sample of the rows of ``labels`` (one label an id) that are in ``docs``."""
     chosen = bounded_sample(labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("__y")), max_texts, id_col)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, F.col("__y").cast("double").alias("y")).toArrow().combine_chunks()
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    rows = bounded_rows(found, max_texts).select(text_col, F.col("__y").cast("double").alias("y")).toArrow().combine_chunks()
     x, bags = [], []
     for b in rows.to_batches():
         data, bounds = utf8(b.column(0))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, blocks, bounded_sample, mix64, utf8
+from .common import ASCII_LOWER, blocks, bounded_rows, bounded_sample, mix64, utf8
 from .langid import grams
 
 SIZES = (4, 5, 6)
@@ -118,7 +118,8 @@ class NaiveBayesLinear:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_texts: int = 10_000, **options) -> NaiveBayesLinear:
     """Fit on a bounded sample of the rows of ``labels`` (one label an id) that are in ``docs``."""
     chosen = bounded_sample(labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("__y")), max_texts, id_col)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.coalesce(text_col, F.lit("")).alias("t"), F.col("__y").cast("double").alias("y")).toArrow()
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    rows = bounded_rows(found, max_texts).select(F.coalesce(text_col, F.lit("")).alias("t"), F.col("__y").cast("double").alias("y")).toArrow()
     return NaiveBayesLinear.fit([t.encode() for t in rows.column("t").to_pylist()], rows.column("y").to_numpy(), **options)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from odotrail.llm import ann, minhash
+from odotrail.llm import ann, langid, minhash, quality, toxicity
 
 from .test_llm import brute, brute_components, documents, near_copies
 
@@ -40,3 +40,22 @@ def test_near_duplicates_of_repeated_rows(spark, monkeypatch, limit):
     got = sorted(tuple(r) for r in minhash.near_duplicates(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect())
     once = [(i, n, root, i == root) for i, (n, root) in enumerate(brute_components(texts, 3, 85))]
     assert got == sorted(once + [once[i] for i in twice])
+
+
+def test_fitting_samples_are_bounded_in_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.LanguageFilter, "fit", staticmethod(lambda texts, **_: seen.append(sorted(texts))))
+    monkeypatch.setattr(quality.AttentionMil, "fit", staticmethod(lambda x, bags, y, **_: seen.append(y)))
+    monkeypatch.setattr(toxicity.NaiveBayesLinear, "fit", staticmethod(lambda texts, y, **_: seen.append(y)))
+    ids = [None] * 200 + [7] * 200 + list(range(1000, 1200))
+    docs = documents(spark, [f"text {i}" for i in range(600)], ids)
+    for parts in (2, 5):  # one id, null or not, holds a third of the rows
+        langid.fit(docs.repartition(parts), max_texts=60)
+        langid.fit(docs.union(documents(spark, ["copy"] * 400, [8] * 400)).repartition(parts), max_texts=60)
+    assert [len(s) for s in seen] == [60] * 4 and seen[:2] == seen[2:]
+    assert sum(t == b"copy" for _, t in seen[1]) <= 1
+    seen.clear()
+    labels = spark.createDataFrame([(7, 1, 1), (1000, 0, 0), (1001, 0, 0)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        module.fit(docs, labels, max_texts=60)
+    assert [len(y) for y in seen] == [60, 60]
