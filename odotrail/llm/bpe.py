@@ -1,10 +1,16 @@
 """Byte-level BPE encoding and decoding with a local rank file.
 
-A long text is cut at safe boundaries, between a letter or digit and a following white space: no match
-of the splitting pattern crosses such a place, so the pieces' ids are the whole text's ids. Decoding
-joins the tokens' raw bytes.
+A long text is cut at safe boundaries, before a white space that follows something else: no match of the
+splitting pattern crosses such a place, so the pieces' ids are the whole text's ids. A long run of white
+space, on which the library's pattern engine would run out of stack, is one match of the pattern but for its
+last character (all of it at the end of a text), and is encoded as that match. Decoding joins the tokens' raw
+bytes.
 
-Cases: a null text counts as empty and has no ids. A text without a safe boundary is encoded whole.
+Both hold for patterns that end in ``\\s+(?!\\S)|\\s+`` and else match at most one white space, a leading one.
+
+Cases: a null text counts as empty and has no ids, and counts as decoded rightly. A text without a safe boundary
+is encoded whole. Repeated rows and null ids give one row each; an empty table gives an empty result. Columns not
+in ``keep`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +26,10 @@ from pyspark.sql import DataFrame
 
 #: Longer texts (in characters) are cut at safe boundaries, into pieces of about this size.
 PIECE_CHARS = 1 << 15
-_SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
+_SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+#: Runs of this many white spaces (by Unicode's property) are encoded as matches of their own.
+RUN_CHARS = 1 << 14
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN_CHARS)
 _loaded: dict[str, tuple] = {}
 
 
@@ -49,9 +58,18 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode(encoding, text: str) -> list[int]:
-    if len(text) <= PIECE_CHARS:
+    if len(text) < RUN_CHARS:
         return encoding.encode_ordinary(text)
-    return [i for p in pieces(text) for i in encoding.encode_ordinary(p)]
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))  # the last white space of a run may begin the next match
+        for p in pieces(text[at : run.start()]):
+            ids += encoding.encode_ordinary(p)
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    for p in pieces(text[at:]):
+        ids += encoding.encode_ordinary(p)
+    return ids
 
 
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,10 +1,14 @@
 """Cases in which a training-data operator once gave less than the whole result."""
 
+import random
+import re
+
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from odotrail.llm import ann, langid, minhash, quality, toxicity
+from odotrail.llm import ann, bpe, langid, minhash, quality, toxicity
 
 from .test_llm import brute, brute_components, documents, near_copies
 
@@ -59,3 +63,26 @@ def test_fitting_samples_are_bounded_in_rows(spark, monkeypatch):
     for module in (quality, toxicity):
         module.fit(docs, labels, max_texts=60)
     assert [len(y) for y in seen] == [60, 60]
+
+
+def test_bpe_of_long_white_space(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoding = bpe.load(path, public_tokenizers.PATTERN)[0]
+    blank = encoding._encode_single_piece
+    long = [" " * 1_000_000, "\n" * 1_000_000, "a" + " \n" * 500_000 + "b", "　" * 400_000 + " x"]
+    want = [blank(long[0]), blank(long[1]), [*encoding.encode_ordinary("a"), *blank(long[2][1:-2]), *encoding.encode_ordinary("\nb")], [*blank("　" * 400_000), *encoding.encode_ordinary(" x")]]
+    short = [t[:20_000] + t[-20_000:] for t in long]  # the library itself can do these
+    docs = documents(spark, long + short + long[:1], [None, *range(1, 8), 1])
+    got = bpe.encode_decode(docs.withColumn("n_tokens", F.lit("clash")), path, public_tokenizers.PATTERN).collect()
+    assert len(got) == 9 and all(r.round_trip for r in got)
+    assert sorted(r.ids for r in got) == sorted([*want, *map(encoding.encode_ordinary, short), want[0]])
+
+
+def test_bpe_cuts_where_the_pattern_does(monkeypatch):
+    encoding = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)[0]
+    monkeypatch.setattr(bpe, "_RUN", re.compile(bpe._RUN.pattern.replace("16384", "3")))
+    monkeypatch.setattr(bpe, "RUN_CHARS", 3)
+    r = random.Random(4)
+    for _ in range(500):
+        t = "".join(r.choice([" ", "\n", "　", "\x1c", "\x85", "a", "é", "1", ".", "'s"]) * r.choice([1, 1, 2, 3, 7]) for _ in range(r.randint(0, 30)))
+        assert bpe.encode(encoding, t) == encoding.encode_ordinary(t)
