@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text that one numpy step works on; a single longer text is worked on alone.
 BLOCK_BYTES = 1 << 20
@@ -24,31 +26,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a temporary folder will do for a local
+    session only: on a cluster the executors' folders are not the driver's."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="odotrail-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Tables written by ``materialize`` in this process and not yet deleted.
+_written: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+    The table stays until ``discard`` or the end of a ``scratch_tables`` block deletes it."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/odotrail/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._odotrail_path = path
+    _written[path] = spark
     return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialize`` that no later step reads."""
-    path = getattr(df, "_odotrail_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    """Delete a table of ``materialize`` that no later step reads; does nothing for other tables."""
+    _delete(getattr(df, "_odotrail_path", None))
+
+
+def _delete(path: str | None) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:  # Hadoop's file system knows every scheme that Spark can write
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@contextmanager
+def scratch_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at the end what ``materialize`` wrote within the block, save tables passed to the function it yields.
+    Operators return DataFrames that still read their scratch tables, so write a result out within the block."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_odotrail_path", None))
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _written if p not in before and p not in kept]:
+            _delete(path)
 
 
 def fold_of(doc_id: str | Column, folds: int) -> Column:
@@ -66,16 +97,41 @@ def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < F.lit(int((1 << 40) * n / total)))
 
 
-def bounded_rows(df: DataFrame, n: int) -> DataFrame:
-    """At most ``n`` rows (all, if there are fewer), whatever ids or values repeat: the least by a hash of the whole
-    row, equal rows counting once. Repeatable whatever the partitioning; only rows under a threshold are moved."""
-    known = df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("*").alias("rows"), F.approx_count_distinct("h", 0.02).alias("different")).first()
-    if known["rows"] <= n:
-        return df
-    share = 1.2 * n / max(known["different"], 1)  # more than wanted, as hashes scatter and the count is approximate
-    hashed = df.withColumn("__hash", F.xxhash64(*df.columns))
-    under = hashed if share >= 1 else hashed.filter(F.pmod("__hash", F.lit(1 << 40)) < F.lit(int((1 << 40) * share)))
-    return under.dropDuplicates(["__hash"]).orderBy(F.pmod("__hash", F.lit(1 << 40)), "__hash").limit(n).drop("__hash")
+def bounded_rows(df: DataFrame, n: int, text_col: str, max_bytes: int = 64 << 20, by: str | None = None, max_groups: int = 256) -> DataFrame:
+    """A sample to fit on: at most ``n`` rows with at most ``max_bytes`` bytes of text, whatever ids or values repeat.
+
+    Rows are taken by the least hash of the whole row, equal rows counting once; a row of more than a 64th of
+    ``max_bytes`` is never taken. With ``by``, each of its values (the ``max_groups`` commonest; null is none) has
+    an equal share of both bounds, so that a rare value is not crowded out. All rows that may be taken come back, as
+    often as they are, if they are within the bounds. Repeatable whatever the partitioning; only hashes and sizes of at most
+    ``n`` rows reach the driver."""
+    size, group = F.coalesce(F.octet_length(text_col), F.lit(0)), F.lit("") if by is None else F.col(by).cast("string")
+    hashed = df.withColumns({"__hash": F.xxhash64(*df.columns), "__size": size, "__group": group}).filter((F.col("__size") <= max_bytes // 64) & F.col("__group").isNotNull())
+    order = F.struct(F.pmod("__hash", F.lit(1 << 40)).alias("key"), F.col("__hash").alias("hash"))
+    known = hashed.groupBy("__group").agg(F.count("*").alias("rows"), F.approx_count_distinct("__hash", 0.02).alias("different"), F.sum("__size").alias("bytes"))
+    known = known.orderBy(F.desc("rows"), "__group").limit(max_groups).collect()
+    out = hashed.filter(F.col("__group").isin([r["__group"] for r in known]))
+    if sum(r["rows"] for r in known) <= n and sum(r["bytes"] for r in known) <= max_bytes:
+        return out.drop("__hash", "__size", "__group")
+    share, share_bytes = max(1, n // len(known)), max_bytes // len(known)
+    wanted = share + 5 * share**0.5 + 10  # more than wanted, as hashes scatter and counts are approximate
+    below = _by_group({r["__group"]: int((1 << 40) * min(1.0, 1.05 * wanted / max(r["different"], 1))) for r in known})
+    under = out.filter(order["key"] < below)
+    first = Window.partitionBy("__group").orderBy("key", "hash")
+    picked = under.select("__group", "__size", order.alias("o")).select("__group", "__size", "o.*").dropDuplicates(["__group", "hash"])
+    picked = picked.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= share).orderBy("__group", "at").collect()
+    total, cut = dict.fromkeys((r["__group"] for r in known), 0), {}
+    for r in picked:
+        total[r["__group"]] += r["__size"]
+        if total[r["__group"]] <= share_bytes:
+            cut[r["__group"]] = (r["key"], r["hash"])
+    last = F.struct(_by_group({g: k for g, (k, _) in cut.items()}).alias("key"), _by_group({g: h for g, (_, h) in cut.items()}).alias("hash"))
+    return under.filter(last["key"].isNotNull() & (order <= last)).dropDuplicates(["__group", "__hash"]).drop("__hash", "__size", "__group")
+
+
+def _by_group(value: dict[str, int]) -> Column:
+    """The value of the row's group; null (no row) for a group without one."""
+    return F.create_map(*[F.lit(x) for k, v in value.items() for x in (k, v)])[F.col("__group")] if value else F.lit(None).cast("long")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +199,18 @@ class PolyHash:
             return (self.prefix[end] - self.prefix[start]) * self.inverse[start]
 
 
+def code_points(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(characters as numbers, bounds in characters) of UTF-8 rows."""
+    if not (data >= 128).any():
+        return data.astype(np.uint32), bounds
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[start].astype(np.uint32)
+    tail = np.append(data, np.zeros(3, np.uint8))
+    b, c, d = ((tail[start + i] & 0x3F).astype(np.uint32) for i in (1, 2, 3))
+    two, three, four = (first & 0x1F) << 6 | b, (first & 0x0F) << 12 | b << 6 | c, (first & 0x07) << 18 | b << 12 | c << 6 | d
+    return np.where(first < 0x80, first, np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))), np.searchsorted(start, bounds)
+
+
 #: A fixed random 64-bit value for each byte.
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 #: Space and the bytes 9 to 13 end words.

@@ -5,14 +5,16 @@ per language, so that one lookup (the AND of a few slots) returns all languages
 document's n-grams are looked up, the hits of each language counted, and the counts corrected for the
 filter's false positives, which differ by language; the largest corrected count decides.
 
-Learning: a bounded sample of labelled texts (``max_texts``, those with the smallest id hashes) gives
-n-gram rates per language. An n-gram enters a language's slice if its rate there is at least ``share`` of
-its largest rate and it occurs ``min_count`` times. Any number of languages works; masks have as many
-64-bit words as needed. The filter's size depends on the sample alone.
+Learning: a bounded sample of labelled texts (``max_texts``, ``max_bytes``, in equal shares by language; see
+``bounded_rows``) gives n-gram rates per language, counted in Spark. An n-gram enters a language's slice if its rate
+there is at least ``share`` of its largest rate and it occurs ``min_count`` times; only these n-grams come to the
+driver. The commonest ``max_languages`` languages are learned; masks have as many 64-bit words as needed. The
+filter's size depends on the sample alone.
 
 Cases: null text or text without a letter gives ``und`` with score 0. A text whose n-grams are in no
-filter gets the language with most sampled texts and score 0. Ties go to the language first by name. An
-empty sample predicts ``und`` throughout. Repeated rows are judged one by one.
+filter gets the language with most labelled texts and score 0. Ties go to the language first by name. An
+empty sample predicts ``und`` throughout. Repeated rows and null ids are judged one by one. An empty table gives no
+rows. Columns not in ``keep`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, blocks, bounded_rows, mix64, utf8
+from .common import ASCII_LOWER, blocks, bounded_rows, discard, materialize, mix64, utf8
 
 UNKNOWN = "und"
 SIZES = (3, 5)
@@ -57,35 +59,17 @@ class LanguageFilter:
     fallback: int
 
     @staticmethod
-    def fit(texts: list[tuple[str, bytes]], share: float = 0.4, min_count: int = 3, load: float = 0.02) -> LanguageFilter:
-        """texts: (language, UTF-8 text)."""
-        languages = sorted({lang for lang, _ in texts})
-        index = {lang: i for i, lang in enumerate(languages)}
-        chosen: list[list[np.ndarray]] = []
-        for n in SIZES:
-            per = []
-            for lang in languages:
-                data = np.frombuffer(b"\n\n".join(t for x, t in texts if x == lang), np.uint8)
-                g, c = np.unique(grams(ASCII_LOWER[data], n), return_counts=True)
-                per.append((g, c, max(1, c.sum())))
-            every = np.unique(np.concatenate([g for g, _, _ in per])) if per else np.zeros(0, np.uint64)
-            best = np.zeros(len(every))
-            for g, c, total in per:
-                at = np.searchsorted(every, g)
-                best[at] = np.maximum(best[at], c / total)
-            chosen.append([g[(c >= min_count) & (c / total >= share * best[np.searchsorted(every, g)])] for g, c, total in per])
-        most = max([1, *(sum(len(c[i]) for c in chosen) for i in range(len(languages)))])
+    def build(languages: list[str], chosen: dict[str, np.ndarray], common: str | None, load: float) -> LanguageFilter:
+        """chosen: the n-grams of each language; common: the language of texts without a hit."""
+        most = max([1, *(len(g) for g in chosen.values())])
         bits = int(np.clip(np.ceil(np.log2(most * HASHES / load)), 12, 26))
-        words = max(1, -(-len(languages) // 64))
-        table = np.zeros((words, 1 << bits), np.uint64)
-        for per in chosen:
-            for i, g in enumerate(per):
-                for s in slots(g, bits):
-                    np.bitwise_or.at(table[i // 64], s, np.uint64(1 << (i % 64)))
+        table = np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), np.uint64)
+        for i, lang in enumerate(languages):
+            for s in slots(chosen.get(lang, np.zeros(0, np.uint64)), bits):
+                np.bitwise_or.at(table[i // 64], s, np.uint64(1 << (i % 64)))
         fill = np.array([((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
         kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(t).itemsize or t is np.uint64)
-        counts = [sum(1 for x, _ in texts if x == lang) for lang in languages]
-        return LanguageFilter(languages, bits, table.astype(kind), fill**HASHES, index[languages[int(np.argmax(counts))]] if languages else -1)
+        return LanguageFilter(languages, bits, table.astype(kind), fill**HASHES, languages.index(common) if languages else -1)
 
     def count(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Corrected hits (rows x languages) and n-grams of each row, over whole texts."""
@@ -117,11 +101,34 @@ class LanguageFilter:
         return best, np.where(found, hits.max(1, initial=0) / np.where(found, all_hits, 1), 0.0)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_texts: int = 6000, **options) -> LanguageFilter:
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (lang, text) -> n-grams of each language with their counts within the batch."""
+    for b in batches:
+        names = b.column(0).dictionary_encode()
+        number, lang_names = names.indices.to_numpy(), names.dictionary
+        for k in range(len(lang_names)):
+            data, bounds = utf8(b.column(1).take(pa.array(np.flatnonzero(number == k))))
+            data = ASCII_LOWER[data]
+            for n in SIZES:
+                row = np.searchsorted(bounds, np.arange(max(0, len(data) - n + 1)), "right") - 1
+                x, c = np.unique(grams(data, n)[np.arange(len(row)) + n <= bounds[row + 1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([lang_names.take(pa.array(np.full(len(x), k))), pa.array(np.full(len(x), n, np.int32)), pa.array(x.astype(np.int64)), pa.array(c)], names=["lang", "n", "gram", "c"])
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_texts: int = 6000, max_bytes: int = 32 << 20, max_languages: int = 256, share: float = 0.4, min_count: int = 3, load: float = 0.02) -> LanguageFilter:
     """Fit on a bounded sample of the rows with text and language."""
-    rows = bounded_rows(labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, text_col), max_texts)
-    data = rows.toArrow()
-    return LanguageFilter.fit([(lang, text.encode()) for lang, text in zip(data.column(1).to_pylist(), data.column(2).to_pylist(), strict=True)], **options)
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sample = bounded_rows(rows, max_texts, "text", max_bytes, "lang", max_languages)
+    counted = sample.select("lang", "text").mapInArrow(count_grams, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    counted = materialize(counted, "language-grams")
+    rate = counted.join(F.broadcast(counted.groupBy("lang", "n").agg(F.sum("c").alias("total"))), ["lang", "n"]).withColumn("rate", F.col("c") / F.col("total"))
+    best = rate.groupBy("n", "gram").agg(F.max("rate").alias("best"))
+    found = rate.join(best, ["n", "gram"]).filter((F.col("c") >= min_count) & (F.col("rate") >= share * F.col("best"))).select("lang", "gram").toArrow()
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    common = rows.filter(F.col("lang").isin(languages)).groupBy("lang").count().orderBy(F.desc("count"), "lang").first()
+    discard(counted)
+    lang, gram = found.column("lang").to_numpy(), found.column("gram").to_numpy().astype(np.uint64)
+    return LanguageFilter.build(languages, {x: gram[lang == x] for x in languages}, common and common["lang"], load)
 
 
 def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

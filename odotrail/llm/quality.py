@@ -5,12 +5,14 @@ byte-class bigrams, word lengths, repeats and distinct-word share, through a lea
 attention (tanh branch times sigmoid branch) weighs the passages, and the weighted sum is scored by a
 logistic unit. All weights are learned together from the documents' labels.
 
-Learning uses a bounded sample of labelled documents (``max_texts``, those with the smallest id hashes).
-Scoring encodes every passage of every whole text.
+Learning uses a bounded sample of labelled documents (``max_texts``, ``max_bytes``; see ``bounded_rows``), whose
+passages are encoded in tasks. Scoring encodes every passage of every whole text.
 
 Cases: null and empty texts are one empty passage and get a score as well. Labels null or other than 0
-and 1 are left out. A sample with one class gives that class's share as every score. Repeated rows are
-scored one by one.
+and 1 are left out; of several labels of an id the largest counts. Rows that repeat an id are all labelled rows,
+within the sample's bounds, and are scored one by one; null ids have no label. A sample with one class gives that
+class's share as every score. An empty table gives no rows. Columns other than id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -152,19 +154,25 @@ class AttentionMil:
         return sigmoid(self.forward(encode(data, cut), np.cumsum(n) - n)[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_texts: int = 8000, **options) -> AttentionMil:
-    """Fit on a bounded sample of the rows of ``labels`` (one label an id) that are in ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_texts: int = 8000, max_bytes: int = 64 << 20, **options) -> AttentionMil:
+    """Fit on a bounded sample of the rows of ``docs`` that have a label."""
     chosen = bounded_sample(labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("__y")), max_texts, id_col)
     found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    rows = bounded_rows(found, max_texts).select(text_col, F.col("__y").cast("double").alias("y")).toArrow().combine_chunks()
-    x, bags = [], []
-    for b in rows.to_batches():
-        data, bounds = utf8(b.column(0))
-        for i, j in blocks(bounds):
-            cut, n = passages(bounds[i : j + 1] - bounds[i])
-            x.append(encode(data[bounds[i] : bounds[j]], cut))
-            bags.append(n)
-    return AttentionMil.fit(np.concatenate(x) if x else np.zeros((0, WIDTH)), np.concatenate(bags) if bags else np.zeros(0, np.int64), rows.column("y").to_numpy(), **options)
+    sample = bounded_rows(found, max_texts, text_col, max_bytes).select(text_col, F.col("__y").cast("double"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, bounds = utf8(b.column(0))
+            for i, j in blocks(bounds):
+                cut, n = passages(bounds[i : j + 1] - bounds[i])
+                x = encode(data[bounds[i] : bounds[j]], cut).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)) * WIDTH, pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), lists], names=["y", "x"])
+
+    rows = sample.mapInArrow(encoded, "y double, x array<float>").withColumn("h", F.xxhash64("x")).toArrow().sort_by([("h", "ascending"), ("y", "ascending")]).combine_chunks()
+    lists = rows.column("x").combine_chunks()
+    x = lists.flatten().to_numpy().reshape(-1, WIDTH).astype(float)
+    return AttentionMil.fit(x, np.diff(lists.offsets.to_numpy()) // WIDTH, rows.column("y").to_numpy(), **options)
 
 
 def score(docs: DataFrame, model: AttentionMil, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

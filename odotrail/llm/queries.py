@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, decontaminate, langid, minhash, quality, substring, suffix, toxicity, urls
 from .common import fold_of, table
 
+def held_out(folds: int, fold: int) -> Column:
+    """Rows of one fold of ids; null ids are in none."""
+    return F.coalesce(fold_of("doc_id", folds) == fold, F.lit(False))
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -16,7 +21,7 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), fold_of("doc_id", 5) == 0
+    docs, held = table(spark, sf_dir, "documents"), held_out(5, 0)
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held))
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -24,11 +29,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold_of("doc_id", 5) != 0))
-    return langid.identify(docs, model).select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), fold_of("doc_id", 3) == 1
+    docs, held = table(spark, sf_dir, "documents"), held_out(3, 1)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held))
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

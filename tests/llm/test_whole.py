@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from odotrail.llm import ann, bpe, langid, minhash, quality, toxicity
+from odotrail.llm import ann, bpe, minhash, quality, queries, toxicity
+from odotrail.llm.common import bounded_rows
 
 from .test_llm import brute, brute_components, documents, near_copies
 
@@ -46,23 +47,30 @@ def test_near_duplicates_of_repeated_rows(spark, monkeypatch, limit):
     assert got == sorted(once + [once[i] for i in twice])
 
 
-def test_fitting_samples_are_bounded_in_rows(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(langid.LanguageFilter, "fit", staticmethod(lambda texts, **_: seen.append(sorted(texts))))
-    monkeypatch.setattr(quality.AttentionMil, "fit", staticmethod(lambda x, bags, y, **_: seen.append(y)))
-    monkeypatch.setattr(toxicity.NaiveBayesLinear, "fit", staticmethod(lambda texts, y, **_: seen.append(y)))
-    ids = [None] * 200 + [7] * 200 + list(range(1000, 1200))
-    docs = documents(spark, [f"text {i}" for i in range(600)], ids)
-    for parts in (2, 5):  # one id, null or not, holds a third of the rows
-        langid.fit(docs.repartition(parts), max_texts=60)
-        langid.fit(docs.union(documents(spark, ["copy"] * 400, [8] * 400)).repartition(parts), max_texts=60)
-    assert [len(s) for s in seen] == [60] * 4 and seen[:2] == seen[2:]
-    assert sum(t == b"copy" for _, t in seen[1]) <= 1
-    seen.clear()
-    labels = spark.createDataFrame([(7, 1, 1), (1000, 0, 0), (1001, 0, 0)], "doc_id long, quality int, toxic int")
+def test_fitting_samples_are_bounded(spark):
+    ids = [None] * 200 + [7] * 200 + list(range(1000, 1200))  # one id, null or not, holds a third of the rows
+    docs = documents(spark, [f"text {i}" for i in range(600)], ids).select("doc_id", "text", "lang")
+    more = docs.union(documents(spark, ["copy"] * 400, [8] * 400).select("doc_id", "text", "lang"))
+    taken = [[sorted(tuple(r)[1:] for r in bounded_rows(d.repartition(parts), 60, "text").collect()) for parts in (2, 5)] for d in (docs, more)]
+    assert all(len(t) == 60 for pair in taken for t in pair) and all(a == b for a, b in taken)
+    assert sum(t == "copy" for t, _ in taken[1][0]) <= 1
+    assert bounded_rows(docs, 600, "text").count() == 600 and bounded_rows(docs.limit(0), 5, "text").count() == 0
+    few = bounded_rows(docs, 600, "text", max_bytes=640).collect()  # by bytes; and no text is over a 64th of them
+    assert 60 < len(few) <= 90 and sum(len(r.text) for r in few) <= 640
+    assert bounded_rows(docs.withColumn("text", F.repeat("text", 100)), 600, "text", max_bytes=640).count() == 0
+    tongues = docs.withColumn("lang", F.when(F.col("doc_id") == 1000, "fr").when(F.col("doc_id") != 7, "en"))
+    by = bounded_rows(tongues, 20, "text", by="lang").groupBy("lang").count().collect()
+    assert {(r["lang"], r["count"]) for r in by} == {("en", 10), ("fr", 1)}
+    assert bounded_rows(tongues, 20, "text", by="lang", max_groups=1).select("lang").distinct().count() == 1
+
+
+def test_classifiers_of_repeated_and_null_ids(spark):
+    docs = documents(spark, ["good prose here"] * 40 + ["bad words here"] * 40 + ["good prose here"], [1] * 40 + [None] * 20 + [2] * 20 + [1])
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for module in (quality, toxicity):
-        module.fit(docs, labels, max_texts=60)
-    assert [len(y) for y in seen] == [60, 60]
+        got = module.score(docs, module.fit(docs, labels, max_texts=30)).collect()
+        assert len(got) == 81 and all(0 <= r.score <= 1 for r in got)
+    assert {r.held_out for r in docs.select(queries.held_out(3, 1).alias("held_out")).collect()} <= {True, False}
 
 
 def test_bpe_of_long_white_space(spark):
