@@ -164,9 +164,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-#: Odd base of the polynomial hashes modulo 2**64, and its inverse there.
+#: Odd bases of the polynomial hashes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+SECOND_BASE = 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -187,12 +187,12 @@ def powers(base: int, n: int) -> np.ndarray:
 class PolyHash:
     """Polynomial hashes of any slices of one sequence, from prefix sums (Rabin-Karp modulo 2**64)."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, base: int = BASE):
         n = len(values)
         self.prefix = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(values * powers(BASE, n)[:n], out=self.prefix[1:])
-        self.inverse = powers(BASE_INVERSE, n + 1)
+            np.cumsum(values * powers(base, n)[:n], out=self.prefix[1:])
+        self.inverse = powers(pow(base, -1, 1 << 64), n + 1)
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -7,11 +7,16 @@
 3. Each chunk merges its repeated windows into maximal intervals of words for each document.
 4. The intervals are joined to the documents, whose words are then removed.
 
-Two windows count as equal if their 64-bit hashes and their buckets (chosen by further hash bits) agree.
+Two windows count as equal if 64 bits of one polynomial hash, 8 bits of a second one and their buckets, which other
+bits of the second one choose, agree. With windows of 10**13 words in all (about 100 TB, over 2**19 buckets), that makes
+0.02 false equalities among all pairs on average; at 30 GB about 10**-5.
 
-Cases: a null text has no words; texts with fewer words than a window lose nothing. Rows with one id do not
-remove each other's words; a null id counts as larger than all others. Repeated rows give repeated results.
-Extra columns are only carried if asked for.
+The number of buckets grows with the bytes of text (``BUCKET_BYTES``), so a bucket does not. A chunk sends one row a
+bucket at most, and never more than one a window.
+
+Cases: a null text has no words; texts with fewer words than a window lose nothing. Rows with one id (ties) do not
+remove each other's words; a null id counts as larger than all others. Repeated rows give repeated results. An empty
+table gives no rows. Extra columns are only carried if asked for, and ignored otherwise, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,18 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, PolyHash, blocks, mix64, utf8, word_hashes, words
+from .common import SECOND_BASE, PolyHash, blocks, mix64, utf8, word_hashes, words
 
 #: Windows (about as many as words) of a chunk; a longer document is a chunk alone.
 CHUNK_WINDOWS = 1_500_000
+#: Bytes of text whose windows (or anchors) share a bucket, on average.
+BUCKET_BYTES = 16 << 20
 NULL_ID = (1 << 63) - 1
 #: bucket; chunk; ids: sorted document keys; first: first word of each document in the chunk's numbering;
-#: h: window hashes; at: their words (differences); text: the documents' text hashes; repeats: known repeats.
+#: h: window hashes of 8 bytes, then as many of 1 byte; at: their words (differences); text: the documents' text hashes; repeats: known repeats.
 PACKED = "bucket int, chunk long, ids binary, first binary, h binary, at binary, text binary, repeats binary"
 
 
-def bucket_count(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """(number of buckets for the texts of ``docs``, their bytes); there are as many as shuffle partitions at least."""
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), size
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,21 +52,33 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__hash": F.xxhash64(F.coalesce(text_col, F.lit("")))})
 
 
-def window_hashes(data: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the window at every word, first word of each row); 0 where a row has no whole window."""
-    hashes, counts = [], [np.zeros(1, np.int64)]
+def window_hashes(data: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words at which a whole window starts, two independent hashes of it, first word of each row)."""
+    starts, hashes, seconds, counts = [], [], [], [np.zeros(1, np.int64)]
+    done = 0
     for i, j in blocks(bounds):
         part, cut = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         start, end, first = words(part, cut)
-        poly = PolyHash(word_hashes(part, start, end))
+        h = word_hashes(part, start, end)
         at = np.arange(len(start))
-        row = np.searchsorted(first, at, "right") - 1
-        whole = at + window <= first[row + 1]
-        h = np.zeros(len(start), np.uint64)
-        h[whole] = mix64(poly.slices(at[whole], at[whole] + window)) | np.uint64(1)
-        hashes.append(h)
+        at = at[at + window <= first[np.searchsorted(first, at, "right")]] if len(at) else at
+        starts.append(at + done)
+        hashes.append(mix64(PolyHash(h).slices(at, at + window)))
+        seconds.append(mix64(PolyHash(mix64(h ^ np.uint64(SECOND_BASE)), SECOND_BASE).slices(at, at + window)))
         counts.append(np.diff(first))
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(np.concatenate(counts))
+        done += len(start)
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return join(starts, np.int64), join(hashes, np.uint64), join(seconds, np.uint64), np.cumsum(np.concatenate(counts))
+
+
+def sorted_classes(h: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order by both hashes, where a new pair of them begins)."""
+    order = np.argsort(h, kind="stable")
+    x, y = h[order], second[order]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+        order = np.lexsort((second, h))
+        x, y = h[order], second[order]
+    return order, np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(h) else np.zeros(0, bool)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,32 +122,28 @@ def _send(buckets: int, window: int, chunk_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, text, data, bounds in chunks(batches, chunk_bytes):
-            h, first = window_hashes(data, bounds, window)
-            at = np.flatnonzero(h)
-            h = h[at]
+            at, h, second, first = window_hashes(data, bounds, window)
             row = np.searchsorted(first, at, "right") - 1
-            order = np.argsort(h, kind="stable")  # rows are sorted by id, so each hash's smallest id comes first
-            sorted_h, owner = h[order], ids[row[order]]
-            fresh = np.append(True, sorted_h[1:] != sorted_h[:-1]) if len(h) else np.zeros(0, bool)
+            order, fresh = sorted_classes(h, second)  # rows are sorted by id, so each class's smallest id comes first
+            owner = ids[row[order]]
             smallest = owner[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(h) else owner
             known = np.zeros(len(h), bool)
             known[order] = owner > smallest
-            del order, sorted_h, owner, fresh, smallest
+            del order, owner, fresh, smallest
             repeats = pack_deltas(at[known])
-            h, at, row = h[~known], at[~known], row[~known]
-            bucket = ((mix64(h ^ np.uint64(BASE)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            h, second, at, row = h[~known], second[~known], at[~known], row[~known]
+            bucket = ((second >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            h, at, row = h[order], at[order], row[order]
+            h, second, at, row = h[order], second[order].astype(np.uint8), at[order], row[order]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = [(int(number % buckets), number, ids.tobytes(), first.tobytes(), None, None, text.tobytes(), repeats)]
-            for k in range(buckets):
+            for k in np.flatnonzero(np.diff(cut)).tolist():
                 lo, hi = cut[k], cut[k + 1]
-                if lo < hi:
-                    docs, n = np.unique(row[lo:hi], return_counts=True)
-                    out.append((k, number, ids[docs].tobytes(), n.astype(np.uint32).tobytes(), h[lo:hi].tobytes(), pack_deltas(at[lo:hi]), None, None))
-                    if len(out) == 64:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 6], strict=True)], names=names)
-                        out = []
+                docs, n = np.unique(row[lo:hi], return_counts=True)
+                out.append((k, number, ids[docs].tobytes(), n.astype(np.uint32).tobytes(), h[lo:hi].tobytes() + second[lo:hi].tobytes(), pack_deltas(at[lo:hi]), None, None))
+                if len(out) == 64:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 6], strict=True)], names=names)
+                    out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 6], strict=True)], names=names)
 
@@ -143,19 +160,19 @@ def _answer(group: pa.Table) -> pa.Table:
     for r in group.to_pylist():
         (out if r["h"] is None else sent).append((r["chunk"], r["ids"], r["first"], r["text"], r["repeats"]) if r["h"] is None else r)
     if sent:
-        h = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in sent])
+        size = [len(r["h"]) // 9 for r in sent]
+        h = np.concatenate([np.frombuffer(r["h"], np.uint64, n) for r, n in zip(sent, size, strict=True)])
+        second = np.concatenate([np.frombuffer(r["h"], np.uint8, n, 8 * n) for r, n in zip(sent, size, strict=True)])
         owner = np.concatenate([np.repeat(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["first"], np.uint32)) for r in sent])
-        size = [len(r["h"]) // 8 for r in sent]
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        del h
+        order, fresh = sorted_classes(h, second)
+        begin = np.flatnonzero(fresh)
+        del h, second, fresh
         owner_sorted = owner[order]
         smallest = np.repeat(np.minimum.reduceat(owner_sorted, begin), np.diff(np.append(begin, len(owner))))
         known = np.zeros(len(owner), bool)
         known[order] = owner_sorted > smallest
-        for r, e in zip(sent, np.cumsum(size), strict=True):
-            mine = known[e - len(r["h"]) // 8 : e]
+        for r, n, e in zip(sent, size, np.cumsum(size), strict=True):
+            mine = known[e - n : e]
             if mine.any():
                 out.append((r["chunk"], None, None, None, pack_deltas(unpack_deltas(r["at"])[mine])))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, [pa.int64(), *[pa.binary()] * 4], strict=True)], names=["chunk", "ids", "first", "text", "repeats"])
@@ -183,7 +200,7 @@ def _merge(window: int):
 
 def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 6 * CHUNK_WINDOWS) -> DataFrame:
     """(__id, __hash, starts, stops): the word intervals to remove, for each document that has any. See ``keyed``."""
-    buckets = bucket_count(docs)
+    buckets, _ = bucket_count(docs, text_col)
     rows = keyed(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col).select("__id", "__hash", text_col)
     sent = rows.mapInArrow(_send(buckets, window, chunk_bytes), PACKED)
     answers = sent.groupBy("bucket").applyInArrow(_answer, ANSWER)

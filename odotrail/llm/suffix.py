@@ -7,16 +7,22 @@ every such window holds the anchor its own bytes choose, and equal windows hold
 1. Anchors' seeds are dealt to buckets as packed hashes; those found once only can't lie in a repeat.
 2. The anchors found again bring their surroundings (the ``length`` bytes from the anchor on, and the bytes
    before it) to the bucket of their seed. Equal surroundings are merged, within a chunk before they travel.
+   A seed of more than ``hot_suffixes`` anchors (a common line, say) is dealt further: a window that starts ``low`` to
+   ``high`` bytes before its anchor holds the ``low`` bytes before it and ``length - high`` from it on, so for each of
+   ``PARTS`` the surroundings that such windows can reach go to the bucket of these bytes, all but 20 of the window's.
 3. Each bucket takes these suffixes batch by batch into a family of suffix arrays whose sizes double: a new
    batch is sorted, merge-scanned against every level for long matches, and merged with equal-sized levels
    (``SuffixFamily``). A match is extended to the left; if it reaches ``length`` bytes in all it is a repeat.
 4. Each chunk joins the repeats into maximal runs of bytes for its documents, and these are cut out.
 
-All matches are compared byte by byte; hashes only choose what is compared.
+All matches are compared byte by byte; hashes only choose what is compared. The number of buckets grows with the
+bytes of text, so a bucket does not (but for anchors of one text that more than ``length`` - 20 bytes repeat).
 
 Cases: a null text counts as empty; shorter texts than ``length`` lose nothing. Repeated rows are repeats
-of each other. A null id works as any other. Runs may begin or end within a character: the kept bytes need
-not be valid UTF-8, so they are returned as a digest (or as binary).
+of each other, whatever their ids (so there are no ties to break). A null id works as any other. An empty table gives
+no rows. NUL bytes are bytes like others. Runs may begin or end within a character: the kept bytes need not be valid
+UTF-8, so they are returned as a digest (or as binary). Very long texts are worked on in overlapping stretches. Columns
+other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,17 +36,37 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, PolyHash, blocks, mix64, utf8
+from .common import BASE, BYTE_VALUES, PolyHash, blocks, materialize, mix64, utf8
 from .substring import bucket_count, chunks, keyed, pack_deltas, unpack_deltas
 
 SEED = 40
 CHUNK_BYTES = 8_000_000
 #: Suffixes further apart than this in a suffix array are matched class by class instead of pair by pair.
 NEAR = 24
+#: Bytes that one numpy step of the anchors' search works on.
+STEP = 4 << 20
+
+
+def parts(length: int) -> list[tuple[int, int]]:
+    """Distances (low, high) from a window's start to its anchor: first all of them, then split for hot seeds."""
+    reach = length - SEED
+    return [(0, reach), *[(low, min(low + 20, reach)) for low in range(0, reach, 20)]]
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, seed hashes) of the anchors of all windows of ``length`` bytes within the rows."""
+    if len(data) <= STEP:
+        return _anchors(data, bounds, length)
+    found = []
+    for lo in range(0, len(data), STEP):  # every window lies within the stretch that it starts in
+        hi = min(len(data), lo + STEP + length - 1)
+        at, h = _anchors(data[lo:hi], np.clip(bounds, lo, hi) - lo, length)
+        found.append((at + lo, h))
+    at, first = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
+    return at, np.concatenate([f[1] for f in found])[first]
+
+
+def _anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     span = length - SEED + 1
     n = len(data) - SEED + 1
     if n < span:
@@ -85,34 +111,42 @@ def _send_seeds(buckets: int, length: int, chunk_bytes: int):
             at, h = np.concatenate(places), np.concatenate(hashes)
             _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             again = pack_deltas(at[n[inverse] > 1])
-            first.sort()
+            order = np.argsort(first)
+            first, n = first[order], n[order].astype(np.uint32)
             at, h = at[first], h[first]
             bucket = (mix64(h) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            at, h = at[order], h[order]
+            at, h, n = at[order], h[order], n[order]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(int(number % buckets), number, ids.tobytes(), bounds.tobytes(), text.tobytes(), None, again)]
-            rows += [(k, number, None, None, None, h[cut[k] : cut[k + 1]].tobytes(), pack_deltas(at[cut[k] : cut[k + 1]])) for k in range(buckets) if cut[k] < cut[k + 1]]
+            rows += [(k, number, None, None, None, h[cut[k] : cut[k + 1]].tobytes() + np.minimum(n[cut[k] : cut[k + 1]], 255).astype(np.uint8).tobytes(), pack_deltas(at[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut)).tolist()]
             for k in range(0, len(rows), 64):
                 yield _binary_batch(rows[k : k + 64], SEEDS, [pa.int32(), pa.int64()])
 
     return run
 
 
-def _answer_seeds(group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    out = [(r["chunk"], r["ids"], r["first"], r["text"], r["at"]) for r in rows if r["h"] is None]
-    sent = [r for r in rows if r["h"] is not None]
-    if sent:
-        _, inverse, n = np.unique(np.concatenate([np.frombuffer(r["h"], np.uint64) for r in sent]), return_inverse=True, return_counts=True)
-        again = n[inverse] > 1
-        at = 0
-        for r in sent:
-            mine = again[at : at + len(r["h"]) // 8]
-            at += len(r["h"]) // 8
-            if mine.any():
-                out.append((r["chunk"], None, None, None, pack_deltas(unpack_deltas(r["at"])[mine])))
-    return pa.Table.from_batches([_binary_batch(out, ["chunk", "ids", "first", "text", "at"], [pa.int64()])])
+def _answer_seeds(hot_suffixes: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Tells each chunk which of its seeds are found again; a row without a chunk holds the hot seeds (by counts of up to 255 a chunk)."""
+        rows = group.to_pylist()
+        out = [(r["chunk"], r["ids"], r["first"], r["text"], r["at"]) for r in rows if r["h"] is None]
+        sent = [r for r in rows if r["h"] is not None]
+        if sent:
+            size = [len(r["h"]) // 9 for r in sent]
+            seeds, inverse, n = np.unique(np.concatenate([np.frombuffer(r["h"], np.uint64, k) for r, k in zip(sent, size, strict=True)]), return_inverse=True, return_counts=True)
+            total = np.bincount(inverse, np.concatenate([np.frombuffer(r["h"], np.uint8, k, 8 * k) for r, k in zip(sent, size, strict=True)]))
+            out.append((None, seeds[total > hot_suffixes].tobytes(), None, None, None))
+            again = n[inverse] > 1
+            at = 0
+            for r, k in zip(sent, size, strict=True):
+                mine = again[at : at + k]
+                at += k
+                if mine.any():
+                    out.append((r["chunk"], None, None, None, pack_deltas(unpack_deltas(r["at"])[mine])))
+        return pa.Table.from_batches([_binary_batch(out, ["chunk", "ids", "first", "text", "at"], [pa.int64()])])
+
+    return run
 
 
 def _anchors_of_documents(group: pa.Table) -> pa.Table:
@@ -126,6 +160,13 @@ def _anchors_of_documents(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[docs]), pa.array(text[docs]), pa.ListArray.from_arrays(cut, pa.array(at - bounds[row], pa.int32()))], names=["__id", "__hash", "anchors"])
 
 
+def sortable(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Zero-padded byte rows as strings in their true order: a row before all that it begins. (Rows that differ in closing
+    zero bytes alone are told apart by their size, one byte more.)"""
+    wide = np.concatenate([rows, sizes.astype(np.uint8)[:, None]], 1)
+    return wide.view(f"S{wide.shape[1]}").ravel()
+
+
 class SuffixFamily:
     """Suffix arrays over sampled suffixes, in levels whose sizes double.
 
@@ -138,7 +179,7 @@ class SuffixFamily:
     def __init__(self, right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray):
         self.right, self.right_len, self.left, self.left_len = right, right_len, left, left_len
         self.length, self.reach = right.shape[1], left.shape[1]
-        self.text = np.ascontiguousarray(right).view(f"S{self.length}").ravel()
+        self.text = sortable(right, right_len)
         self.lowest = np.maximum(0, self.length - right_len)  # of the windows that fit
         self.least, self.most = np.full(len(right), self.reach + 1), np.full(len(right), -1)
         self.levels: dict[int, np.ndarray] = {}
@@ -217,7 +258,7 @@ class SuffixFamily:
     def scan_class(self, members: np.ndarray) -> None:
         if self.done()[members].all():
             return
-        by_left = np.argsort(np.ascontiguousarray(self.left[members]).view(f"S{self.reach}").ravel(), kind="stable")
+        by_left = np.argsort(sortable(self.left[members], self.left_len[members]), kind="stable")
         left_lcp = self.common(self.left, self.left_len, members[by_left[:-1]], members[by_left[1:]])
         right_lcp = self.common(self.right, self.right_len, members[:-1], members[1:])
         left_class = np.empty(len(members), np.int64)
@@ -234,7 +275,7 @@ class SuffixFamily:
 SURROUNDINGS = ["bucket", "chunk", "ids", "text", "doc", "at", "bytes", "runs"]
 
 
-def _send_surroundings(buckets: int, length: int, chunk_bytes: int):
+def _send_surroundings(buckets: int, length: int, chunk_bytes: int, hot):
     reach = length - SEED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,28 +301,41 @@ def _send_surroundings(buckets: int, length: int, chunk_bytes: int):
                     wide[lo : lo + 4096, :length] = np.where(step < right_len[lo : lo + 4096, None], data[np.minimum(p + step, len(data) - 1)], 0)
                     step = np.arange(reach)
                     wide[lo : lo + 4096, length:-2] = np.where(step < left_len[lo : lo + 4096, None], data[np.maximum(p - 1 - step, 0)], 0)
-                wide[:, -2], wide[:, -1] = right_len, left_len
-                _, first, inverse, n = np.unique(wide.view(f"S{wide.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
-                many = n[inverse] > 1
-                whole = many & (right_len + left_len >= length)
-                runs = np.stack([doc[whole] - i, (at - left_len)[whole], (at + right_len)[whole]]).astype(np.int32)
-                keep = first[np.argsort(first)]
-                seed = PolyHash(BYTE_VALUES[wide[keep, :SEED]].ravel()).slices(np.arange(len(keep)) * SEED, np.arange(1, len(keep) + 1) * SEED)
-                bucket = (mix64(seed ^ np.uint64(BASE)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                keep = keep[order]
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [(int(number % buckets), number, ids[i:j].tobytes(), text[i:j].tobytes(), None, None, None, runs.tobytes())]
-                for k in range(buckets):
-                    mine = keep[edge[k] : edge[k + 1]]
-                    if len(mine):
-                        w = wide[mine]
-                        rows.append((k, number, None, None, (doc[mine] - i).astype(np.uint32).tobytes(), at[mine].astype(np.uint32).tobytes(), zstandard.compress(w.tobytes(), 1), None))
+                seed = mix64(PolyHash(BYTE_VALUES[wide[:, :SEED]].ravel()).slices(np.arange(len(at)) * SEED, np.arange(1, len(at) + 1) * SEED))
+                is_hot = np.isin(seed, hot.value)
+                runs, rows = [], []
+                for part, (low, high) in enumerate(parts(length)):
+                    right, left = np.minimum(right_len, length - low), np.minimum(left_len, high)
+                    mine = np.flatnonzero(is_hot & (left >= low) & (right + left >= length) if part else ~is_hot)
+                    if not len(mine):
+                        continue
+                    w, right, left = wide[mine], right[mine], left[mine]
+                    if part:
+                        w[:, length - low : length], w[:, length + high : -2] = 0, 0
+                    w[:, -2], w[:, -1] = right, left
+                    _, first, inverse, n = np.unique(w.view(f"S{w.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
+                    whole = (n[inverse] > 1) & (right + left >= length)
+                    runs.append(np.stack([doc[mine] - i, at[mine] - left, at[mine] + right])[:, whole])
+                    keep = np.sort(first)
+                    w, held = w[keep], mine[keep]
+                    if part:
+                        shared = np.concatenate([w[:, length : length + low][:, ::-1], w[:, : length - high]], 1)
+                        size = shared.shape[1]
+                        key = mix64(PolyHash(BYTE_VALUES[shared].ravel()).slices(np.arange(len(w)) * size, np.arange(1, len(w) + 1) * size))
+                    else:
+                        key = seed[held]
+                    bucket = (mix64(key ^ np.uint64(BASE)) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    w, held = w[order], held[order]
+                    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                    for k in np.flatnonzero(np.diff(edge)).tolist():
+                        lo, hi = edge[k], edge[k + 1]
+                        rows.append((part * buckets + k, number, None, None, (doc[held[lo:hi]] - i).astype(np.uint32).tobytes(), at[held[lo:hi]].astype(np.uint32).tobytes(), zstandard.compress(w[lo:hi].tobytes(), 1), None))
                         if len(rows) == 64:
                             yield _binary_batch(rows, SURROUNDINGS, [pa.int32(), pa.int64()])
                             rows = []
-                if rows:
-                    yield _binary_batch(rows, SURROUNDINGS, [pa.int32(), pa.int64()])
+                rows.append((int(number % buckets), number, ids[i:j].tobytes(), text[i:j].tobytes(), None, None, None, np.concatenate([np.zeros((3, 0), np.int64), *runs], 1).astype(np.int32).tobytes()))
+                yield _binary_batch(rows, SURROUNDINGS, [pa.int32(), pa.int64()])
                 number += 1
 
     return run
@@ -334,27 +388,30 @@ def _runs_of_documents(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[docs]), pa.array(text[docs]), pa.ListArray.from_arrays(cut, pa.array(start[begin], pa.int32())), pa.ListArray.from_arrays(cut, pa.array(reach[end] if len(doc) else stop, pa.int32()))], names=["__id", "__hash", "starts", "stops"])
 
 
-def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot_suffixes: int = 20_000) -> DataFrame:
     """(__id, __hash, starts, stops): the maximal byte runs covered by repeats, for each document that has any."""
     if length <= SEED or length > 255:
         raise ValueError(f"length must be from {SEED + 1} to 255")
-    buckets = bucket_count(docs)
+    buckets, size = bucket_count(docs, text_col)
+    hot_suffixes = max(hot_suffixes, size // 80_000_000)  # one byte in about 80 is an anchor, so about a million seeds are hot at most
     rows = keyed(docs.select(F.col(id_col), F.col(text_col).alias("__text")), id_col, "__text").select("__id", "__hash", "__text")
     long_rows = rows.filter(F.octet_length("__text") >= length)
     seeds = long_rows.mapInArrow(_send_seeds(buckets, length, chunk_bytes), "bucket int, chunk long, ids binary, first binary, text binary, h binary, at binary")
-    answers = seeds.groupBy("bucket").applyInArrow(_answer_seeds, "chunk long, ids binary, first binary, text binary, at binary")
-    found = answers.groupBy("chunk").applyInArrow(_anchors_of_documents, "__id long, __hash long, anchors array<int>")
+    answers = materialize(seeds.groupBy("bucket").applyInArrow(_answer_seeds(hot_suffixes), "chunk long, ids binary, first binary, text binary, at binary"), "seed-answers")
+    hot = np.unique(np.frombuffer(b"".join(bytes(r["ids"]) for r in answers.filter("chunk is null and octet_length(ids) > 0").select("ids").collect()), np.uint64))
+    hot = docs.sparkSession.sparkContext.broadcast(hot)
+    found = answers.filter("chunk is not null").groupBy("chunk").applyInArrow(_anchors_of_documents, "__id long, __hash long, anchors array<int>")
     found = found.groupBy("__id", "__hash").agg(F.max("anchors").alias("anchors"))
     near = long_rows.join(found, ["__id", "__hash"]).select("__id", "__hash", "anchors", "__text")
-    sent = near.mapInArrow(_send_surroundings(buckets, length, chunk_bytes), "bucket int, chunk long, ids binary, text binary, doc binary, at binary, bytes binary, runs binary")
+    sent = near.mapInArrow(_send_surroundings(buckets, length, chunk_bytes, hot), "bucket int, chunk long, ids binary, text binary, doc binary, at binary, bytes binary, runs binary")
     matched = sent.groupBy("bucket").applyInArrow(_match(length, batches), "chunk long, ids binary, text binary, runs binary")
     runs = matched.groupBy("chunk").applyInArrow(_runs_of_documents, "__id long, __hash long, starts array<int>, stops array<int>")
     return runs.groupBy("__id", "__hash").agg(F.max(F.struct("starts", "stops")).alias("s")).select("__id", "__hash", "s.starts", "s.stops")
 
 
-def remove_runs(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
+def remove_runs(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, **options) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_bytes``, the spans and the kept bytes."""
-    runs = repeated_runs(docs, length, batches, id_col, text_col)
+    runs = repeated_runs(docs, length, batches, id_col, text_col, **options)
     source = keyed(docs.select(id_col, F.col(text_col).alias("__text")), id_col, "__text").join(runs, ["__id", "__hash"], "left").select(id_col, "starts", "stops", "__text")
     kind = source.schema[id_col].dataType.simpleString()
 

@@ -233,7 +233,9 @@ def spoiled(seed, n=40):
             if t:
                 t[r.randrange(len(t))] = r.choice("xyz")
         out.append("".join(t))
-    return [*out, None, "", "a" * 1500, "ab" * 400, base[0], base[0], "q" * 199]
+    line = "".join(r.choices("lmnop", k=150))  # common between texts that differ, and where NULs end a text
+    ends = ["".join(r.choices("rst", k=r.randint(0, 200))) + line + "\x00" * r.randint(0, 90) for _ in range(25)]
+    return [*out, None, "", "a" * 1500, "ab" * 400, base[0], base[0], "q" * 199, *ends, "\x00" * 230, "\x00" * 210]
 
 
 def test_byte_runs_against_brute_force(spark):
@@ -241,8 +243,9 @@ def test_byte_runs_against_brute_force(spark):
         texts = spoiled(seed)
         raw = [(t or "").encode() for t in texts]
         gone = brute_runs(raw, length)
-        for batches in (1, 4):
-            got = {r.doc_id: r for r in suffix.remove_runs(documents(spark, texts), length, batches, with_bytes=True).collect()}
+        for batches, hot in ((1, 20_000), (4, 2)):  # hot: seeds that are found more often are split
+            docs = documents(spark, texts).withColumn("starts", F.lit("clash"))
+            got = {r.doc_id: r for r in suffix.remove_runs(docs, length, batches, with_bytes=True, hot_suffixes=hot, chunk_bytes=3000 if hot == 2 else 1 << 20).collect()}
             for d, t in enumerate(raw):
                 kept = bytes(c for i, c in enumerate(t) if i not in gone[d])
                 spans = sum(i in gone[d] and i - 1 not in gone[d] for i in range(len(t)))
@@ -251,6 +254,22 @@ def test_byte_runs_against_brute_force(spark):
     assert suffix.remove_runs(documents(spark, []), 200).count() == 0
 
 
+def test_anchors_in_stretches(monkeypatch):
+    r = np.random.default_rng(6)
+    data, bounds = r.integers(97, 101, 5000).astype(np.uint8), np.array([0, 300, 300, 450, 4800, 5000])
+    want = suffix.anchors(data, bounds, 200)
+    monkeypatch.setattr(suffix, "STEP", 700)
+    got = suffix.anchors(data, bounds, 200)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(want[0]) > 20
+
+
+def test_suffixes_that_end_in_nul():
+    texts = [b"s" * 40 + t for t in (b"\0\0b" + b"x" * 60, b"\0", b"\0\0b" + b"x" * 60, b"", b"\0\0")]
+    right = np.array([np.frombuffer(t.ljust(110, b"\0"), np.uint8) for t in texts])
+    family = suffix.SuffixFamily(right, np.array([len(t) for t in texts]), np.zeros((5, 10), np.uint8), np.zeros(5, int))
+    assert np.argsort(family.text, kind="stable").tolist() == [3, 1, 4, 0, 2]
+
+
 def test_suffix_family_large_classes():
     r = random.Random(5)
     seed = "".join(r.choices("abcdefgh", k=40))
