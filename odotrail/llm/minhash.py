@@ -5,24 +5,32 @@
 2. Circulant MinHash: one permutation scatters the shingles over ``UNIVERSE`` places, a second one, shifted
    by 0, 1, 2, ... places, gives all signature coordinates. (Li and Li, "C-MinHash", 2022.) ``bands`` bands
    of ``rows`` coordinates each name the buckets of a node.
-3. Nodes that share a bucket, directly or through others, form a candidate group (connected components over
-   member-to-smallest-member links, in Spark).
-4. Each group is verified on full sets: a prefix filter, which loses no pair at the threshold, and a union-find
-   yield the links that join its components. Small groups are packed together; a group of more than
-   ``GROUP_NODES`` nodes or ``GROUP_SHINGLES`` shingles is cut into blocks, and every pair of blocks is a task
-   of its own. At most one link a node and task is returned, never all pairs.
-5. Components of the links; the smallest id of each is its name.
+3. Every node of a bucket is compared with the bucket's smallest node, on full sets; connected components of these
+   links are formed in Spark.
+4. A bucket whose nodes are now in one component has nothing left to say, and one of two nodes is done. All other
+   buckets are verified whole, those with equal members once: a prefix filter, which loses no pair at the threshold,
+   and a union-find that starts from the components yield the links that join them.
+5. Components of all links; the smallest id of each is its name.
 
-At similarity 0.85, 24 bands of 5 coordinates miss a pair with probability 1e-6.
+So every pair of nodes that share a bucket is linked if it is similar enough, or is joined through others. Small groups
+are packed together; of a larger group than ``GROUP_NODES`` nodes or ``GROUP_SHINGLES`` shingles, the smallest node is
+copied to several tasks (3), or blocks of nodes are verified pair by pair (4): no task holds more than two blocks. At most one
+link a node and task is returned, never all pairs.
+
+The number of bands follows from the threshold: a pair right at it is missed with probability ``MISS`` (24 bands of 5
+coordinates at similarity 0.85, 35 at 0.8).
 
 Cases: texts without words (and null texts) have an empty set, are linked with nothing and stay. A text with
 fewer words than a shingle has its whole sequence as its only one. Rows with null id join groups but never
-name them. Repeated rows share a node; only the smallest id of a component is kept.
+name them (a component of null ids alone has a null name). Repeated rows share a node; all rows that have a component's
+smallest id are kept. Very long texts are groups of their own, compared whole. An empty table gives no rows. Columns other
+than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, PolyHash, blocks, materialize, mix64, utf8, word_hashes, words
-from .graph import connected_components
+from .graph import connected_components, hot_limit, join_counted
 
 UNIVERSE = 1 << 18
 #: Largest group, in nodes and in shingles, that one task verifies alone; and the nodes of a pack of small groups.
@@ -39,6 +47,12 @@ GROUP_NODES = 1000
 GROUP_SHINGLES = 1_000_000
 PACK_NODES = 500
 PACK_SHINGLES = 500_000
+#: Probability that no band of a pair right at the threshold agrees.
+MISS = 1e-6
+
+
+def bands_for(percent: int, rows: int) -> int:
+    return max(1, math.floor(math.log(MISS) / math.log1p(-((percent / 100) ** rows)) + 0.5)) if percent < 100 else 1
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +120,15 @@ def _sketch(shingle: int, bands: int, rows: int):
     return run
 
 
-def link_sets(sets: list[np.ndarray], percent: int) -> list[int]:
-    """The component (a member's index) of each set, over all pairs with 100 * intersection >= percent * union.
+def link_sets(sets: list[np.ndarray], percent: int, same: list | None = None) -> list[int]:
+    """The component (a member's index) of each set, over all pairs with 100 * intersection >= percent * union; sets
+    with equal values of ``same`` are in one component from the start.
 
     Sets are taken by size; a pair at the threshold shares one of the rarest size - ceil(percent * size / 100) + 1
     elements of each. Posting lists are kept by component, so that members already joined are not compared.
     """
-    parent = list(range(len(sets)))
+    first: dict = {}
+    parent = list(range(len(sets))) if same is None else [first.setdefault(x, i) for i, x in enumerate(same)]
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -153,61 +169,122 @@ def link_sets(sets: list[np.ndarray], percent: int) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
-def _verify(shingle: int, percent: int):
+LINKS = "a binary, b binary"
+
+
+def _links(a: list[bytes], b: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _by_label(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows sorted by label and node, where labels begin, the texts' bytes and bounds)."""
+    group = group.sort_by([("label", "ascending"), ("node", "ascending")]).combine_chunks()
+    label = group.column("label").to_numpy()
+    return group, np.append(np.flatnonzero(np.append(True, label[1:] != label[:-1])), len(label)), *utf8(group.column("text").chunk(0))
+
+
+def _verify_stars(shingle: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
-        """Columns label, node, text of one pack of groups -> links a, b between nodes."""
-        group = group.sort_by([("label", "ascending"), ("node", "ascending")]).combine_chunks()
-        label, node = group.column("label").to_numpy(), group.column("node").to_pylist()
-        cut = np.append(np.flatnonzero(np.append(True, label[1:] != label[:-1])), len(label))
-        data, bounds = utf8(group.column("text").chunk(0))
+        """Links between the nodes of each label and the label's own node."""
+        group, cut, data, bounds = _by_label(group)
+        node, hub = group.column("node").to_pylist(), group.column("short").to_numpy() == group.column("label").to_numpy()
         a, b = [], []
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            if e - s < 2:
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            tokens, at = shingle_sets(data[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], shingle)
+            row = np.repeat(np.arange(e - s), np.diff(at))
+            for h in np.flatnonzero(hub[s:e]).tolist():
+                mine = tokens[at[h] : at[h + 1]]
+                place = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
+                both = np.bincount(row[mine[place] == tokens], minlength=e - s)
+                linked = 100 * both >= percent * (np.diff(at) + len(mine) - both)
+                for i in np.flatnonzero(linked).tolist():
+                    if node[s + i] != node[s + h]:
+                        a.append(node[s + i])
+                        b.append(node[s + h])
+        return _links(a, b)
+
+    return run
+
+
+def _verify_groups(shingle: int, percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links that join the components of each label's nodes."""
+        group, cut, data, bounds = _by_label(group)
+        node, component = group.column("node").to_pylist(), group.column("component").to_pylist()
+        a, b = [], []
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if len(set(component[s:e])) < 2:
                 continue
             tokens, at = shingle_sets(data[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], shingle)
-            for i, root in enumerate(link_sets(np.split(tokens, at[1:-1]), percent)):
-                if node[s + root] != node[s + i]:  # repeated rows of one node may both be here
+            for i, root in enumerate(link_sets(np.split(tokens, at[1:-1]), percent, component[s:e])):
+                if component[s + root] != component[s + i]:
                     a.append(node[s + i])
                     b.append(node[s + root])
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        return _links(a, b)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = 24, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _tasks(placed: DataFrame, group_nodes: int, group_shingles: int, pairs: bool) -> DataFrame:
+    """placed: label, short, n (shingles). -> short and ``places``: (label, task) for each label of it. A small label's task
+    is a pack; a large one has tasks for parts of its nodes (and its own node in all), or for ``pairs`` of them."""
+    limit = hot_limit(placed.count())
+    sizes = placed.groupBy("label").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
+    total = sizes.agg(F.sum("n").alias("nodes"), F.sum("shingles").alias("shingles")).first()
+    packs = max(1, -(-(total["nodes"] or 0) // PACK_NODES), -(-(total["shingles"] or 0) // PACK_SHINGLES))
+    count = F.greatest(F.ceil(F.col("n") / group_nodes), F.ceil(F.col("shingles") / group_shingles)).cast("long")
+    joined = join_counted(placed.select("label", "short"), sizes.select("label", "n", count.alias("parts")), "label", limit)
+    part = F.pmod(F.xxhash64("short", F.lit(1)), "parts")
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    task = lambda g, i, j: F.struct("label", F.struct(g.cast("long").alias("g"), i.cast("long").alias("i"), j.cast("long").alias("j")).alias("task"))
+    none = F.lit(-1)
+    alone = F.array(task(F.pmod(F.xxhash64("label"), F.lit(packs)), none, none))
+    if pairs:
+        split = F.transform(every, lambda o: task(F.col("label"), F.least(o, part), F.greatest(o, part)))
+    else:
+        split = F.when(F.col("short") == F.col("label"), F.transform(every, lambda o: task(F.col("label"), o, none))).otherwise(F.array(task(F.col("label"), part, none)))
+    chosen = joined.select("short", F.explode(F.when(F.col("parts") == 1, alone).otherwise(split)).alias("place"))
+    return chosen.groupBy("short").agg(F.collect_list("place").alias("places"))  # bands, and parts of one's own label, bound these
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int | None = None, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", group_nodes: int = GROUP_NODES, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept (also text_hash, which with the id names a row's text)."""
+    bands = bands or bands_for(percent, rows)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     sketch = materialize(source.mapInArrow(_sketch(shingle, bands, rows), "id long, text_hash long, n long, node binary, short long, keys array<long>"), "sketches")
+    nodes = sketch.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "text_hash", "short", "n", "keys")).alias("r"), F.min("id").alias("first")).select("node", "r.*", "first")
+    nodes = materialize(nodes, "nodes")
 
-    nodes = sketch.filter("node is not null").select("node", "short", "n", "keys").dropDuplicates(["node"])
     keyed = nodes.select("short", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("short").alias("hub"), F.max("short").alias("top")).filter("hub <> top").select("key", "hub")
-    candidates = keyed.join(hubs, "key").filter("short <> hub").select(F.col("short").alias("a"), F.col("hub").alias("b"))
-    groups = connected_components(candidates).select(F.col("node").alias("short"), F.col("component").alias("label"))
-
-    members = sketch.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "text_hash", "short", "n")).alias("r")).select("node", "r.*").join(groups, "short")
-    members = materialize(members.select("node", "id", "text_hash", "short", "label", "n"), "members")
-    sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
-    totals = members.agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")).first()
-    packs = max(1, -(-totals["nodes"] // PACK_NODES), -(-(totals["shingles"] or 0) // PACK_SHINGLES))
-    large = materialize(sizes.filter("parts > 1"), "large-groups")
-    split = large.limit(1).count() > 0
-
-    placed = members.join(large, "label", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node", F.lit(1)), "parts")))
-    alone = F.struct(F.pmod(F.xxhash64("label"), F.lit(packs)).alias("g"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
-    paired = F.transform(others, lambda o: F.struct(F.col("label").alias("g"), F.least(o, "part").alias("i"), F.greatest(o, "part").alias("j")))
-    placed = placed.withColumn("tasks", F.when(F.col("parts").isNull(), F.array(alone)).otherwise(paired)).select("id", "text_hash", "node", "label", "tasks")
-    texts = source.join(placed, (source.id.eqNullSafe(placed.id)) & (source.text_hash == placed.text_hash), "inner").select("node", "label", "tasks", "text").dropDuplicates(["node"])
-    links = texts.select("node", "label", F.explode("tasks").alias("task"), "text").groupBy("task").applyInArrow(_verify_task(shingle, percent), "a binary, b binary")
-    links = materialize(links, "verified-links")
-    if split:
-        named = connected_components(links)
-    else:  # whole groups: every link already points to its component's root
-        named = links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
-
-    smallest = sketch.filter("node is not null").groupBy("node").agg(F.min("id").alias("first"))
-    smallest = smallest.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    buckets = keyed.groupBy("key").agg(F.min("short").alias("hub"), F.max("short").alias("top"), F.count("*").alias("n")).filter("hub <> top").drop("top")
+    buckets = materialize(buckets, "buckets")
+    members = materialize(join_counted(keyed, buckets, "key", hot_limit(bands * nodes.count())), "bucket-members")
+    found = nodes.drop("keys", "first").join(members.select("short").distinct(), "short")
+    texts = source.join(found, (source.id.eqNullSafe(found.id)) & (source.text_hash == found.text_hash)).select("node", "short", "n", "text").dropDuplicates(["node"])
+    texts = materialize(texts, "candidate-texts")
+
+    stars = members.filter("short <> hub").select(F.col("hub").alias("label"), "short").union(members.select("hub", "hub")).distinct()
+    stars = materialize(stars.join(texts.select("short", "n"), "short"), "star-members")
+    stars = _tasks(stars, group_nodes, group_shingles, False)
+    sent = texts.join(stars, "short").select("short", "node", F.explode("places").alias("p"), "text").select("p.task", "p.label", "short", "node", "text")
+    links = materialize(sent.groupBy("task").applyInArrow(_without_task(_verify_stars(shingle, percent)), LINKS), "star-links")
+    named = connected_components(links)
+
+    owner = texts.select("short", "node").join(named, "node", "left").select("short", F.coalesce("component", "node").alias("component"))
+    owner = materialize(owner.groupBy("short").agg(F.min("component").alias("component")), "candidate-components")
+    in_bucket = members.join(owner, "short").select("key", "short", "component")
+    print_of = [F.sum(F.xxhash64("short").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("short", F.lit(7))).alias("bits")]
+    still_open = in_bucket.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *print_of).filter("n > 2 and low <> high")
+    still_open = still_open.groupBy("n", "total", "bits").agg(F.min("key").alias("key")).select("key", "n")
+    rest = join_counted(in_bucket.select("key", "short"), still_open, "key", hot_limit(members.count())).select(F.col("key").alias("label"), "short")
+    rest = materialize(rest.join(texts.select("short", "n"), "short"), "open-buckets")
+    if rest.limit(1).count():
+        groups = _tasks(rest, group_nodes, group_shingles, True)
+        sent = texts.join(owner, "short").join(groups, "short").select("node", "component", F.explode("places").alias("p"), "text").select("p.task", "p.label", "node", "component", "text")
+        more = materialize(sent.groupBy("task").applyInArrow(_without_task(_verify_groups(shingle, percent)), LINKS), "group-links")
+        named = connected_components(links.union(more))
+
+    smallest = nodes.select("node", "first").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = materialize(smallest, "components")
     first = smallest.groupBy("component").agg(F.min("first").alias("component_id"))
     lookup = smallest.join(first, "component").select("node", "component_id")
@@ -216,10 +293,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
-def _verify_task(shingle: int, percent: int):
-    verify = _verify(shingle, percent)
-
+def _without_task(verify):
     def run(group: pa.Table) -> pa.Table:
-        return verify(group.select(["label", "node", "text"]))
+        return verify(group.drop_columns(["task"]))
 
     return run

@@ -362,20 +362,46 @@ def near_copies(seed, n=120):
     return [*texts, None, "", "one", "ONE", "one two", " \n", *texts[:3]]
 
 
-@pytest.mark.parametrize("limit", [1000, 25])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(minhash, "GROUP_NODES", limit)
+@pytest.mark.parametrize("limit", [1000, 25, 4])
+def test_near_duplicates_against_brute_force(spark, limit):
     texts = near_copies(limit)
-    got = {r.doc_id: r for r in minhash.near_duplicates(documents(spark, texts), 3, 85).collect()}
+    docs = documents(spark, texts).withColumns({"n": F.lit("clash"), "text_hash": F.lit("clash"), "component_id": F.lit("clash")})
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs, 3, 85, group_nodes=limit).collect()}
     for i, (n, root) in enumerate(brute_components(texts, 3, 85)):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, root, i == root)
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_near_duplicates_in_mixed_buckets(spark, limit):
+    """With one band of one coordinate, buckets hold several components and all pairs in one are compared."""
+    r = random.Random(21)
+    texts = []
+    for _ in range(25):
+        base = [f"w{r.randint(0, 12)}" for _ in range(40)]
+        for _ in range(r.randint(1, 5)):
+            w = list(base)
+            w[r.randrange(40)] = f"x{r.randint(0, 3)}"
+            texts.append(" ".join(w))
+    bands = 60  # of one coordinate: pairs at the threshold are missed with probability 1e-48
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(documents(spark, texts), 3, 80, bands, 1, group_nodes=limit).collect()}
+    assert [got[i] for i in range(len(texts))] == [root for _, root in brute_components(texts, 3, 80)]
+
+
+def test_near_duplicates_of_null_ids_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(None, long), (5, long + " end"), (3, "short text here"), (None, "only one without a name"), (None, "only one without a name")]
+    got = sorted(tuple(r)[:4] for r in minhash.near_duplicates(documents(spark, [t for _, t in rows], [i for i, _ in rows]), group_shingles=1000).na.fill(-1).collect())
+    assert got == [(-1, 3, -1, True), (-1, 3, -1, True), (-1, 119_998, 5, False), (3, 1, 3, True), (5, 119_999, 5, True)]
+
+
 def test_components(spark):
     r = random.Random(9)
     pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
-    got = {x.node: x.component for x in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    pairs += [(5000, i) for i in range(5001, 5200)] + [(i, 6000) for i in range(5800, 6000)]  # more links than a shuffled key may have
+    odd = [(7, None), (None, None), (9, 9), pairs[0], pairs[0]]
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(pairs + odd, "a long, b long")).collect()}
+    assert connected_components(spark.createDataFrame(odd[:3], "a long, b long")).count() == 0
     want = {}
     for a, b in pairs:
         want.setdefault(a, a), want.setdefault(b, b)

@@ -36,13 +36,12 @@ def test_neighbours_with_a_repeated_row(spark):
 
 
 @pytest.mark.parametrize("limit", [1000, 10])  # 10: there are large groups too
-def test_near_duplicates_of_repeated_rows(spark, monkeypatch, limit):
-    monkeypatch.setattr(minhash, "GROUP_NODES", limit)
+def test_near_duplicates_of_repeated_rows(spark, limit):
     words = [f"q{i}" for i in range(120)]
     texts = [*near_copies(2), " ".join(words), " ".join([*words, "more"])]
     twice = [len(texts) - 2, len(texts) - 1] * 2
     docs = documents(spark, texts).union(documents(spark, [texts[i] for i in twice], twice))
-    got = sorted(tuple(r) for r in minhash.near_duplicates(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    got = sorted(tuple(r) for r in minhash.near_duplicates(docs, 3, 85, group_nodes=limit).select("doc_id", "n_shingles", "component_id", "kept").collect())
     once = [(i, n, root, i == root) for i, (n, root) in enumerate(brute_components(texts, 3, 85))]
     assert got == sorted(once + [once[i] for i in twice])
 
