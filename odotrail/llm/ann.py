@@ -2,21 +2,26 @@
 
 Each tree halves the vectors at the median along the direction between two random ones. A query searches all
 trees through one priority queue: the part of any tree whose path crosses the least squared distance to its
-splits comes next, until the wanted number of leaves is open. All vectors of the opened leaves are scored
-exactly in double precision. (Vectors get one more coordinate that gives all the same norm, so that the largest
+splits comes next, until the wanted number of leaves is open. The vectors of the opened leaves are ranked
+exactly, in double precision (single precision, with a margin for its error, picks those that can be among the best). (Vectors get one more coordinate that gives all the same norm, so that the largest
 inner product is the least distance.)
 
 Learning: the splits, and the number of leaves to open (the least that finds ``target`` of the true neighbours
 of sampled queries), come from a bounded sample of ``max_sample`` vectors. Every vector is indexed.
 
-Distribution: a tree's leaves are dealt in groups of neighbouring leaves. Indexed vectors and queries meet by
-group; queries are dealt on to salted copies of a group, so no task holds more than a group and streams its
-queries. Equal vectors are indexed once with their smallest ids, which is all that can be returned of them.
+Distribution: every tree has about one leaf a ``leaf_rows`` vectors, up to ``max_leaves`` leaves (beyond
+``leaf_rows * max_leaves`` vectors leaves grow, as the forest is broadcast). A tree's leaves are dealt in groups of
+neighbouring leaves with about ``group_rows`` vectors, and a group's vectors in pieces of that size where it has more.
+Indexed vectors and queries meet by group and piece, so no task holds more vectors than a piece; it streams its queries.
+Past ``salt_queries`` queries the index is copied to share them among tasks: a copy costs one vector's bytes for that
+many queries' work. Equal vectors are indexed once with their smallest ids, which is all that can be returned of them.
 
 Cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite numbers take
 no part, as candidates or as queries. Ties go to the smaller id. With fewer candidates than ``k`` all are
 returned, if their leaves are opened (a table no larger than one leaf is searched whole). Rows that repeat an id
-are candidates each, but only the id is returned, once.
+are candidates each, but the id is returned once, with its best score; as queries, different vectors of an id are
+answered each. An empty table gives no rows. Columns other
+than id and vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,19 +150,83 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-ROWS = "part int, salt int, kind int, leaves array<int>, v array<double>, ids array<long>"
+ROWS = "part int, piece int, salt int, kind int, leaves array<int>, v array<double>, ids array<long>"
 
 
-def _emit(part, salt, kind, leaves, v, ids) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(salt, pa.int32()), pa.array(np.full(len(part), kind), pa.int32()), pa.array(leaves, pa.list_(pa.int32())), v, ids], names=["part", "salt", "kind", "leaves", "v", "ids"])
+def _emit(part, piece, salt, kind, leaves, v, ids) -> pa.RecordBatch:
+    numbers = [pa.array(x, pa.int32()) for x in (part, piece, salt, np.full(len(part), kind))]
+    return pa.RecordBatch.from_arrays([*numbers, leaves, v, ids], names=["part", "piece", "salt", "kind", "leaves", "v", "ids"])
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4, leaf_rows: int = 200, group_rows: int = 4000, max_sample: int = 16_000, target: float = 0.95, salt_queries: int = 50_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+FOUND = pa.list_(pa.struct([("less", pa.float64()), ("id", pa.int64())]))
+
+
+def _found(q: pa.Array, n: np.ndarray, less: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+    pairs = pa.StructArray.from_arrays([pa.array(less), pa.array(who)], fields=list(FOUND.value_type))
+    return pa.RecordBatch.from_arrays([q, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pairs)], names=["q", "found"])
+
+
+def _spread(x: pa.Array, counts: np.ndarray) -> pa.Array:
+    return x.take(pa.array(np.repeat(np.arange(len(x)), counts)))
+
+
+def first_ids(owner: np.ndarray, less: np.ndarray, who: np.ndarray, n: int, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``n`` least (less, who) of each owner, an id only with its least: (number of each owner's, less, who)."""
+    order = np.lexsort((less, who, owner))
+    owner, less, who = owner[order], less[order], who[order]
+    fresh = np.append(True, (owner[1:] != owner[:-1]) | (who[1:] != who[:-1])) if len(who) else np.zeros(0, bool)
+    owner, less, who = owner[fresh], less[fresh], who[fresh]
+    order = np.lexsort((who, less, owner))
+    owner, less, who = owner[order], less[order], who[order]
+    few = np.arange(len(owner)) - np.searchsorted(owner, owner) < n
+    return np.bincount(owner[few], minlength=owners), less[few], who[few]
+
+
+def at_least(scores: np.ndarray, n: int) -> np.ndarray:
+    """For each row a number that ``n`` of its entries reach, close to the n-th largest: of stretches' largest ones, where there are enough stretches."""
+    stretches = scores.shape[1] // 64
+    if n <= stretches:
+        scores = scores[:, : 64 * stretches].reshape(len(scores), stretches, 64).max(2)
+    return np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+
+
+def best_of_block(x: np.ndarray, rough: np.ndarray, leaf: np.ndarray, ids: np.ndarray, cut: np.ndarray, q: np.ndarray, opened: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``n`` best ids of each query among the vectors of its opened leaves: (number of each query's, minus scores, ids).
+
+    rough: the vectors in single precision, scaled to a greatest length of one. They choose what is scored exactly: all whose
+    rough score is within the rounding error of the last one wanted, more where that gives too few different ids."""
+    distinct, place = np.unique(leaf, return_inverse=True)
+    wanted = np.zeros((len(q), len(distinct)), bool)
+    for i, leaves in enumerate(opened):
+        at = np.searchsorted(distinct, leaves)
+        wanted[i, at[(at < len(distinct)) & (distinct[np.minimum(at, len(distinct) - 1)] == leaves)]] = True
+    scores = (q / np.linalg.norm(q, axis=1)[:, None]).astype(np.float32) @ rough.T
+    np.copyto(scores, np.float32(-np.inf), where=~wanted[:, place])
+    margin = np.float32(8 * q.shape[1] * np.finfo(np.float32).eps)
+    least, take = np.full(len(q), np.finfo(np.float32).min), n
+    while True:
+        limit = least
+        if take < len(x):
+            limit = np.maximum(at_least(scores, take) - margin, least)
+        row, col = np.nonzero(scores >= limit[:, None])
+        exact = np.empty(len(row))
+        for lo in range(0, len(row), 1 << 15):
+            exact[lo : lo + (1 << 15)] = np.einsum("ij,ij->i", x[col[lo : lo + (1 << 15)]], q[row[lo : lo + (1 << 15)]])
+        many = np.diff(cut)[col]
+        who = ids[np.arange(many.sum()) + np.repeat(cut[col] - (np.cumsum(many) - many), many)]
+        found = first_ids(np.repeat(row, many), np.repeat(-exact, many), who, n, len(q))
+        if take >= len(x) or not ((found[0] < n) & (limit > least)).any():
+            return found
+        take *= 8  # some query's best vectors repeat ids
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4, leaf_rows: int = 200, group_bytes: int = 8 << 20, max_leaves: int = 4096, max_sample: int = 32_768, target: float = 0.95, salt_queries: int = 500_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For every row of ``vectors`` with ``queries`` true: query_id, rank (from 1), id, score of its ``k`` nearest others."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(usable("v") & F.col("id").isNotNull())
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if not size:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+        return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     rows = rows.filter(F.size("v") == size["d"])
     first = Window.partitionBy("v").orderBy("id")
     points = rows.select("id", "v").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
@@ -165,89 +235,109 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4, le
 
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     known = points.agg(F.count("*").alias("n"), F.max(norm2).alias("radius2")).first()
-    sample = np.array([r["v"] for r in bounded_sample(points.select("v"), max_sample, "v").orderBy(F.xxhash64("v"), "v").collect()])
-    most = max(1, min(known["n"] // leaf_rows, len(sample) // 8))
-    forest = Forest.fit(sample, known["radius2"], trees, 1 << int(np.log2(most)), k, target)
-    shared = vectors.sparkSession.sparkContext.broadcast(forest)
+    leaves = 1 << int(np.log2(max(1, min(known["n"] // leaf_rows, max_leaves))))
+    wanted = min(max_sample, max(16_384, 8 * leaves))
+    sample = np.array([r["v"] for r in bounded_sample(points.select("v"), wanted, "v").orderBy(F.xxhash64("v"), "v").collect()])
+    leaves = min(leaves, 1 << int(np.log2(max(1, len(sample) // 4))))  # of small tables: the sample is all of them
+    forest = Forest.fit(sample, known["radius2"], trees, leaves, k, target)
+    shared = spark.sparkContext.broadcast(forest)
+    group_rows = max(256, group_bytes // (8 * size["d"]))
     per_part = max(1, int(group_rows * len(forest.tree_of_leaf) / trees / known["n"]))  # neighbouring leaves of a tree
     salts = -(-max(1, asking.count()) // salt_queries)
 
     def part_of(leaf: np.ndarray, f: Forest) -> np.ndarray:
         return leaf // per_part * len(f.roots) + f.tree_of_leaf[leaf]
 
+    def count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = shared.value
+        for b in batches:
+            part, n = np.unique(part_of(f.assign(_matrix(b.column(0))), f), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n)], names=["part", "n"])
+
+    counted = points.select("v").mapInArrow(count_parts, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row a part of the forest
+    pieces = np.ones(len(forest.tree_of_leaf) // per_part * trees + trees + 1, np.int64)
+    for r in counted:
+        pieces[r["part"]] = -(-r["n"] // (2 * group_rows))
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for b in batches:
-            leaf = f.assign(_matrix(b.column(0)))
+            x = _matrix(b.column(0))
+            leaf = f.assign(x)
+            dealt = np.abs(x.view(np.int64).sum(1))
             for t in range(leaf.shape[1]):
+                part = part_of(leaf[:, t], f)
+                one = pa.ListArray.from_arrays(pa.array(np.arange(len(leaf) + 1), pa.int32()), pa.array(leaf[:, t], pa.int32()))
                 for s in range(salts):
-                    yield _emit(part_of(leaf[:, t], f), np.full(len(leaf), s), 0, leaf[:, t : t + 1].tolist(), b.column(0), b.column(1))
+                    yield _emit(part, dealt % pieces[part], np.full(len(leaf), s), 0, one, b.column(0), b.column(1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 c = b.slice(at, 256)
-                row, part, opened = [], [], []
-                for i, leaves in enumerate(f.search(_matrix(c.column(0)), f.open_leaves)):
+                found, row, part, lists = f.search(_matrix(c.column(0)), f.open_leaves), [], [], []
+                for i, leaves in enumerate(found):
                     leaves = np.sort(np.array(leaves))
                     p = part_of(leaves, f)
                     order = np.argsort(p, kind="stable")
                     p, leaves = p[order], leaves[order]
                     cut = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-                    row += [i] * len(cut)
-                    part += p[cut].tolist()
-                    opened += [x.tolist() for x in np.split(leaves, cut[1:])]
-                who = c.column(1).take(pa.array(row))
-                ids = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1), pa.int32()), who)
-                yield _emit(part, (who.to_numpy() % salts), 1, opened, c.column(0).take(pa.array(row)), ids)
+                    row.append(np.full(len(cut), i))
+                    part.append(p[cut])
+                    lists += np.split(leaves, cut[1:])
+                row, part = np.concatenate(row), np.concatenate(part)
+                opened = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in lists])), pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
+                n = pieces[part]
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                who = _spread(c.column(1).take(pa.array(row)), n)
+                ids = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1), pa.int32()), who)
+                yield _emit(np.repeat(part, n), piece, who.to_numpy() % salts, 1, _spread(opened, n), _spread(c.column(0).take(pa.array(row)), n), ids)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by part, salt, kind: a part's vectors, then its queries."""
-        key, held, x, leaf, ids = None, [], None, None, None
+        """Rows by part, piece, salt, kind: a piece's vectors, then its queries."""
+        key, held, index = None, [], None
         for b in batches:
-            keys = np.stack([b.column(i).to_numpy() for i in (0, 1, 2)], 1)
+            keys = np.stack([b.column(i).to_numpy() for i in (0, 1, 2, 3)], 1)
             cut = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))), len(keys))
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                c, mine = b.slice(lo, hi - lo), tuple(keys[lo, :2])
+                c, mine = b.slice(lo, hi - lo), tuple(keys[lo, :3])
                 if mine != key:
-                    key, held, x = mine, [], None
-                if keys[lo, 2] == 0:
+                    key, held, index = mine, [], None
+                if keys[lo, 3] == 0:
                     held.append(c)
                     continue
                 if not held:
                     continue
-                if x is None:
-                    x = np.concatenate([_matrix(h.column(4)) for h in held])
-                    leaf = np.concatenate([h.column(3).flatten().to_numpy() for h in held])
-                    ids = [i for h in held for i in h.column(5).to_pylist()]
-                yield from best(x, leaf, ids, c)
-
-    found_type = pa.list_(pa.struct([("less", pa.float64()), ("id", pa.int64())]))
-
-    def best(x: np.ndarray, leaf: np.ndarray, ids: list, c: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        longest = np.linalg.norm(x, axis=1).max()
-        for at in range(0, c.num_rows, 256):
-            part = c.slice(at, 256)
-            q = _matrix(part.column(4))
-            scores = q @ x.T
-            margin = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * longest
-            found = []
-            for i, opened in enumerate(part.column(3).to_pylist()):
-                inside = np.flatnonzero(np.isin(leaf, opened))
-                if len(inside) > k + 1:  # with all that may tie with the last: its last bits differ from the exact score
-                    rough = scores[i, inside]
-                    inside = inside[~(rough < -np.partition(-rough, k)[k] - margin[i])]
-                exact = np.einsum("ij,ij->i", x[inside], np.broadcast_to(q[i], (len(inside), q.shape[1])))
-                hits = sorted({(-s, j) for n, s in zip(inside.tolist(), exact.tolist(), strict=True) for j in ids[n]})[: k + 1]
-                found.append([{"less": s, "id": j} for s, j in hits])
-            yield pa.RecordBatch.from_arrays([part.column(5).flatten(), part.column(0), pa.array(found, found_type)], names=["q", "part", "found"])
-
-    met = points.mapInArrow(index, ROWS).union(asking.mapInArrow(ask, ROWS)).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind")
-    hits = met.mapInArrow(rank, "q long, part int, found array<struct<less: double, id: long>>")
-    best_of = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1)  # least minus score, then least id
-    lists = hits.groupBy("q", F.pmod("part", F.lit(64)).alias("share")).agg(best_of.alias("found")).groupBy("q").agg(best_of.alias("found"))
-    who = rows.filter("asks").select(F.col("id").alias("query_id"), "v").join(asking, "v").select("query_id", "q").join(lists, "q")
+                if index is None:
+                    x = np.concatenate([_matrix(h.column(5)) for h in held])
+                    lists = pa.concat_arrays([h.column(6) for h in held])
+                    offsets = lists.offsets.to_numpy()
+                    index = x, (x / np.linalg.norm(x, axis=1).max()).astype(np.float32), np.concatenate([h.column(4).flatten().to_numpy() for h in held]), lists.flatten().to_numpy(), offsets - offsets[0]
+                step = max(1, min(256, (4 << 20) // len(index[0])))
+                for at in range(0, c.num_rows, step):
+                    some = c.slice(at, step)
+                    opened = [np.array(o) for o in some.column(4).to_pylist()]
+                    yield _found(some.column(6).flatten(), *best_of_block(*index, _matrix(some.column(5)), opened, k + 1))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by q: the best of all the lists of each query."""
+        held = pa.Table.from_batches([], pa.schema([("q", pa.int64()), ("found", FOUND)]))
+        for b in [*batches, None]:
+            if b is not None:
+                held = pa.concat_tables([held, pa.Table.from_batches([b]).cast(held.schema)]).combine_chunks()
+            last = len(held) if b is None or not len(held) else pc.index(held.column(0), held.column(0)[-1]).as_py()
+            done, held = held.slice(0, last), held.slice(last)
+            if len(done):
+                lists = done.column(1).combine_chunks()
+                pairs = lists.flatten()
+                q, owner = np.unique(done.column(0).to_numpy(), return_inverse=True)
+                yield _found(pa.array(q), *first_ids(np.repeat(owner, np.diff(lists.offsets.to_numpy())), pairs.field(0).to_numpy(), pairs.field(1).to_numpy(), k + 1, len(q)))
+
+    met = points.mapInArrow(index, ROWS).union(asking.mapInArrow(ask, ROWS)).repartition("part", "piece", "salt").sortWithinPartitions("part", "piece", "salt", "kind")
+    kind = "q long, found array<struct<less: double, id: long>>"
+    lists = met.mapInArrow(rank, kind).repartition("q").sortWithinPartitions("q").mapInArrow(merge, kind)
+    who = rows.filter("asks").select(F.col("id").alias("query_id"), "v").distinct().join(asking, "v").select("query_id", "q").join(lists, "q")
     others = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k)
     out = who.select("query_id", F.posexplode(others).alias("pos", "f"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.id").alias(id_col), (-F.col("f.less")).alias("score"))

@@ -35,6 +35,29 @@ def test_neighbours_with_a_repeated_row(spark):
     assert got[2] == [1, 3, 4] and got[3] == [1, 2, 4]
 
 
+def test_neighbours_of_ids_with_many_vectors(spark):
+    r = np.random.default_rng(8)
+    near = [(1, (np.array([5.0, 0, 0]) + r.normal(size=3) / 50).tolist()) for _ in range(400)]
+    far = [(i, r.normal(size=3).tolist()) for i in range(2, 60)]
+    df = spark.createDataFrame([*near, *far, (0, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>").withColumn("id", F.lit("clash"))
+    for group in (8 << 20, 256 * 24):  # one piece a part; several
+        got = [(x["rank"], x.vec_id) for x in ann.nearest(df, F.col("vec_id") == 0, k=30, target=1.0, group_bytes=group).collect()]
+        best = sorted({i: max(v[0] for j, v in [*near, *far] if j == i) for i in range(1, 60)}.items(), key=lambda p: (-p[1], p[0]))
+        assert [i for _, i in sorted(got)] == [i for i, _ in best[:30]]
+
+
+def test_neighbours_of_many_leaves_and_queries(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(3000, 8)) * r.lognormal(size=(3000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.nearest(df, F.col("vec_id") % 10 == 0, k=10, leaf_rows=50, group_bytes=256 * 64, salt_queries=70).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id))
+    assert len(got) == 300 and all([n for n, _ in sorted(f)] == list(range(1, 11)) for f in got.values())
+    recall = [len({i for _, i in got[q]} & {i for i, _ in brute(x, list(range(3000)), q, 10)}) / 10 for q in got]
+    assert np.mean(recall) >= 0.9
+
+
 @pytest.mark.parametrize("limit", [1000, 10])  # 10: there are large groups too
 def test_near_duplicates_of_repeated_rows(spark, limit):
     words = [f"q{i}" for i in range(120)]
