@@ -6,12 +6,17 @@ every region around a hit is then verified by Myers' bit-parallel edit distance
 
 Both sides are normalised: lower-cased, every run of characters other than letters and digits one blank. Edits count in bytes of that text. The budget is ``rate`` times the item's length.
 
-The items are shared with the tasks in blocks of at most ``block_bytes``; more items take more passes over
-the documents, and no row is shuffled.
+Items of fewer than ``min_bytes`` normalised bytes have no budget and are matched as whole words.
 
-Cases: null and empty texts match nothing. Items that normalise to fewer than ``min_bytes`` bytes say
-nothing about contamination and take no part. Repeated documents and items are each reported. Very long
-texts are matched whole.
+Items are made distinct and come to the driver as a stream that is cut into blocks of at most ``block_bytes`` (an item
+that is longer is a block alone). Each block is one pass over the documents, whose matches are written before the
+block is given up, so that neither the driver nor a task holds more than one. No text is shuffled, unless
+matches of several blocks have to be put beside their documents again.
+
+Cases: null and empty texts match nothing, nor do items that are null or hold no letter or digit. Repeated documents are
+each reported, repeated items (of equal id and text) once; items of equal text but other ids each; null ids as others. An
+id with several texts is several items. Very long texts are matched whole. Empty tables give empty results. Columns not in
+``keep`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import materialize, utf8
 
 _NORMAL = bytearray(range(256))
 for _b in range(128):
@@ -78,10 +83,11 @@ def myers(item: str, text: str, at_most: int) -> int:
 class ItemIndex:
     """Automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float, min_bytes: int = 0):
         import ahocorasick
 
-        self.items = [(i, s, int(rate * len(s))) for i, s in items]
+        # short items: between blanks; all texts are searched with a blank at both ends
+        self.items = [(i, f" {s} ", 0) if len(s) < min_bytes else (i, s, int(rate * len(s))) for i, s in items if s]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, s, budget) in enumerate(self.items):
             for at, piece in split_item(s, budget):
@@ -93,9 +99,10 @@ class ItemIndex:
             self.automaton.make_automaton()
 
     def search(self, text: str) -> list[tuple[object, int, int]]:
-        """(item id, distance, budget) of every item within its budget somewhere in ``text``."""
+        """(item id, distance, budget) of every item within its budget somewhere in the normalised ``text``."""
         if not len(self.automaton):
             return []
+        text = f" {text} "
         starts: dict[int, set[int]] = {}
         for end, (size, owners) in self.automaton.iter(text):
             for k, at in owners:
@@ -117,44 +124,84 @@ class ItemIndex:
         return out
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, min_bytes: int = 20, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ("doc_id",), column: str = "matches") -> DataFrame:
-    """The columns in ``keep`` of every row of ``docs`` and ``column``: array of (item_id, distance, budget)."""
-    spark = docs.sparkSession
-    items = benchmark.filter(F.col(item_text).isNotNull()).select(item_id, item_text)
-    size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    id_type = items.schema[item_id].dataType
-    found_type = T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("distance", T.IntegerType()), T.StructField("budget", T.IntegerType())]))
-    carried = text_col in keep
-    out = docs.select(*keep) if carried else docs.select(*keep, F.col(text_col).alias("__text"))
-    columns = []
-    for n in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(n_blocks)) == n).orderBy(item_id, item_text).collect()
-        block = spark.sparkContext.broadcast([(r[0], s) for r in part if len(s := normalize(r[1].encode())) >= min_bytes])
-        out, name = _match(out, text_col if carried else "__text", block, rate, found_type, f"__found{n}"), f"__found{n}"
-        columns.append(name)
-    return out.select(*keep, F.concat(*columns).alias(column))
-
-
-def _match(docs: DataFrame, text_col: str, block, rate: float, found_type: T.ArrayType, name: str) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, found_type)])
-    at = docs.columns.index(text_col)
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
+    """The distinct items, normalised, in blocks."""
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(item_id, item_text).distinct()
+    block, size = [], 0
+    for i, text in items.toLocalIterator():
+        text = normalize(text.encode())
+        if block and size + len(text) > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((i, text))
+        size += len(text)
+    yield block
+
+
+def _found_type(benchmark: DataFrame, item_id: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField("item_id", benchmark.schema[item_id].dataType), T.StructField("distance", T.IntegerType()), T.StructField("budget", T.IntegerType())]))
+
+
+def _match(docs: DataFrame, text_col: str, items: list[tuple[object, str]], rate: float, min_bytes: int, found_type: T.ArrayType, name: str, drop_text: bool) -> DataFrame:
+    """``docs`` (without ``text_col`` if so asked) and the matches of one block of items in it."""
+    at, block = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(items)
+    kept = [k for k in range(len(docs.columns)) if not (drop_text and k == at)]
+    schema = T.StructType([*[docs.schema.fields[k] for k in kept], T.StructField(name, found_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(found_type)
-        index = ItemIndex(block.value, rate)
+        index = ItemIndex(block.value, rate, min_bytes)
         for b in batches:
             data, bounds = utf8(b.column(at))
             raw = memoryview(data)
             found = [[{"item_id": i, "distance": d, "budget": k} for i, d, k in index.search(normalize(bytes(raw[s:e])))] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], pa.array(found, kind)], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def _fresh(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, min_bytes: int = 20, block_bytes: int = 2 << 20, keep: tuple[str, ...] = ("doc_id",), column: str = "matches") -> DataFrame:
+    """The columns in ``keep`` of every row of ``docs`` and ``column``: array of (item_id, distance, budget)."""
+    found_type, options = _found_type(benchmark, item_id), (rate, min_bytes)
+    name = text_col if text_col in keep else _fresh(text_col, list(keep))
+    source = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias(name))
+    passes = _blocks(benchmark, item_id, item_text, block_bytes)
+    items, rest = next(passes), next(passes, None)
+    if rest is None:
+        return _match(source, name, items, *options, found_type, column, text_col not in keep)
+    parts = []
+    texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
+    while items is not None:  # what matches is found by text, so copies of a text are searched together
+        hits = _match(texts.select(F.md5("text").alias("key"), "text"), "text", items, *options, found_type, "found", True).filter(F.size("found") > 0)
+        parts.append(materialize(hits.dropDuplicates(["key"]), "item-matches"))
+        items, rest = rest, next(passes, None)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("found")).alias(_fresh(column, source.columns)))
+    key = _fresh("key", [*source.columns, *found.columns])
+    out = source.withColumn(key, F.md5(name)).join(found.withColumnRenamed("key", key), key, "left")
+    return out.select(*keep, F.coalesce(found.columns[1], F.array().cast(found_type)).alias(column))
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, min_bytes: int = 20, block_bytes: int = 2 << 20) -> DataFrame:
     """One row per document and item found in it: id, item_id, distance, budget."""
-    found = find_items(docs, benchmark, keep=(id_col,), **options)
-    return found.select(id_col, F.explode("matches").alias("m")).select(id_col, "m.item_id", "m.distance", "m.budget")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    passes = _blocks(benchmark, item_id, item_text, block_bytes)
+    items, rest, out = next(passes), next(passes, None), None
+    several = rest is not None
+    while items is not None:
+        hits = _match(source, "text", items, rate, min_bytes, _found_type(benchmark, item_id), "found", True)
+        hits = hits.select("id", F.explode("found").alias("m")).select(F.col("id").alias(id_col), "m.item_id", "m.distance", "m.budget")
+        hits = materialize(hits, "item-matches") if several else hits
+        out = hits if out is None else out.union(hits)
+        items, rest = rest, next(passes, None)
+    return out

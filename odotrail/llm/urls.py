@@ -1,7 +1,8 @@
 """URL filter: host-suffix and path-prefix expressions, joined on short hash prefixes.
 
 Each url becomes the expressions ``host-suffix + path-prefix`` under which a rule could name it: every
-suffix of the host at a label's start, with every prefix of the path as long as some rule's path. Their
+suffix of the host at a label's start with no more labels than some rule's host has, with every prefix of the path as
+long as some rule's path. Their
 SHA-256 digests are joined with the rules' on the first 4 bytes; the full digest then confirms a hit, and
 the longest rule wins (a tie goes to the longer host, then to ``block``).
 
@@ -10,8 +11,10 @@ of them (a counted bound); more rules are joined by shuffling on the hash prefix
 skewed partitions.
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule and the default verdict.
-Rows are judged one by one, so repeated rows stay. An empty table or no rules give an empty result or
-default verdicts.
+Rows are judged one by one, so repeated rows and null ids stay; repeated rules count once, and of rules with
+equal host and path the verdict last in order (``block`` over ``allow``) holds. An empty table or no rules give an empty
+result or default verdicts. Very long urls have no more expressions than short ones. Columns other than id and url are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,12 +49,13 @@ def _digest(host: Column, path: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 100_000) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule (``host`` + ``path`` of the winner, else null), verdict."""
     rules = rules.filter("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    known = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()
+    known = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", r"\.", -1))).alias("labels")).first()
     lengths = sorted(known["lengths"]) or [0]  # distinct path lengths, no more than the longest path has characters
 
     base = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    most = F.least(F.size(labels), F.lit(known["labels"] or 1))
+    suffixes = F.transform(F.sequence(F.size(labels) - most + 1, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     exprs = base.withColumn("h", F.explode_outer(suffixes)).withColumn("p", F.explode_outer(prefixes))
     exprs = exprs.withColumn("digest", _digest(F.col("h"), F.col("p"))).withColumn("prefix", F.substring("digest", 1, PREFIX_BYTES))

@@ -203,7 +203,9 @@ def test_urls(spark):
         assert (got[0].host, got[0].path, got[0].rule, got[0].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
         assert [got[i].rule for i in range(1, 10)] == ["net/", "net/", None, None, None, "org/fr/", None, "example.com/de/", None]
         assert (got[4].host, got[4].path, got[4].verdict) == ("", "", "allow") and got[9].host == "a:"
-    assert urls.judge_urls(pages, urls.rules_table(spark, []) if False else urls.rules_table(spark, queries.URL_RULES).limit(0)).filter("verdict = 'allow'").count() == 10
+    deep = spark.createDataFrame([(1, "http://" + "a." * 3000 + "net/x"), (1, "http://" + "a." * 3000 + "net/x"), (None, "http://net")], "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "row", "id", "verdict")})
+    assert [(r.rule, r.verdict) for r in urls.judge_urls(deep, urls.rules_table(spark, queries.URL_RULES)).collect() if r.page_id] == [("net/", "block")] * 2
+    assert urls.judge_urls(pages, urls.rules_table(spark, queries.URL_RULES).limit(0)).filter("verdict = 'allow'").count() == 10
     assert urls.judge_urls(pages.limit(0), urls.rules_table(spark, queries.URL_RULES)).count() == 0
 
 
@@ -441,13 +443,18 @@ def test_myers_and_search():
 
 def test_contaminations(spark):
     item = "The quick brown fox jumps over the lazy dog, and then sleeps until noon."
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "tiny"), (4, "Été à Évreux: où l'âne s'égare près du pré vert")], "item_id long, text string")
-    texts = [f"aa {item.upper()} bb", item.replace(",", ";\n"), item.replace("brown", "brwn"), "clean text " * 50, None, "", "x " * 100_000 + item, "ÉTÉ À ÉVREUX — OÙ L'ÂNE S'ÉGARE PRÈS DU PRÉ VERT"]
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "tiny"), (4, "Été à Évreux: où l'âne s'égare près du pré vert"), (None, item), (6, "!?"), (7, "")], "item_id long, text string")
+    texts = [f"aa {item.upper()} bb", item.replace(",", ";\n"), item.replace("brown", "brwn"), "clean text " * 50, None, "", "x " * 100_000 + item, "ÉTÉ À ÉVREUX — OÙ L'ÂNE S'ÉGARE PRÈS DU PRÉ VERT", "not tinyer", "a (Tiny) one", "Tiny", item]
+    docs = documents(spark, texts, [*range(11), 0]).withColumns({c: F.lit("clash") for c in ("matches", "found", "key", "text_", "item_id")})
+    want = sorted([(0, 1, 0), (0, 1, 0), (1, 1, 0), (2, 1, 1), (6, 1, 0), (0, -1, 0), (0, -1, 0), (1, -1, 0), (2, -1, 1), (6, -1, 0), (7, 4, 0), (9, 3, 0), (10, 3, 0)])
     for block in (8 << 20, 60):
-        got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminations(documents(spark, texts), bench, block_bytes=block).collect()}
-        assert {(0, 1), (1, 1), (2, 1), (6, 1), (7, 4)} == set(got) and got[0, 1] == 0 and got[2, 1] == 1
-    assert decontaminate.contaminations(documents(spark, texts), bench.limit(0)).count() == 0
-    assert decontaminate.contaminations(documents(spark, []), bench).count() == 0
+        got = decontaminate.contaminations(docs, bench, block_bytes=block).na.fill(-1, ["item_id"]).collect()
+        assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == want
+        for keep in (("doc_id", "text"), ("doc_id", "key", "found")):
+            found = decontaminate.find_items(docs, bench, block_bytes=block, keep=keep, column="hits").collect()
+            assert len(found) == len(texts) and sorted((r.doc_id, -1 if m.item_id is None else m.item_id, m.distance) for r in found for m in r.hits) == want
+    assert decontaminate.contaminations(docs, bench.limit(0)).count() == 0
+    assert decontaminate.contaminations(docs.limit(0), bench).count() == 0
 
 
 # --- tokens
