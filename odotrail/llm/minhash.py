@@ -248,7 +248,8 @@ def _tasks(placed: DataFrame, group_nodes: int, group_shingles: int, pairs: bool
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int | None = None, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", group_nodes: int = GROUP_NODES, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept (also text_hash, which with the id names a row's text)."""
+    """One row per row of ``docs``: id, n_shingles, component_id, kept (also text_hash, which with the id names a row's text, and
+    component, which tells components apart whose smallest ids are equal; null for an empty set)."""
     bands = bands or bands_for(percent, rows)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     sketch = materialize(source.mapInArrow(_sketch(shingle, bands, rows), "id long, text_hash long, n long, node binary, short long, keys array<long>"), "sketches")
@@ -287,10 +288,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     smallest = nodes.select("node", "first").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = materialize(smallest, "components")
     first = smallest.groupBy("component").agg(F.min("first").alias("component_id"))
-    lookup = smallest.join(first, "component").select("node", "component_id")
+    lookup = smallest.join(first, "component").select("node", "component", "component_id")
     out = sketch.select("id", "text_hash", "n", "node").join(lookup, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash", "component")
 
 
 def _without_task(verify):

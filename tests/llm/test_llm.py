@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from odotrail.llm import ann, bpe, decontaminate, langid, minhash, quality, queries, substring, suffix, toxicity, urls
+from odotrail.llm import ann, bpe, common, decontaminate, langid, minhash, quality, queries, substring, suffix, toxicity, urls
 from odotrail.llm.common import utf8
 from odotrail.llm.graph import connected_components
 
@@ -504,3 +504,21 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
             assert by[4].text == texts[4] and by[5].text == prose[3] and by[5].n_chars == len(prose[3])
     assert kept == [set(range(7)), {0, 3, 4, 5, 6}, {0, 3, 4, 5, 6}, {0, 3, 4, 5}, {0, 3, 4, 5}]
     assert docs.filter("not round_trip").count() == 0 and docs.agg(F.min("n_tokens")).first()[0] > 0
+
+
+def test_pipeline_on_edges(spark, sf_dir, tmp_path):
+    text = " ".join(f"word{i % 977}x{i % 31}" for i in range(30_000))
+    rows = [(None, None), (None, "no name here"), (None, "no name here"), (4, ""), (4, "four letters"), (4, "four letters"), (5, text), (6, text + " end"), (7, "one two"), (7, "eins zwei drei")]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows]).withColumns({c: F.lit("clash") for c in ("lang_pred", "component_id", "matches", "n_tokens", "__hash")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, documents(spark, []), sf_dir).count() == 0
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    got = sorted((r.doc_id or -1, r.n_tokens > 0) for r in docs.collect())
+    assert got == [(-1, True), (4, True), (5, True), (7, True), (7, True)] and docs.filter("not round_trip").count() == 0
+
+
+def test_pipeline_deletes_its_scratch(spark, sf_dir):
+    before = set(common._written)
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0 and len(set(common._written) - before) == 1
