@@ -54,8 +54,12 @@ def fold_tracks(df: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], tra
 
 
 def mode_fsm(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Adds mode, from confidence, is_anomalous and navigation_mode: the fold runs in the JVM over each track's array."""
-    one = F.struct(on, row, F.col("confidence").alias("__c"), F.col("is_anomalous").alias("__a"), F.col("navigation_mode").alias("__m"))
+    """Adds mode, from confidence, is_anomalous and navigation_mode: the fold runs in the JVM over each track's array.
+
+    As in ``mode_fsm_fold``, a missing confidence (null or NaN) counts as 0, a missing flag as false, a missing navigation mode as
+    none; rows without a time come last, and repeated rows are steps each. Columns must be of orderable types."""
+    confidence = F.nanvl(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.0))
+    one = F.struct(F.col(on).isNull().alias("__late"), F.col(on).alias("__t"), F.col(row).alias("__r"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__x"), confidence.alias("__c"), F.coalesce("is_anomalous", F.lit(False)).alias("__a"), F.coalesce("navigation_mode", F.lit("")).alias("__m"))
     start = F.struct(F.lit(DOMINANT).alias("mode"), F.lit(0).alias("count"), F.array().cast("array<string>").alias("modes"))
 
     def step(s: Column, x: Column) -> Column:
@@ -77,8 +81,8 @@ def mode_fsm(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "
 
     tracks = df.groupBy(track).agg(F.array_sort(F.collect_list(one)).alias("xs"))
     modes = tracks.withColumn("ms", F.aggregate("xs", start, step)["modes"])
-    out = modes.select(track, F.inline(F.transform(F.arrays_zip("xs", "ms"), lambda z: F.struct(z["xs"][on].alias(on), z["xs"][row].alias(row), z["ms"].alias("mode")))))
-    return df.join(out, [track, on, row])
+    rows = modes.select(F.explode(F.arrays_zip("xs", "ms")).alias("z"))
+    return rows.select("z.xs.__x.*", F.col("z.ms").alias("mode"))
 
 
 def mode_fsm_fold(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:

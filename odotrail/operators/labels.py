@@ -16,10 +16,11 @@ def linear_interpolate(df: DataFrame, columns: list[str], by: str = "sequence_id
     """Missing values on the line between their neighbours by row number; beyond the ends the nearest value."""
     w = in_order(by, on, row)
     out = df.withColumn("__n", F.row_number().over(w))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    running = (Window.unboundedPreceding, 0)  # a frame to the end would be gone through again for every row, so look back in reverse
+    back, ahead = (Window.partitionBy(by).orderBy(n).rowsBetween(*running) for n in (F.asc("__n"), F.desc("__n")))
     for c in columns:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("x"), F.col("__n").alias("n")))
-        out = out.withColumns({"__a": F.last(known, ignorenulls=True).over(back), "__b": F.first(known, ignorenulls=True).over(ahead)})
+        out = out.withColumns({"__a": F.last(known, ignorenulls=True).over(back), "__b": F.last(known, ignorenulls=True).over(ahead)})
         a, b = F.col("__a"), F.col("__b")
         between = a["x"] + (b["x"] - a["x"]) * (F.col("__n") - a["n"]) / F.nullif(b["n"] - a["n"], F.lit(0))
         out = out.withColumn(c, F.coalesce(F.col(c), between, a["x"], b["x"]))
@@ -29,14 +30,14 @@ def linear_interpolate(df: DataFrame, columns: list[str], by: str = "sequence_id
 def reference_velocity(df: DataFrame, x: str = "ref_x", y: str = "ref_y", by: str = "sequence_id", on: str = "t", row: str = "row_idx") -> DataFrame:
     """Adds ref_vx and ref_vy: central differences over the valid points, one-sided at the ends, null for no time."""
     w = in_order(by, on, row)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    back, ahead = (Window.partitionBy(by).orderBy(n).rowsBetween(Window.unboundedPreceding, -1) for n in (F.asc("__n"), F.desc("__n")))
     good = F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(on).isNotNull()
     here = F.when(good, F.struct(F.col(on).alias("t"), F.col(x).alias("x"), F.col(y).alias("y")))
-    out = df.withColumn("__p", here).withColumns({"__a": F.last("__p", ignorenulls=True).over(back), "__b": F.first("__p", ignorenulls=True).over(ahead)})
+    out = df.withColumns({"__p": here, "__n": F.row_number().over(w)}).withColumns({"__a": F.last("__p", ignorenulls=True).over(back), "__b": F.last("__p", ignorenulls=True).over(ahead)})
     a, b = F.coalesce("__a", "__p"), F.coalesce("__b", "__p")
     dt = b["t"] - a["t"]
     ok = F.col("__p").isNotNull() & (dt > EPSILON)
-    return out.withColumns({f"ref_v{k}": F.when(ok, (b[k] - a[k]) / F.nullif(dt, F.lit(0.0))) for k in "xy"}).drop("__p", "__a", "__b")
+    return out.withColumns({f"ref_v{k}": F.when(ok, (b[k] - a[k]) / F.nullif(dt, F.lit(0.0))) for k in "xy"}).drop("__p", "__n", "__a", "__b")
 
 
 def dead_reckon(df: DataFrame, ax: str = "ax", ay: str = "ay", yaw: str | None = None, by: str = "sequence_id", on: str = "t", row: str = "row_idx", max_dt: float = 0.5) -> DataFrame:

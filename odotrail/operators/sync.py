@@ -49,7 +49,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: str = "sequence_id", on:
     timed = both.filter(F.col(on).isNotNull())
     order_by = [F.col(on), F.col("__left").isNotNull()]  # right rows first, so that equal times match on the earlier side
     before = F.last("__right", ignorenulls=True).over(Window.partitionBy(by, "__stretch").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__right", ignorenulls=True).over(Window.partitionBy(by, "__stretch").orderBy(*order_by).rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("__right", ignorenulls=True).over(Window.partitionBy(by, "__stretch").orderBy(*[c.desc() for c in order_by]).rowsBetween(Window.unboundedPreceding, 0))
     timed = timed.withColumns({"__before": before, "__after": after}).filter("__left")
     back, ahead = F.col(on) - F.col("__before.__t"), F.col("__after.__t") - F.col(on)
     pick = F.when(back.isNull() | (ahead <= back), F.col("__after")).otherwise(F.col("__before"))

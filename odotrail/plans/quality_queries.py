@@ -128,11 +128,13 @@ def audit_verdict(spark, d):
     return out.withColumn("infinite", F.col("infinite").cast("long"))
 
 
-COLUMNS_SQL = f"{views.TEL_SQL}, c as (select distinct sequence_id, event_type as column_name from tel where row_idx % 5 = 0)"
+COLUMNS_SQL = f"{views.TEL_SQL}, c as (select distinct sequence_id, unnest([event_type, event_type || '_' || satellites]) as column_name from tel)"
 
 
 def columns_of(spark, d):
-    return views.tel(spark, d).filter("row_idx % 5 = 0").select("sequence_id", F.col("event_type").alias("column_name"), F.lit(True).alias("is_numeric")).distinct()
+    """A drive's columns: its kinds of event, each alone and by number of satellites."""
+    names = F.array("event_type", F.concat_ws("_", "event_type", F.col("satellites").cast("string")))
+    return views.tel(spark, d).select("sequence_id", F.explode(names).alias("column_name"), F.lit(True).alias("is_numeric")).distinct()
 
 
 @book.add(f"{COLUMNS_SQL} select column_name, count(distinct sequence_id) as held_by, count(distinct sequence_id) = (select count(distinct sequence_id) from c) as is_common from c group by 1")
@@ -140,15 +142,15 @@ def schema_variation(spark, d):
     return quality.schema_variation(columns_of(spark, d), "sequence_id", "column_name")
 
 
-@book.add(f"{COLUMNS_SQL}, n as (select column_name, count(distinct sequence_id) as held from c where sequence_id % 50 = 7 group by 1) select column_name, case column_name when 'view' then 0 when 'click' then 1 else 2 end as position from n where held = (select count(distinct sequence_id) from c where sequence_id % 50 = 7) and column_name in ('view', 'click', 'error')")
+@book.add(f"{COLUMNS_SQL}, n as (select column_name, count(distinct sequence_id) as held from c group by 1) select column_name, case column_name when 'view' then 0 when 'click_1' then 1 when 'click' then 2 else 3 end as position from n where held = (select count(distinct sequence_id) from c) and column_name in ('view', 'click_1', 'click', 'error')")
 def common_features(spark, d):
-    return quality.common_features(columns_of(spark, d).filter("sequence_id % 50 = 7"), ["view", "click", "error"], column="column_name")
+    return quality.common_features(columns_of(spark, d), ["view", "click_1", "click", "error"], column="column_name")
 
 
-@book.add(f"{views.TEL_SQL}, a as (select feature, count(*) filter (value is null) * 100.0::double / count(*) as p from ({long_sql(COLUMNS)}) group by 1), b as (select feature, count(*) filter (value is null) * 100.0::double / count(*) as p from ({long_sql(COLUMNS).replace('from tel', 'from (select * from tel where row_idx % 2 = 0)')}) group by 1) select feature, {r('round(a.p, 4)')} as before, {r('round(b.p, 4)')} as after, {r('round(b.p, 4) - round(a.p, 4)')} as change from a join b using (feature)")
+@book.add(f"{views.TEL_SQL}, a as (select feature, count(*) filter (value is null) * 100.0::double / count(*) as p from ({long_sql(COLUMNS)}) group by 1), b as (select feature, count(*) filter (value is null) * 100.0::double / count(*) as p from ({long_sql(COLUMNS).replace('from tel', "from (select * replace (case when event_type = 'view' then coalesce(ax, ay) else ax end as ax) from tel)")}) group by 1) select feature, {r('round(a.p, 4)')} as before, {r('round(b.p, 4)')} as after, {r('round(b.p, 4) - round(a.p, 4)')} as change from a join b using (feature)")
 def before_after(spark, d):
     tel = views.tel(spark, d)
-    return quality.before_after(quality.missing_report(tel, COLUMNS), quality.missing_report(tel.filter("row_idx % 2 = 0"), COLUMNS))
+    return quality.before_after(quality.missing_report(tel, COLUMNS), quality.missing_report(tel.withColumn("ax", F.when(F.col("event_type") == "view", F.coalesce("ax", "ay")).otherwise(F.col("ax"))), COLUMNS))
 
 
 @book.add(f"{ALIGNED_SQL} select 'V_lat' as feature, count(*) filter (v_lat is null) as missing, {r('round(count(*) filter (v_lat is null) * 100.0::double / count(*), 4)')} as missing_pct, 'unmatched row' as cause from aligned union all select 'yaw', 0, 0.0, 'None' from (select 1)")

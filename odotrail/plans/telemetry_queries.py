@@ -51,11 +51,12 @@ def pair_files(spark, d):
     return sync.pair_files(*views.sides(spark, d))
 
 
-FILES_SQL = f"{views.TEL_SQL}, files as (select distinct sequence_id, event_type, case when event_type in {views.S_TYPES} then 'S' else 'V' end as kind from tel where row_idx % 7 = 0)"
+FILES_SQL = f"{views.TEL_SQL}, files as (select distinct sequence_id * 13 + satellites as sequence_id, event_type, case when event_type in {views.S_TYPES} then 'S' else 'V' end as kind from tel)"
 
 
 def files(spark, d):
-    return views.tel(spark, d).filter("row_idx % 7 = 0").select("sequence_id", "event_type", F.expr(f"case when event_type in {views.S_TYPES} then 'S' else 'V' end").alias("kind")).distinct()
+    """A file for each kind of event of a drive's stretch with one number of satellites."""
+    return views.tel(spark, d).select((F.col("sequence_id") * 13 + F.col("satellites")).alias("sequence_id"), "event_type", F.expr(f"case when event_type in {views.S_TYPES} then 'S' else 'V' end").alias("kind")).distinct()
 
 
 @book.add(f"{FILES_SQL}, n as (select sequence_id, count(*) filter (kind = 'S') as n_s, count(*) filter (kind = 'V') as n_v from files group by 1) select *, case when n_s = 1 and n_v = 1 then 'COMPLETE' when n_s = 1 and n_v = 0 then 'S_ONLY' when n_s = 0 and n_v = 1 then 'V_ONLY' else 'AMBIGUOUS' end as status from n")
@@ -100,9 +101,9 @@ def split_overlap(spark, d):
     return sync.split_overlap(leaky(spark, d), "train", "test")
 
 
-@book.add(f"{SPLIT_SQL} select sequence_id, split from split where sequence_id not in (select sequence_id from tel where event_type = 'signup' and row_idx % 3 = 0)")
+@book.add(f"{SPLIT_SQL} select sequence_id, split from split where sequence_id not in (select sequence_id from tel where event_type = 'signup' and ax is null)")
 def missing_inputs(spark, d):
-    return sync.missing_inputs(split(spark, d), views.tel(spark, d).filter("event_type = 'signup' and row_idx % 3 = 0"))
+    return sync.missing_inputs(split(spark, d), views.tel(spark, d).filter("event_type = 'signup' and ax is null"))
 
 
 @book.add(f"{FILES_SQL}, s as (select distinct sequence_id from files where event_type = 'click'), v as (select distinct sequence_id from files where event_type = 'purchase') select sequence_id, case when v.sequence_id is null then 'only_s' when s.sequence_id is null then 'only_v' else 'both' end as side from (select sequence_id from s union select sequence_id from v) left join s using (sequence_id) left join v using (sequence_id)".replace("v.sequence_id is null", "not exists (select 1 from v where v.sequence_id = q.sequence_id)").replace("s.sequence_id is null", "not exists (select 1 from s where s.sequence_id = q.sequence_id)").replace("from (select sequence_id from s union select sequence_id from v) left join s using (sequence_id) left join v using (sequence_id)", "from (select sequence_id from s union select sequence_id from v) q"))

@@ -91,7 +91,7 @@ def test_features(spark):
     assert [r.time_gap_flag for r in got] == [False, False, False, True]
     with pytest.raises(ValueError, match="gyroscope"):
         features.engineer(feature_rows(spark).drop("gyro_roll"))
-    assert len(features.deployable_features()) == 107 == len(set(features.deployable_features()))
+    assert len(features.DEPLOYABLE_FEATURES) == 107 == len(set(features.DEPLOYABLE_FEATURES))
 
 
 def test_rolling(spark):
@@ -205,3 +205,30 @@ def test_status_rule(spark):
     assert [r[0] for r in df.select(scalar.feature_status("m", "i", "c", "n")).collect()] == ["PASS", "WARNING", "FAIL", "FAIL"]
     empty = spark.createDataFrame([], "sequence_id string, row_idx int, t double, x double")
     assert quality.feature_statistics(empty, ["x"]).count() == 0 and quality.duplicate_rows(empty).first().extra_members == 0
+
+
+def test_mode_machine_of_nulls_and_repeated_rows(spark):
+    rows = [("a", 0, 0.0, None, False, "GNSS"), ("a", 1, 1.0, 0.9, None, None), ("a", 1, 1.0, 0.9, None, None), ("a", 2, 2.0, float("nan"), False, "GNSS"), ("a", 3, None, 0.9, False, "GNSS"), ("b", 0, 0.0, 0.5, False, "GNSS"), ("b", 0, 0.0, 0.5, False, "GNSS")]
+    df = spark.createDataFrame(rows, "track_id string, row_idx int, t double, confidence double, is_anomalous boolean, navigation_mode string")
+    got = [sorted((r.track_id, r.row_idx, str(r.t), r["mode"]) for r in f(df).collect()) for f in (fusion.mode_fsm, fusion.mode_fsm_fold)]
+    assert len(got[0]) == len(rows) and [x[:2] + x[3:] for x in got[0]] == [x[:2] + x[3:] for x in got[1]]
+    assert ("a", 0, "0.0", fusion.DENIED) in got[0] and fusion.mode_fsm(df).columns == [*df.columns, "mode"]
+
+
+def test_windows_of_one_long_drive(spark):
+    """One drive of many rows: running frames only, so that time grows with the rows, not with their square."""
+    n = 100_000
+    df = spark.range(n).select(F.lit("a").alias("sequence_id"), F.col("id").alias("row_idx"), (F.col("id") / 10.0).alias("t"), F.when(F.col("id") % 1000 == 0, F.col("id") * 2.0).alias("x"))
+    filled = labels.linear_interpolate(df, ["x"])
+    assert filled.filter("row_idx <= 99000 and abs(x - 2 * row_idx) > 1e-6").count() == 0 and filled.filter("row_idx > 99000 and x <> 198000").count() == 0
+    speed = labels.reference_velocity(filled.withColumn("y", F.col("x")), "x", "y")
+    assert speed.filter("row_idx < 99000 and abs(ref_vx - 20) > 1e-6").count() == 0
+    matched = sync.asof_nearest(df.drop("x"), df.filter("row_idx % 3 = 0"), tolerance=0.0)
+    assert matched.filter("synchronization_valid").count() == -(-n // 3) and matched.count() == n
+
+
+def test_deployable_vector(spark):
+    row = feature_rows(spark).withColumn("elapsed_time", F.lit(1.5))
+    got = features.deployable_vector(row).orderBy("row_idx").first().vector
+    assert len(got) == 107 and got[features.DEPLOYABLE_FEATURES.index("elapsed_time")] == 1.5 and got[0] is None
+    assert got[features.DEPLOYABLE_FEATURES.index("accel_x")] == 3.0
