@@ -27,10 +27,13 @@ def hot_limit(rows: int) -> int:
 
 def join_counted(rows: DataFrame, counted: DataFrame, key: str, limit: int) -> DataFrame:
     """``rows`` joined with ``counted``: one row a ``key`` and ``n``, the number of the key's rows. Keys of more than ``limit``
-    rows, of which ``hot_limit`` bounds the number, are broadcast, so that no task gets all rows of one."""
-    hot = F.broadcast(counted.filter(F.col("n") > limit))
-    rest = rows.join(F.broadcast(counted.filter(F.col("n") > limit).select(key)), key, "left_anti")
-    return rows.join(hot, key).drop("n").unionByName(rest.join(counted.filter(F.col("n") <= limit), key).drop("n"))
+    rows, of which ``hot_limit`` bounds the number (``HOT_KEYS``), are joined by broadcast, so that no task gets all rows of one."""
+    hot = [r[0] for r in counted.filter(F.col("n") > limit).select(key).collect()]
+    counted = counted.drop("n")
+    if not hot:
+        return rows.join(counted, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(counted.filter(is_hot)), key).unionByName(rows.filter(~is_hot).join(counted.filter(~is_hot), key))
 
 
 def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
