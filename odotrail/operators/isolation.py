@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import percentiles
+
 
 def average_path(n) -> float:
     """Mean path length of an unsuccessful search among n values."""
@@ -86,9 +88,10 @@ def isolation_forest_score(df: DataFrame, forest: DataFrame, features: list[str]
 
 def select_threshold(scores: DataFrame, percentile: float = 99.0, score: str = "drift_score") -> DataFrame:
     """One row: the threshold."""
-    return scores.agg(F.percentile(score, F.lit(percentile / 100)).alias("threshold"))
+    return percentiles(scores, F.col(score), {"threshold": percentile / 100})
 
 
 def anomaly_flag(scores: DataFrame, threshold: DataFrame, score: str = "drift_score") -> DataFrame:
-    """Adds drift_detected: the score reaches the threshold (a table of one row)."""
-    return scores.join(F.broadcast(threshold), F.lit(True)).withColumn("drift_detected", F.col(score) >= F.col("threshold"))
+    """Adds drift_detected: the score reaches the threshold (a table of one row; more are an error)."""
+    one = threshold.agg(F.any_value("threshold").alias("threshold"), F.assert_true(F.count("*") == 1, "the threshold must be one row").alias("__one")).filter(F.col("__one").isNull()).drop("__one")
+    return scores.join(F.broadcast(one), F.lit(True)).withColumn("drift_detected", F.col(score) >= F.col("threshold"))

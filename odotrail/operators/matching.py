@@ -31,10 +31,9 @@ MOBILE = MatchConfig("mobile", rank_weight=1.0, one_way_limit=90.0, keep=None)
 
 
 def match_points(points: DataFrame, edges: DataFrame, config: MatchConfig = GRAPH, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Candidates: points with every edge at most ``max_distance`` metres away. The grid is wide enough up to 75 degrees of latitude."""
-    radius = config.max_distance / 111000 / 0.25
+    """Candidates: points with every edge at most ``max_distance`` metres away (up to 89.4 degrees of latitude)."""
     method = "ellipsoid" if config.preset == "graph" else "equirectangular"
-    near = roads.nearby_edges(points, edges, radius, lat, lon)
+    near = roads.edges_within(points, edges, config.max_distance, lat, lon)
     return near.withColumn("distance_m", geo.point_to_segment_m(lat, lon, "lat1", "lon1", "lat2", "lon2", method)).filter(F.col("distance_m") <= config.max_distance)
 
 

@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar
 from .quality import melt
+from .ranks import attach_percentiles, percentiles
 
 
 def score_summary(scored: DataFrame, group: str = "split", score: str = "drift_score") -> DataFrame:
     """Per split: rows, detections, their share, and the scores' range, mean, median and the threshold."""
     x = F.col(score)
-    return scored.groupBy(group).agg(F.count("*").alias("rows"), F.count_if("drift_detected").alias("detected"), (F.count_if("drift_detected") * 100.0 / F.count("*")).alias("detected_pct"), F.min(x).alias("min_score"), F.max(x).alias("max_score"), F.avg(x).alias("mean_score"), F.median(x).alias("median_score"), F.max("threshold").alias("threshold"))
+    out = scored.groupBy(group).agg(F.count("*").alias("rows"), F.count_if("drift_detected").alias("detected"), (F.count_if("drift_detected") * 100.0 / F.count("*")).alias("detected_pct"), F.min(x).alias("min_score"), F.max(x).alias("max_score"), F.avg(x).alias("mean_score"), F.max("threshold").alias("threshold"))
+    return attach_percentiles(out, percentiles(scored, x, {"median_score": 0.5}, [group]), [group])
 
 
 def sequence_drift(scored: DataFrame, by: str = "sequence_id", score: str = "drift_score") -> DataFrame:
@@ -45,15 +47,19 @@ def errors(predicted: str, actual: str) -> Column:
     return scalar.finite(predicted) - scalar.finite(actual)
 
 
-def regression_metrics(df: DataFrame, predicted: str, actual: str, by: list[str] = (), limits: tuple[float, ...] = ()) -> DataFrame:
+def regression_metrics(df: DataFrame, predicted: str, actual: str, by: list[str] = (), limits: tuple[float, ...] = (), small_groups: bool = False) -> DataFrame:
     """Finite pairs, MAE, RMSE, mean, population deviation and median of the error, p95, p99 and greatest absolute error,
-    and the share (per cent) of absolute errors over each limit."""
+    and the share (per cent) of absolute errors over each limit. ``small_groups``: a group's errors fit in a task (one drive's),
+    so that one pass gives the percentiles too."""
     e = df.withColumn("__e", errors(predicted, actual)).filter("__e is not null")
     a = F.abs("__e")
-    p = F.percentile(a, F.array(F.lit(0.95), F.lit(0.99)))
     over = [(F.avg((a > x).cast("double")) * 100).alias(f"over_{x:g}_pct") for x in limits]
-    out = e.groupBy(*by).agg(F.count("*").alias("n"), F.avg(a).alias("mae"), F.sqrt(F.avg(F.pow("__e", F.lit(2.0)))).alias("rmse"), F.avg("__e").alias("mean_error"), F.stddev_pop("__e").alias("std_error"), F.median("__e").alias("median_error"), p.alias("__p"), F.max(a).alias("max_abs_error"), *over)
-    return out.withColumns({"p95_abs_error": F.col("__p")[0], "p99_abs_error": F.col("__p")[1]}).drop("__p")
+    within = [F.median("__e").alias("median_error"), F.percentile(a, F.lit(0.95)).alias("p95_abs_error"), F.percentile(a, F.lit(0.99)).alias("p99_abs_error")] if small_groups else []
+    out = e.groupBy(*by).agg(F.count("*").alias("n"), F.avg(a).alias("mae"), F.sqrt(F.avg(F.pow("__e", F.lit(2.0)))).alias("rmse"), F.avg("__e").alias("mean_error"), F.stddev_pop("__e").alias("std_error"), F.max(a).alias("max_abs_error"), *within, *over)
+    if small_groups:
+        return out
+    out = attach_percentiles(out, percentiles(e, F.col("__e"), {"median_error": 0.5}, by), by)
+    return attach_percentiles(out, percentiles(e, a, {"p95_abs_error": 0.95, "p99_abs_error": 0.99}, by), by)
 
 
 def large_error_rates(df: DataFrame, error: str, limits: tuple[float, ...]) -> DataFrame:

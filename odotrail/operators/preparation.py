@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
+from .ranks import percentiles
 
 
 def split_counts(n: int, train: float = 0.7, validation: float = 0.15) -> tuple[int, int]:
@@ -39,7 +40,7 @@ def capped_sample(df: DataFrame, n: int, seed: int = 42, keys: tuple[str, ...] =
 def fit_preprocess(train: DataFrame, features: list[str]) -> DataFrame:
     """Per feature: exact median, and mean and population deviation after filling with it (a deviation under 1e-8 is 1)."""
     long = train.select(*[scalar.finite(f"`{f}`").alias(f) for f in features]).unpivot([], features, "feature", "value")
-    median = long.groupBy("feature").agg(F.coalesce(F.percentile("value", F.lit(0.5)), F.lit(0.0)).alias("median"))
+    median = percentiles(long, F.col("value"), {"median": 0.5}, ["feature"]).fillna(0.0, ["median"])
     filled = F.coalesce("value", "median")
     out = long.join(median, "feature").groupBy("feature").agg(F.max("median").alias("median"), F.avg(filled).alias("mean"), F.stddev_pop(filled).alias("std"))
     return out.withColumn("std", F.when(F.col("std") < 1e-8, 1.0).otherwise(F.col("std")))

@@ -63,6 +63,27 @@ def nearby_edges(points: DataFrame, edges: DataFrame, radius_deg: float, lat: st
     return out.filter(near(lat, "lat1", "lat2") & near(lon, "lon1", "lon2")).drop("__i", "__j")
 
 
+def edges_within(points: DataFrame, edges: DataFrame, metres: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Points with every edge whose bounding box comes within ``metres`` of them (and some a little farther).
+
+    As ``nearby_edges``, but degrees of longitude, which shrink towards the poles, are widened for each edge by the cosine of its
+    own latitude (at least a hundredth: to 89.4 degrees), and cells by that of their row, so that a box is as wide as it is high.
+    """
+    radius = metres / 110500  # no degree of latitude is shorter
+    size = 2 * radius
+    narrow = lambda x: F.greatest(F.cos(F.least(x, F.lit(90.0)) * geo.DEGREE), F.lit(0.01))
+    width = lambda i: size / narrow(F.abs(i * size))
+    reach = radius / narrow(F.greatest(F.abs("lat1"), F.abs("lat2")))
+    rows = F.sequence(F.floor((F.least("lat1", "lat2") - radius) / size), F.floor((F.greatest("lat1", "lat2") + radius) / size))
+    placed = edges.withColumn("__reach", reach).withColumn("__i", F.explode(rows))
+    w = width(F.col("__i"))
+    placed = placed.withColumn("__j", F.explode(F.sequence(F.floor((F.least("lon1", "lon2") - F.col("__reach")) / w), F.floor((F.greatest("lon1", "lon2") + F.col("__reach")) / w))))
+    i = F.floor(F.col(lat) / size)
+    out = points.withColumns({"__i": i, "__j": F.floor(F.col(lon) / width(i))}).join(placed, ["__i", "__j"])
+    near = lambda x, a, b, r: F.col(x).between(F.least(a, b) - r, F.greatest(a, b) + r)
+    return out.filter(near(lat, "lat1", "lat2", radius) & near(lon, "lon1", "lon2", F.col("__reach"))).drop("__i", "__j", "__reach")
+
+
 def node_degrees(edges: DataFrame) -> DataFrame:
     """Edges at each node, in and out."""
     return edges.select(F.col("u").alias("node_id")).unionAll(edges.select(F.col("v").alias("node_id"))).groupBy("node_id").agg(F.count("*").alias("degree"))

@@ -248,12 +248,12 @@ def regression_metrics(spark, d):
 
 @book.add(f"{PREDICTED_SQL} select sequence_id, count(*) as n, {_metric_sql((50, 100))} from p group by 1")
 def per_sequence_metrics(spark, d):
-    return metrics.regression_metrics(predictions(spark, d), "guess", "speed", ["sequence_id"], (50.0, 100.0))
+    return metrics.regression_metrics(predictions(spark, d), "guess", "speed", ["sequence_id"], (50.0, 100.0), small_groups=True)
 
 
 @book.add(f"{PREDICTED_SQL}, g as (select sequence_id, avg(abs(e)) as mae from p group by 1) select sequence_id, {r('mae')} as mae from g order by g.mae desc, sequence_id limit 5")
 def worst_sequences(spark, d):
-    return metrics.worst_sequences(metrics.regression_metrics(predictions(spark, d), "guess", "speed", ["sequence_id"])).select("sequence_id", "mae")
+    return metrics.worst_sequences(metrics.regression_metrics(predictions(spark, d), "guess", "speed", ["sequence_id"], small_groups=True)).select("sequence_id", "mae")
 
 
 @book.add(f"{views.TEL_SQL} select " + ", ".join(f"{r(f'avg((abs(speed) > {x})::int) * 100')} as over_{x}_pct" for x in (20, 50, 100)) + " from tel")

@@ -386,5 +386,5 @@ def blackout_error(spark, d):
 @book.add(f"{views.TEL_SQL}, p as (select *, lag(ay) over {W} as previous from tel) select sequence_id, {r('avg(abs(ay - previous))')} as mae, {r('sqrt(avg(pow(ay - previous, 2)))')} as rmse from p where previous is not null group by 1")
 def persistence_baseline(spark, d):
     tel = views.tel(spark, d)
-    out = metrics.regression_metrics(tel.withColumn("previous", labels.persistence(tel, "ay")), "previous", "ay", ["sequence_id"])
+    out = metrics.regression_metrics(tel.withColumn("previous", labels.persistence(tel, "ay")), "previous", "ay", ["sequence_id"], small_groups=True)
     return out.select("sequence_id", "mae", "rmse")

@@ -232,3 +232,37 @@ def test_deployable_vector(spark):
     got = features.deployable_vector(row).orderBy("row_idx").first().vector
     assert len(got) == 107 and got[features.DEPLOYABLE_FEATURES.index("elapsed_time")] == 1.5 and got[0] is None
     assert got[features.DEPLOYABLE_FEATURES.index("accel_x")] == 3.0
+
+
+def test_percentiles_against_numpy(spark):
+    from odotrail.operators import ranks
+
+    r = np.random.default_rng(5)
+    values = {"a": r.normal(size=30_000), "b": r.integers(0, 4, 5000).astype(float), "c": np.array([7.0]), "d": r.normal(size=3), None: r.normal(size=10), "e": np.r_[np.zeros(20_000), r.normal(size=19)]}
+    rows = [(k, float(x)) for k, xs in values.items() for x in xs] + [("a", None), ("n", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    wanted = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p60": 0.6, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {x.g: x for x in ranks.percentiles(df, F.col("x"), wanted, ["g"]).collect()}
+    assert set(got) == {*values, "n"} and got["n"].p50 is None
+    for k, xs in values.items():
+        assert [got[k][n] for n in wanted] == pytest.approx(np.quantile(xs, list(wanted.values())).tolist(), abs=1e-12)
+    whole = ranks.percentiles(df, F.col("x"), wanted).first()
+    assert list(whole) == pytest.approx(np.quantile(np.concatenate(list(values.values())), list(wanted.values())).tolist(), abs=1e-12)
+    assert ranks.percentiles(df.limit(0), F.col("x"), {"p": 0.5}).collect() == [(None,)]
+    two = spark.createDataFrame([(1.0,), (2.0,)], "threshold double")
+    with pytest.raises(Exception, match="one row"):
+        isolation.anomaly_flag(df.withColumn("drift_score", F.col("x")), two).count()
+
+
+def test_match_points_at_all_latitudes(spark):
+    r = np.random.default_rng(6)
+    at = [(lat0 + dlat * 3e-4, 10 + dlon * 3e-4 / max(0.02, math.cos(math.radians(lat0)))) for lat0 in (0.0, 45.0, -45.0, 80.0, 88.0) for dlat, dlon in r.normal(size=(12, 2))]
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "point_id int, lat double, lon double")
+    ends = [(at[i], at[(i // 12) * 12 + int(r.integers(12))]) for i in range(len(at))]
+    edges = spark.createDataFrame([(i, *map(float, a + b)) for i, (a, b) in enumerate(ends)], "segment_id int, lat1 double, lon1 double, lat2 double, lon2 double")
+    for config in (matching.GRAPH, matching.MOBILE):
+        method = "ellipsoid" if config.preset == "graph" else "equirectangular"
+        brute = points.crossJoin(edges).filter(geo.point_to_segment_m("lat", "lon", "lat1", "lon1", "lat2", "lon2", method) <= config.max_distance)
+        pairs = lambda df: sorted((x.point_id, x.segment_id) for x in df.collect())
+        want = pairs(brute)
+        assert pairs(matching.match_points(points, edges, config)) == want and len(want) > len(at)
