@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.headers import normalized
+from .quality import duplicate_rows
+
 
 def _rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     counted = df.agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
@@ -25,9 +28,13 @@ def _with_absent(df: DataFrame, columns: list[str], rules: dict[str, Column]) ->
 
 
 def validate_aligned(df: DataFrame) -> DataFrame:
-    """Required columns, and no negative or missing difference where a row is matched."""
+    """Required columns, their types, and no negative or missing difference where a row is matched."""
     need = ["sequence_id", "time_difference", "synchronization_valid"]
+    types = dict(df.dtypes)
+    wrong = [(f"type of {c}", int(types[c] not in kinds)) for c, kinds in (("time_difference", ("double", "float")), ("synchronization_valid", ("boolean",))) if c in types]
     rules = {"negative difference": F.col("time_difference") < 0, "match without difference": F.col("synchronization_valid") & F.col("time_difference").isNull()} if set(need) <= set(df.columns) else {}
+    if any(n for _, n in wrong):
+        return _with_absent(df, need, {}).unionByName(df.sparkSession.createDataFrame([w for w in wrong if w[1]], "rule string, violations long"))
     return _with_absent(df, need, rules)
 
 
@@ -62,6 +69,17 @@ def isolate_failures(df: DataFrame, problem: Column, by: str = "sequence_id") ->
     return df.join(failed.select(by), by, "left_anti"), failed
 
 
+def repeated_warnings(s: DataFrame, v: DataFrame, by: str = "sequence_id", row: str = "row_idx") -> DataFrame:
+    """Per sequence: warnings of rows that are equal but for their number, and of S and V columns that would have one name in the
+    output (equal but for case or signs)."""
+    extra = lambda df, p: duplicate_rows(df, [c for c in df.columns if c not in (by, row)], by).select(by, F.col("extra_members").alias(p))
+    out = extra(s, "s").join(extra(v, "v"), by, "full")
+    names = [normalized(c) for c in s.columns if c not in (by, row)], [normalized(c) for c in v.columns if c not in (by, row)]
+    clash = [f"{p} repeated columns" for p, have in zip("SV", names, strict=True) if len(set(have)) < len(have)]
+    rows = [F.when(F.col(p) > 0, F.lit(f"{p.upper()} repeated rows")) for p in "sv"]
+    return out.select(by, F.array_compact(F.array(*rows, *map(F.lit, clash))).alias("warnings"))
+
+
 def sync_warnings(s: DataFrame, v: DataFrame, by: str = "sequence_id", on: str = "t", lat: str = "lat", row: str = "row_idx") -> DataFrame:
     """Per sequence: warnings of rows without time, repeated times, bad latitudes, and no shared time."""
     of = lambda df, p: df.groupBy(by).agg(F.count_if(F.col(on).isNull()).alias(f"{p}_untimed"), (F.count(on) - F.count_distinct(on)).alias(f"{p}_repeated"), F.count_if((F.col(lat) < -90) | (F.col(lat) > 90)).alias(f"{p}_latitude"), F.min(on).alias(f"{p}_start"), F.max(on).alias(f"{p}_end"))

@@ -190,6 +190,37 @@ def sequence_quality(df: DataFrame, features: list[str], by: str = "sequence_id"
     return out.withColumn("issues", issues).withColumn("status", F.when(F.col("issues") == "", "PASS").otherwise("WARNING"))
 
 
+#: Parts of names that columns of text may have.
+TEXT_COLUMN_WORDS = ("sequence_id", "source", "status", "label", "category", "time")
+
+
+def sequence_audit(df: DataFrame, features: list[str], by: str = "sequence_id", on: str = "t", row: str = "row_idx", gap: str = "time_gap_flag", text_words: tuple[str, ...] = TEXT_COLUMN_WORDS) -> DataFrame:
+    """``sequence_quality`` with what it leaves out: repeated_rows (equal but for ``row``, beyond the first of each group), infinite
+    values, constant and near-constant features (also wholly missing ones are constant), missing_times, time_gaps (rows flagged by
+    ``gap``, if there is such a column), gyro_bug (axes, but no magnitude), unexpected_text (columns of text by an unknown name).
+
+    Values are counted by (sequence, feature, value) first, so a value that fills a drive is one row. Null sequences are one group.
+    """
+    base = sequence_quality(df, features, by, on, row).drop("issues", "status", "constant_features")
+    v = F.col("value")
+    counts = melt(df, features, [by]).groupBy(by, "feature", "value").agg(F.count("*").alias("n")).groupBy(by, "feature").agg(F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(v.isNotNull(), F.col("n"))), F.lit(0)).alias("valid"), F.max(F.when(v.isNotNull(), F.col("n"))).alias("dominant"), F.coalesce(F.sum(F.when(F.abs(v) == float("inf"), F.col("n"))), F.lit(0)).alias("infinite"))
+    near = (F.col("valid") > 0) & ((F.col("dominant") >= 0.99 * F.col("valid")) | (F.col("distinct") <= F.greatest(F.lit(2), F.floor(F.col("valid") * 0.01))))
+    values = counts.groupBy(by).agg(F.sum("infinite").alias("infinite_values"), F.count_if(F.col("distinct") <= 1).alias("constant_features"), F.count_if(near).alias("near_constant_features"))
+    repeats = duplicate_rows(df, [c for c in df.columns if c not in (by, row)], by).select(by, F.col("extra_members").alias("repeated_rows"))
+    axes = {"gyro_yaw", "gyro_pitch", "gyro_roll"} <= set(df.columns)
+    bug = F.count("gyro_magnitude") == 0 if axes and "gyro_magnitude" in df.columns else F.lit(axes)
+    gaps = F.count_if(gap) if gap in df.columns else F.lit(0).cast("long")
+    more = df.groupBy(by).agg(F.count_if(F.col(on).isNull()).alias("missing_times"), gaps.alias("time_gaps"), bug.alias("gyro_bug"))
+    out = base
+    for part in (values, repeats, more):
+        other = part.withColumnRenamed(by, "__by")
+        out = out.join(other, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+    text = [c for c, t in df.dtypes if t == "string" and not any(w in c.lower() for w in text_words)]
+    rules = {"missing_pct": "missing values", "steps_back": "time not in order", "repeated_times": "repeated times", "missing_times": "missing times", "time_gaps": "time gaps", "repeated_rows": "repeated rows", "infinite_values": "infinite values", "constant_features": "constant features", "near_constant_features": "near-constant features", "out_of_range": "out of range"}
+    issues = F.concat_ws("; ", *[F.when(F.col(c) > 0, F.lit(t)) for c, t in rules.items()], F.when(F.col("gyro_bug"), F.lit("gyroscope magnitude missing")), F.lit("unexpected text") if text else F.lit(None).cast("string"))
+    return out.withColumns({"unexpected_text": F.lit("; ".join(text)), "issues": issues}).withColumn("status", F.when(F.col("issues") == "", "PASS").otherwise("WARNING"))
+
+
 def schema_variation(columns: DataFrame, file: str = "file", column: str = "column") -> DataFrame:
     """Every column with the files that have it: common to all, or varying."""
     files = columns.agg(F.count_distinct(file).alias("files"))
@@ -210,9 +241,13 @@ def before_after(old: DataFrame, new: DataFrame, key: str = "feature", value: st
 
 
 def audit_verdict(statistics: DataFrame, sequences: DataFrame) -> DataFrame:
-    """READY, or REQUIRES CORRECTION if a feature fails, holds infinities or a sequence fails."""
+    """READY, or REQUIRES CORRECTION if a feature fails, holds infinities, a sequence fails or (with ``sequence_audit``) has the
+    gyroscope bug."""
     a = statistics.agg(F.count_if(F.col("status") == "FAIL").alias("failed_features"), F.sum("infinite").alias("infinite"))
-    b = sequences.agg(F.count_if(F.col("status") == "FAIL").alias("failed_sequences"), F.count_if(F.col("status") == "WARNING").alias("warned_sequences"))
+    bug = [F.count_if("gyro_bug").alias("gyro_bugs")] if "gyro_bug" in sequences.columns else []
+    b = sequences.agg(F.count_if(F.col("status") == "FAIL").alias("failed_sequences"), F.count_if(F.col("status") == "WARNING").alias("warned_sequences"), *bug)
     out = a.join(F.broadcast(b), F.lit(True))  # one row each
     bad = (F.col("failed_features") > 0) | (F.col("infinite") > 0) | (F.col("failed_sequences") > 0)
+    if bug:
+        bad = bad | (F.col("gyro_bugs") > 0)
     return out.withColumn("verdict", F.when(bad, "REQUIRES CORRECTION").otherwise("READY"))

@@ -313,3 +313,41 @@ def isolate_failures(spark, d):
 @book.add(f"{views.SIDES_SQL}, a as (select sequence_id, min(t) as s0, max(t) as s1, count(t) - count(distinct t) as sd, count(*) filter (ay > 90 or ay < -90) as sl from s_side group by 1), b as (select sequence_id, min(t) as v0, max(t) as v1, count(t) - count(distinct t) as vd, count(*) filter (ay > 90 or ay < -90) as vl from v_side group by 1) select sequence_id, list_filter([case when sd > 0 then 'S repeated times' end, case when sl > 0 then 'S latitude out of range' end, case when vd > 0 then 'V repeated times' end, case when vl > 0 then 'V latitude out of range' end, case when s1 is null or v1 is null or least(s1, v1) < greatest(s0, v0) then 'no shared time' end], lambda x: x is not null) as warnings from a full join b using (sequence_id)")
 def sync_warnings(spark, d):
     return gates.sync_warnings(*views.sides(spark, d), lat="ay")
+
+
+AUDIT_SQL = f"""{QUALITY_SQL}, l as ({long_sql(['ax', 'ay', 'satellites'], 'sequence_id, ')}), n as (select sequence_id, feature, value, count(*) as n from l group by all),
+f as (select sequence_id, feature, count(value) as "distinct", coalesce(sum(n) filter (value is not null), 0) as valid, max(n) filter (value is not null) as dominant from n group by all),
+v as (select sequence_id, count(*) filter ("distinct" <= 1) as constant_features, count(*) filter (valid > 0 and (dominant >= 0.99 * valid or "distinct" <= greatest(2, floor(valid * 0.01)))) as near_constant_features from f group by 1),
+d as (select sequence_id, sum(n - 1)::bigint as repeated_rows from (select sequence_id, ax, ay, satellites, day, count(*) as n from (select *, floor(t / 86400) as day from tel) group by all) group by 1),
+x as (select sequence_id, count(*) as rows, count(*) filter (ax is null) * 100.0::double / (3 * count(*)) as missing_pct, count(*) filter (floor(t / 86400) < prior) as steps_back, count(t) - count(distinct floor(t / 86400)) as repeated_times from (select *, lag(floor(t / 86400)) over (partition by sequence_id order by row_idx) as prior from tel) group by 1),
+j as (select sequence_id, rows, missing_pct, steps_back, repeated_times, constant_features, near_constant_features, repeated_rows from x join v using (sequence_id) join d using (sequence_id))"""
+
+
+def audited(spark, d):
+    """Days, in place of times, and few columns, so that rows repeat."""
+    tel = views.tel(spark, d).select("sequence_id", "row_idx", F.floor(F.col("t") / 86400).cast("double").alias("t"), "ax", "ay", "satellites")
+    return quality.sequence_audit(tel, ["ax", "ay", "satellites"])
+
+
+@book.add(f"""{AUDIT_SQL} select sequence_id, rows, {r('missing_pct')} as missing_pct, steps_back, repeated_times, constant_features, near_constant_features, repeated_rows, 0::bigint as infinite_values,
+ concat_ws('; ', case when missing_pct > 0 then 'missing values' end, case when steps_back > 0 then 'time not in order' end, case when repeated_times > 0 then 'repeated times' end, case when repeated_rows > 0 then 'repeated rows' end, case when constant_features > 0 then 'constant features' end, case when near_constant_features > 0 then 'near-constant features' end) as issues from j""")
+def sequence_audit(spark, d):
+    return audited(spark, d).select("sequence_id", "rows", "missing_pct", "steps_back", "repeated_times", "constant_features", "near_constant_features", "repeated_rows", "infinite_values", "issues")
+
+
+@book.add(f"{views.TEL_SQL}, g as (select sequence_id, event_type in {views.S_TYPES} as is_s, event_type, satellites, count(*) - 1 as extra from tel group by all), w as (select sequence_id, coalesce(sum(extra) filter (is_s), 0) as s, coalesce(sum(extra) filter (not is_s), 0) as v from g group by 1) select sequence_id, list_filter([case when s > 0 then 'S repeated rows' end, case when v > 0 then 'V repeated rows' end], lambda x: x is not null) as warnings from w")
+def repeated_warnings(spark, d):
+    s, v = (x.select("sequence_id", "row_idx", "event_type", "satellites") for x in views.sides(spark, d))
+    return gates.repeated_warnings(s, v)
+
+
+@book.add(f"{views.TEL_SQL}, i as (select sequence_id, max(speed) as top_speed from tel group by 1) select sequence_id, {r('top_speed')} as top_speed from i where top_speed <= 128")
+def passed_sequences(spark, d):
+    inventory = views.tel(spark, d).groupBy("sequence_id").agg(F.max("speed").alias("top_speed"))
+    return sync.filter_pass(inventory.withColumn("status", F.when(F.col("top_speed") <= 128, "PASS").otherwise("FAIL"))).select("sequence_id", "top_speed")
+
+
+@book.add(f"{views.SIDES_SQL} select sequence_id, row_idx, {r('ax')} as ax, null::double as az from s_side union all select sequence_id, row_idx, null, {r('az')} from v_side")
+def union_sequences(spark, d):
+    s, v = views.sides(spark, d)
+    return sync.union_sequences(s.select("sequence_id", "row_idx", "ax"), v.select("az", "row_idx", "sequence_id"))

@@ -388,3 +388,45 @@ def persistence_baseline(spark, d):
     tel = views.tel(spark, d)
     out = metrics.regression_metrics(tel.withColumn("previous", labels.persistence(tel, "ay")), "previous", "ay", ["sequence_id"], small_groups=True)
     return out.select("sequence_id", "mae", "rmse")
+
+
+_YAW = "radians(yaw)"
+
+
+@book.add(f"""{views.TEL_SQL} select row_idx, {r('ay - az')} as linear, {r(f'ay * cos({_YAW}) - az * sin({_YAW})')} as east, {r(f'ay * sin({_YAW}) + az * cos({_YAW})')} as north, {r('coalesce(ax, mx / 1000.0)')} as seconds, {r('speed / 3.6')} as ms, {r('speed * 3.6')} as kmh, {r('gx * 5 + 2')} as raw from tel""")
+def vehicle_frame(spark, d):
+    """Gravity taken off, vectors turned, one time of several, units."""
+    turned = scalar.rotate_xy("ay", "az", "yaw")
+    return views.tel(spark, d).select("row_idx", scalar.linear_acceleration("ay", "az").alias("linear"), turned["x"].alias("east"), turned["y"].alias("north"), scalar.time_seconds("ax", "mx").alias("seconds"), scalar.kmh_to_ms("speed").alias("ms"), scalar.ms_to_kmh("speed").alias("kmh"), scalar.unstandardize("gx", F.lit(2.0), F.lit(5.0)).alias("raw"))
+
+
+_ARC, _PHI = "(speed * 1000 / 6371000)", "radians(lat)"
+
+
+@book.add(f"""{views.TEL_SQL}, a as (select *, asin(sin({_PHI}) * cos({_ARC}) + cos({_PHI}) * sin({_ARC}) * cos({_YAW})) as phi from tel) select row_idx, {r('degrees(phi) * 100')} as lat, {r(f'(lon + degrees(atan2(sin({_YAW}) * sin({_ARC}) * cos({_PHI}), cos({_ARC}) - sin({_PHI}) * sin(phi)))) * 100')} as lon,
+ {r('(lat + degrees(ay * 1000 / 6371000)) * 100')} as flat_lat, {r('(lon + degrees(az * 1000 / (6371000 * cos(radians(lat))))) * 100')} as flat_lon from a""")
+def destination_points(spark, d):
+    """Hundredfold degrees of the points reached by a bearing and a distance, and by metres east and north."""
+    p = views.tel(spark, d).withColumns({"to": geo.destination_point("lat", "lon", "yaw", F.col("speed") * 1000), "flat": geo.inverse_project(F.col("az") * 1000, F.col("ay") * 1000, "lat", "lon")})
+    return p.select("row_idx", *[(F.col(c) * 100).alias(n) for c, n in (("to.lat", "lat"), ("to.lon", "lon"), ("flat.lat", "flat_lat"), ("flat.lon", "flat_lon"))])
+
+
+@book.add(f"{views.TEL_SQL} select sequence_id, row_idx as \"V_row_idx\", satellites as \"V_satellites\" from tel")
+def prefix_columns(spark, d):
+    return headers.prefix_columns(views.tel(spark, d).select("sequence_id", "row_idx", "satellites"), "V_", ("sequence_id",))
+
+
+_HEADERS = ["gps latitude", "gps speed", "gravity x", "velocity", "gear", "engine speed"]
+
+
+def _count_sql(words: list[str]) -> str:
+    return f"len(list_filter([{', '.join(repr(w) for w in words)}], lambda w: contains(header, w)))"
+
+
+@book.add(f"""h as (select p_partkey, concat_ws(' ', {', '.join(f"case when (p_partkey >> {i}) % 2 = 1 then '{w}' end" for i, w in enumerate(_HEADERS))}, lower(p_type)) as header from part), c as (select *, {_count_sql(headers.S_WORDS)} as s, {_count_sql(headers.V_WORDS)} as v from h)
+select p_partkey, case when s > v and s >= 2 then 'S' when v > s and v >= 2 then 'V' else 'UNKNOWN' end as kind from c""")
+def file_headers(spark, d):
+    """Kinds of files by their headers: words by the bits of the part's number."""
+    words = [F.when(F.shiftright("p_partkey", i).bitwiseAND(F.lit(1)) == 1, w) for i, w in enumerate(_HEADERS)]
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return part.select("p_partkey", headers.classify_by_columns(F.concat_ws(" ", *words, F.lower("p_type"))).alias("kind"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odotrail.functions import geo, headers, scalar
-from odotrail.operators import features, fusion, isolation, labels, matching, preparation, quality, roads, sync
+from odotrail.operators import features, fusion, gates, isolation, labels, matching, preparation, quality, roads, sync
 
 
 def test_headers():
@@ -266,3 +266,24 @@ def test_match_points_at_all_latitudes(spark):
         pairs = lambda df: sorted((x.point_id, x.segment_id) for x in df.collect())
         want = pairs(brute)
         assert pairs(matching.match_points(points, edges, config)) == want and len(want) > len(at)
+
+
+def test_sequence_audit(spark):
+    inf = float("inf")
+    rows = [("a", i, float(i), 1.0, inf if i == 3 else float(i), None, 1.0, 1.0, 1.0, i == 2) for i in range(5)] + [("a", 9, 4.0, 1.0, 4.0, None, 1.0, 1.0, 1.0, False), ("b", 0, None, 1.0, 2.0, 5.0, 1.0, 1.0, 1.0, False)]
+    df = spark.createDataFrame(rows, "sequence_id string, row_idx int, t double, x double, y double, gyro_magnitude double, gyro_yaw double, gyro_pitch double, gyro_roll double, time_gap_flag boolean").withColumn("note", F.lit("n"))
+    got = {r.sequence_id: r for r in quality.sequence_audit(df, ["x", "y"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.repeated_rows, a.infinite_values, a.time_gaps, a.missing_times, a.gyro_bug, a.constant_features, a.unexpected_text) == (1, 1, 1, 0, True, 1, "note")
+    assert (b.repeated_rows, b.missing_times, b.gyro_bug, b.constant_features, b.near_constant_features) == (0, 1, False, 2, 2)
+    verdict = quality.audit_verdict(quality.feature_statistics(df, ["x"]), quality.sequence_audit(df, ["x"])).first()
+    assert verdict.gyro_bugs == 1 and verdict.verdict == "REQUIRES CORRECTION"
+    bad = {r.rule: r.violations for r in gates.validate_aligned(df.select("sequence_id", F.lit("x").alias("time_difference"), F.lit(True).alias("synchronization_valid"))).collect()}
+    assert bad["type of time_difference"] == 1
+
+
+def test_capped_sample_and_named_columns(spark):
+    df = spark.range(500).select(F.lit("a").alias("sequence_id"), F.col("id").alias("row_idx"))
+    one, two = ({r.row_idx for r in preparation.capped_sample(d, 50).collect()} for d in (df, df.repartition(7)))
+    assert one == two and len(one) == 50
+    assert headers.detect_time_columns(["S_Time (ms)", "x"]) == ["S_Time (ms)"] and headers.detect_label_columns(["Driver", "speed"]) == ["Driver"]
