@@ -92,6 +92,10 @@ def slope_pct(e1, e2, length) -> Column:
     return F.when(_c(length) > 0, 100.0 * (_c(e2) - _c(e1)) / F.when(_c(length) > 0, _c(length)))
 
 
+#: Reasons of a bad fix.
+WIDE_REASON, LOST_REASON = "accuracy_exceeds_50m", "satellite_lock_lost"
+
+
 def gnss_quality(accuracy, satellites, anomalous=None) -> Column:
     """struct(reasons, anomalous, mode, confidence) of a fix: over 50 m denies it, no satellite or the first makes it anomalous."""
     accuracy = _c(accuracy)
@@ -101,7 +105,7 @@ def gnss_quality(accuracy, satellites, anomalous=None) -> Column:
     share = accuracy / 50
     share = F.when(share > 1, 1.0).when(share < 0, 0.0).otherwise(share)
     confidence = 1.0 - F.when(odd, 0.3).otherwise(0.0) - 0.4 * share
-    reasons = F.array_compact(F.array(F.when(wide, F.lit("accuracy_exceeds_50m")), F.when(lost, F.lit("satellite_lock_lost"))))
+    reasons = F.array_compact(F.array(F.when(wide, F.lit(WIDE_REASON)), F.when(lost, F.lit(LOST_REASON))))
     return F.struct(reasons.alias("reasons"), odd.alias("anomalous"), mode.alias("mode"), confidence.alias("confidence"))
 
 

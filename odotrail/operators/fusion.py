@@ -180,13 +180,24 @@ def motion_state(df: DataFrame, gyro: tuple[str, str, str] = ("gx", "gy", "gz"),
     return df.withColumn("motion_state", state)
 
 
-def imu_confidence(df: DataFrame, heading: str = "gnss_heading", long_seconds: float = 60.0, bias_stability: float = 1.0, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Adds imu_confidence: less with vibration and unstable biases, 0 before the first heading, decaying long after the last one."""
-    running = Window.partitionBy(track).orderBy(on, row).rowsBetween(Window.unboundedPreceding, 0)
+def imu_confidence(df: DataFrame, heading: str = "gnss_heading", long_seconds: float = 60.0, bias_stability: float = 1.0, track: str = "track_id", on: str = "t", row: str = "row_idx", low_rate_hz: float | None = None, motion: str | None = None) -> DataFrame:
+    """Adds imu_confidence: less with vibration and unstable biases, 0 before the first heading, decaying long after the last one.
+
+    The phone module's variant takes ``long_seconds`` 300, a ``low_rate_hz`` (0.45 off where the step before was slower) and the
+    ``motion`` state (a disturbance leaves 0.1 at most, a pothole six tenths, a turn nine tenths)."""
+    w = Window.partitionBy(track).orderBy(on, row)
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col(heading).isNotNull(), F.col(on)), ignorenulls=True).over(running)
     outage = F.col(on) - F.col("__seen")
-    c = (1 - 0.45 * F.col("vibration")) * (1 - 0.35 * (1 - F.lit(bias_stability))) * F.when(outage > long_seconds, F.exp(-(outage - long_seconds) / long_seconds)).otherwise(1.0)
-    return df.withColumn("__seen", seen).withColumn("imu_confidence", F.when(F.col("__seen").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(c, F.lit(1.0))))).drop("__seen")
+    c = (1 - 0.45 * F.col("vibration")) * (1 - 0.35 * (1 - F.lit(bias_stability)))
+    if low_rate_hz is not None:
+        df = df.withColumn("__step", F.lag(on, 1).over(w) - F.lag(on, 2).over(w))
+        c = c * F.when((F.col("__step") > 0) & (F.col("__step") * low_rate_hz > 1), 0.55).otherwise(1.0)
+    if motion is not None:
+        m = F.col(motion)
+        c = F.when(m == "PHONE_DISTURBANCE", F.least(c, F.lit(0.1))).when(m == "POTHOLE", c * 0.6).when(m == "TURNING", c * 0.9).otherwise(c)
+    c = c * F.when(outage > long_seconds, F.exp(-(outage - long_seconds) / long_seconds)).otherwise(1.0)
+    return df.withColumn("__seen", seen).withColumn("imu_confidence", F.when(F.col("__seen").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(c, F.lit(1.0))))).drop("__seen", "__step")
 
 
 def quaternion_of(yaw: float, pitch: float, roll: float) -> np.ndarray:
@@ -224,13 +235,34 @@ def gyro_step(dt: float) -> float:
     return dt if 0 < dt <= 0.2 else 0.02
 
 
-def orientation_track(df: DataFrame, gyro: tuple[str, str, str] = ("gx", "gy", "gz"), euler: tuple[str, str, str] = ("yaw", "pitch", "roll"), track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Adds track_yaw, track_pitch, track_roll: the first row's angles, turned on by the gyroscope."""
+#: Share of the gyroscope when gravity corrects pitch and roll, and the sizes of it that are trusted (fixed values).
+GYRO_SHARE = 0.98
+TRUSTED_G = (0.65 * G, 1.35 * G)
+
+
+def level_by_gravity(q: np.ndarray, accel: np.ndarray) -> np.ndarray:
+    """The orientation with pitch and roll drawn to the measured direction of gravity; unchanged if that is no likely gravity."""
+    if not TRUSTED_G[0] <= float(np.linalg.norm(accel)) <= TRUSTED_G[1]:
+        return q
+    x, y, z = accel
+    yaw, pitch, roll = euler_of(q)
+    blend = lambda turned, seen: GYRO_SHARE * turned + (1 - GYRO_SHARE) * math.degrees(seen)
+    return quaternion_of(yaw, blend(pitch, math.atan2(-x, math.hypot(y, z))), blend(roll, math.atan2(y, z)))
+
+
+def orientation_track(df: DataFrame, gyro: tuple[str, str, str] = ("gx", "gy", "gz"), euler: tuple[str, str, str] = ("yaw", "pitch", "roll"), track: str = "track_id", on: str = "t", row: str = "row_idx", accel: tuple[str, str, str] | None = None) -> DataFrame:
+    """Adds track_yaw, track_pitch, track_roll: the first row's angles, turned on by the gyroscope; with ``accel``, pitch and roll are
+    corrected by the accelerometer after each turn (a missing value is 0, and so no gravity)."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         q, last, out = None, None, []
-        for t, rate, angles in zip(pdf[on], pdf[list(gyro)].fillna(0.0).to_numpy(float), pdf[list(euler)].fillna(0.0).to_numpy(float), strict=True):
-            q = quaternion_of(*angles) if q is None else turn(q, rate, gyro_step(t - last))
+        pull = pdf[list(accel)].fillna(0.0).to_numpy(float) if accel else None
+        for i, (t, rate, angles) in enumerate(zip(pdf[on], pdf[list(gyro)].fillna(0.0).to_numpy(float), pdf[list(euler)].fillna(0.0).to_numpy(float), strict=True)):
+            if q is None:
+                q = quaternion_of(*angles)
+            else:
+                q = turn(q, rate, gyro_step(t - last))
+                q = q if pull is None else level_by_gravity(q, pull[i])
             last = t
             out.append(euler_of(q))
         return pdf.assign(**dict(zip(("track_yaw", "track_pitch", "track_roll"), np.array(out).T, strict=True)))

@@ -38,13 +38,23 @@ def validate_aligned(df: DataFrame) -> DataFrame:
     return _with_absent(df, need, rules)
 
 
-def validate_features(df: DataFrame, features: list[str], by: str = "sequence_id", on: str = "timestamp", row: str = "row_idx") -> DataFrame:
-    """Columns present; a sequence id everywhere; steps of time not negative; no infinities."""
+#: Rolling columns that engineered features must have (fixed values).
+ROLLING = ["accel_magnitude_rolling_mean", "gyro_magnitude_rolling_mean"]
+
+
+def validate_features(df: DataFrame, features: list[str], by: str = "sequence_id", on: str = "timestamp", row: str = "row_idx", window: int | None = None) -> DataFrame:
+    """Columns present; a sequence id everywhere; time not falling in the order of ``row`` (rows without time are passed over); no
+    infinities. With ``window``, the length of the rolling windows: it is at least 1, and rolling columns are there and are numbers."""
     have = [f for f in features if f in df.columns]
     infinite = reduce(lambda a, b: a | b, [F.abs(F.col(f"`{f}`").cast("double")) == float("inf") for f in have], F.lit(False))
-    w = Window.partitionBy(by).orderBy(F.asc_nulls_last(on), row)
-    out = df.withColumn("__back", F.col(on) < F.lag(on).over(w))
-    return _with_absent(out, [by, on, *features], {"no sequence": F.col(by).isNull(), "time not in order": F.col("__back"), "infinite value": infinite})
+    before = Window.partitionBy(by).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("__back", F.col(on) < F.last(on, ignorenulls=True).over(before))
+    rules = _with_absent(out, [by, on, *features], {"no sequence": F.col(by).isNull(), "time not in order": F.col("__back"), "infinite value": infinite})
+    if window is None:
+        return rules
+    texts = [(f"not a number {c}", 1) for c, t in df.dtypes if "rolling" in c and t not in ("double", "float")]
+    more = [*_absent(df, [c for c in ROLLING if c not in features]), ("window too short", int(window < 1)), *texts]
+    return rules.unionByName(df.sparkSession.createDataFrame(more, "rule string, violations long"))
 
 
 def gyro_gate(df: DataFrame) -> DataFrame:

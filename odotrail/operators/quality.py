@@ -191,7 +191,7 @@ def sequence_quality(df: DataFrame, features: list[str], by: str = "sequence_id"
 
 
 #: Parts of names that columns of text may have.
-TEXT_COLUMN_WORDS = ("sequence_id", "source", "status", "label", "category", "time")
+TEXT_COLUMN_WORDS = ("sequence_id", "date")
 
 
 def sequence_audit(df: DataFrame, features: list[str], by: str = "sequence_id", on: str = "t", row: str = "row_idx", gap: str = "time_gap_flag", text_words: tuple[str, ...] = TEXT_COLUMN_WORDS) -> DataFrame:

@@ -289,9 +289,11 @@ def validate_aligned(spark, d):
     return gates.validate_aligned(aligned(spark, d))
 
 
-@book.add(f"{views.TEL_SQL} select * from (values ('column sequence_id', 0::bigint), ('column t', 0), ('column ax', 0), ('column absent', 1), ('no sequence', 0), ('time not in order', 0), ('infinite value', 0)) as x(rule, violations)")
+@book.add(f"""{views.TEL_SQL}, k as (select *, t < lag(t) over (partition by sequence_id order by row_idx) as back from tel) select c as rule, (c = 'column absent')::bigint as violations from (values ('column sequence_id'), ('column t'), ('column inverse'), ('column absent')) as x(c)
+ union all select 'no sequence', count(*) filter (sequence_id is null) from k union all select 'time not in order', count(*) filter (back) from k union all select 'infinite value', count(*) filter (satellites = 0) from k""")
 def validate_features(spark, d):
-    return gates.validate_features(views.tel(spark, d), ["ax", "absent"], on="t")
+    tel = views.tel(spark, d).withColumn("inverse", F.when(F.col("satellites") == 0, float("inf")).otherwise(1.0 / F.col("satellites")))
+    return gates.validate_features(tel, ["inverse", "absent"], on="t")
 
 
 @book.add(f"{views.TEL_SQL} select 'column ' || c as rule, 0::bigint as violations from (values ('gyro_yaw'), ('gyro_pitch'), ('gyro_roll')) as x(c) union all select 'empty ' || c, (select (count(gx) = 0)::bigint from tel) from (values ('gyro_yaw'), ('gyro_pitch'), ('gyro_roll')) as x(c)")

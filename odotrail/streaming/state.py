@@ -118,13 +118,16 @@ def fusion_stream(df: DataFrame, track: str = "track_id", on: str = "t", row: st
     return _stateful(df, track, on, row, _typed(df, **fusion.fused_types()), fusion.FusionState, step)
 
 
-def watermarked_sync_stream(s: DataFrame, v: DataFrame, tolerance: str = "50 milliseconds", late: str = "10 seconds", by: str = "sequence_id", ts: str = "ts") -> DataFrame:
+def watermarked_sync_stream(s: DataFrame, v: DataFrame, tolerance: str = "50 milliseconds", late: str = "10 seconds", by: str = "sequence_id", ts: str = "ts", row: str = "row_idx") -> DataFrame:
     """Two streams joined within ``tolerance`` of each other, per sequence; every S row keeps its nearest V row (a tie: the
-    later one). Rows later than ``late`` are dropped by the watermark; S rows without a V row are not returned."""
+    later one), or nulls if there is none. ``row`` numbers the rows of S, so that equal ones stay apart. Rows later than ``late`` are
+    dropped by the watermark; results come once it has passed them."""
+    if row not in s.columns:
+        raise ValueError(f"S has no column {row} that numbers its rows")
     left = s.select(by, F.col(ts).alias("s_ts"), *[F.col(c).alias(f"S_{c}") for c in s.columns if c not in (by, ts)]).withWatermark("s_ts", late)
     right = v.select(F.col(by).alias("__by"), F.col(ts).alias("v_ts"), *[F.col(c).alias(f"V_{c}") for c in v.columns if c not in (by, ts)]).withWatermark("v_ts", late)
     near = (F.col(by) == F.col("__by")) & F.expr(f"v_ts between s_ts - interval {tolerance} and s_ts + interval {tolerance}")
-    pairs = left.join(right, near).drop("__by")
+    pairs = left.join(right, near, "left").drop("__by")
     away = F.abs(F.unix_micros("v_ts") - F.unix_micros("s_ts"))
     keys = [by, "s_ts", *[c for c in pairs.columns if c.startswith("S_")]]
     rest = F.struct("v_ts", *[F.col(c) for c in pairs.columns if c.startswith("V_")])

@@ -287,3 +287,30 @@ def test_capped_sample_and_named_columns(spark):
     one, two = ({r.row_idx for r in preparation.capped_sample(d, 50).collect()} for d in (df, df.repartition(7)))
     assert one == two and len(one) == 50
     assert headers.detect_time_columns(["S_Time (ms)", "x"]) == ["S_Time (ms)"] and headers.detect_label_columns(["Driver", "speed"]) == ["Driver"]
+
+
+def test_gravity_levels_the_track(spark):
+    rows = [("a", i, i * 0.02, 0.0, 0.0, 0.0, 0.0, 20.0, -30.0, 0.0, 0.0, fusion.G) for i in range(400)]
+    df = spark.createDataFrame(rows, "track_id string, row_idx int, t double, gx double, gy double, gz double, yaw double, pitch double, roll double, ax double, ay double, az double")
+    turned = fusion.orientation_track(df).orderBy(F.desc("row_idx")).first()
+    level = fusion.orientation_track(df, accel=("ax", "ay", "az")).orderBy(F.desc("row_idx")).first()
+    assert turned.track_pitch == pytest.approx(20) and turned.track_roll == pytest.approx(-30)
+    assert abs(level.track_pitch) < 0.1 and abs(level.track_roll) < 0.1 and level.track_yaw == pytest.approx(0, abs=1e-6)
+    free = fusion.orientation_track(df.withColumn("az", F.lit(0.5)), accel=("ax", "ay", "az")).orderBy(F.desc("row_idx")).first()
+    assert free.track_pitch == pytest.approx(20)
+
+
+def test_confidence_of_the_phone_module(spark):
+    rows = [("a", 0, 0.0, 5.0, "NORMAL"), ("a", 1, 1.0, None, "NORMAL"), ("a", 2, 1.01, None, "TURNING"), ("a", 3, 1.02, None, "POTHOLE"), ("a", 4, 1.03, None, "PHONE_DISTURBANCE"), ("a", 5, 601.0, None, "NORMAL"), ("b", 0, 0.0, None, "NORMAL")]
+    df = spark.createDataFrame(rows, "track_id string, row_idx int, t double, gnss_heading double, motion_state string").withColumn("vibration", F.lit(0.0))
+    got = [r.imu_confidence for r in fusion.imu_confidence(df, long_seconds=300.0, low_rate_hz=20.0, motion="motion_state").orderBy("track_id", "row_idx").collect()]
+    assert got == pytest.approx([1.0, 1.0, 0.9 * 0.55, 0.6, 0.1, math.exp(-301 / 300), 0.0])
+
+
+def test_rules_of_features_and_folders(spark):
+    df = spark.createDataFrame([("a", 0, 2.0, 1.0, "x"), ("a", 1, None, 1.0, "x"), ("a", 2, 1.0, 1.0, "x"), (None, 3, 0.0, float("inf"), "x")], "sequence_id string, row_idx int, timestamp double, x double, accel_magnitude_rolling_mean string")
+    got = {r.rule: r.violations for r in gates.validate_features(df, ["x"], window=0).collect()}
+    assert (got["time not in order"], got["no sequence"], got["infinite value"], got["window too short"]) == (1, 1, 1, 1)
+    assert (got["column gyro_magnitude_rolling_mean"], got["not a number accel_magnitude_rolling_mean"]) == (1, 1)
+    paths = spark.createDataFrame([("/S-Dataset/x.csv",), ("/v dataset/s1.csv",), ("/d/drive_s_1.csv",), ("/d/drive_s",), ("/d/vs.csv",)], "p string")
+    assert [r[0] for r in paths.select(headers.classify_by_path(F.col("p"))).collect()] == ["S", "V", "S", "UNKNOWN", "V"]
