@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from odotrail.llm import ann, bpe, minhash, quality, queries, toxicity
 from odotrail.llm.common import bounded_rows
+from odotrail.llm.graph import connected_components
 
 from .test_llm import brute, brute_components, documents, near_copies
 
@@ -116,3 +117,27 @@ def test_bpe_cuts_where_the_pattern_does(monkeypatch):
     for _ in range(500):
         t = "".join(r.choice([" ", "\n", "　", "\x1c", "\x85", "a", "é", "1", ".", "'s"]) * r.choice([1, 1, 2, 3, 7]) for _ in range(r.randint(0, 30)))
         assert bpe.encode(encoding, t) == encoding.encode_ordinary(t)
+
+
+def test_components_of_binary_nodes_around_a_hub(spark):
+    name = lambda i: i.to_bytes(16, "big")
+    links = [(name(50_000), name(i)) for i in range(40_000, 40_300)] + [(name(1), name(i)) for i in range(60_000, 60_300)] + [(name(3), name(2)), (name(4), name(3)), (None, name(9))]
+    got = {bytes(x.node): bytes(x.component) for x in connected_components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    want = {name(i): name(40_000) for i in [*range(40_000, 40_300), 50_000]} | {name(i): name(1) for i in [1, *range(60_000, 60_300)]} | {name(i): name(2) for i in (2, 3, 4)}
+    assert got == want
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    """Buckets and components of more nodes than a shuffled key may have."""
+    r = random.Random(31)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        w[r.randrange(200)] = f"x{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"y{r.randint(0, 10**6)}" for _ in range(50)) for _ in range(20)]
+    r.shuffle(texts)
+    for limit in (1000, 40):
+        got = {x.doc_id: x.component_id for x in minhash.near_duplicates(documents(spark, texts), 3, 85, group_nodes=limit).collect()}
+        assert [got[i] for i in range(len(texts))] == [root for _, root in brute_components(texts, 3, 85)]
