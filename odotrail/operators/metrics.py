@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar
 from .quality import melt
-from .ranks import attach_percentiles, percentiles
+from .ranks import attach_percentiles, percentiles, percentiles_of
 
 
 def score_summary(scored: DataFrame, group: str = "split", score: str = "drift_score") -> DataFrame:
@@ -58,8 +58,7 @@ def regression_metrics(df: DataFrame, predicted: str, actual: str, by: list[str]
     out = e.groupBy(*by).agg(F.count("*").alias("n"), F.avg(a).alias("mae"), F.sqrt(F.avg(F.pow("__e", F.lit(2.0)))).alias("rmse"), F.avg("__e").alias("mean_error"), F.stddev_pop("__e").alias("std_error"), F.max(a).alias("max_abs_error"), *within, *over)
     if small_groups:
         return out
-    out = attach_percentiles(out, percentiles(e, F.col("__e"), {"median_error": 0.5}, by), by)
-    return attach_percentiles(out, percentiles(e, a, {"p95_abs_error": 0.95, "p99_abs_error": 0.99}, by), by)
+    return attach_percentiles(out, percentiles_of(e, {"median_error": (F.col("__e"), 0.5), "p95_abs_error": (a, 0.95), "p99_abs_error": (a, 0.99)}, by), by)
 
 
 def large_error_rates(df: DataFrame, error: str, limits: tuple[float, ...]) -> DataFrame:

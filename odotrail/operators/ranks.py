@@ -11,56 +11,41 @@ ACCURACY = 10_000
 
 
 def percentiles(df: DataFrame, value: Column, wanted: dict[str, float], by: list[str] = ()) -> DataFrame:
-    """by and one column a name of ``wanted``: the exact percentile (0 to 1), interpolated between neighbours.
+    """``percentiles_of`` one value."""
+    return percentiles_of(df, {name: (value, p) for name, p in wanted.items()}, by)
 
-    An approximate pass brackets each percentile; rows below the brackets are counted, and only the values within
-    them, counted by value first, are ordered by a window that can spill. Nulls are left out; a group of nulls alone gives
-    nulls, an empty table without ``by`` one row of nulls.
-    """
-    by, names = list(by), list(wanted)
-    x = df.select(*by, value.cast("double").alias("__v"))
-    ends = [e for p in wanted.values() for e in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
-    rough = x.groupBy(*by).agg(F.count("__v").alias("__n"), F.approx_percentile("__v", ends, ACCURACY).alias("__e"))
-
-    def attach(left: DataFrame, right: DataFrame) -> DataFrame:
-        if not by:
-            return left.join(F.broadcast(right), F.lit(True))  # one row
-        other = right.withColumnsRenamed({c: f"__by_{c}" for c in by})
-        same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
-        return left.join(other, same, "inner").drop(*[f"__by_{c}" for c in by])
 
-    v, low, high = F.col("__v"), lambda i: F.col("__e")[2 * i], lambda i: F.col("__e")[2 * i + 1]
-    placed = attach(x.filter(v.isNotNull()), rough)
-    around = []
-    for i in range(len(names)):
-        around += [F.count_if(v < low(i)).alias(f"__below{i}"), F.max(F.when(v < low(i), v)).alias(f"__before{i}"), F.min(F.when(v > high(i), v)).alias(f"__after{i}")]
-    outside = placed.groupBy(*by).agg(*around)
-    brackets = F.array(*[F.when((v >= low(i)) & (v <= high(i)), F.lit(i)) for i in range(len(names))])
-    inside = placed.select(*by, "__v", F.explode(F.array_compact(brackets)).alias("__i")).groupBy(*by, "__i", "__v").agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*by, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = attach(attach(inside.withColumn("__upto", upto), rough.drop("__e")), outside)
+def percentiles_of(df: DataFrame, wanted: dict[str, tuple[Column, float]], by: list[str] = ()) -> DataFrame:
+    """by and one column a name of ``wanted`` (a value and a share of 0 to 1): the exact percentile, interpolated between neighbours.
 
+    An approximate pass brackets each percentile. A second one counts the rows below and above the brackets and the values
+    within them, each value once; a window that can spill orders these. Nulls are left out; a group of nulls alone
+    gives nulls, an empty table without ``by`` one row of nulls.
+    """
+    by, shares = list(by), [p for _, p in wanted.values()]
+    x = df.select(*by, *[value.cast("double").alias(f"__v{k}") for k, (value, _) in enumerate(wanted.values())])
+    ends = [[max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)] for p in shares]
+    rough = x.groupBy(*by).agg(*[c for k, e in enumerate(ends) for c in (F.count(f"__v{k}").alias(f"__n{k}"), F.approx_percentile(f"__v{k}", e, ACCURACY).alias(f"__e{k}"))])
+
+    def place(k: int) -> Column:
+        v, e = F.col(f"__v{k}"), F.col(f"__e{k}")
+        zone = F.when(v.isNull(), 2).when(v < e[0], -1).when(v > e[1], 1).otherwise(0)
+        return F.struct(F.lit(k).alias("k"), zone.alias("zone"), F.when(zone == 0, v).alias("at"), v.alias("v"), F.col(f"__n{k}").alias("n"))
+
+    placed = attach_percentiles(x, rough, by).select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.explode(F.array(*map(place, range(len(shares))))).alias("z"))
+    groups = [f"__by{i}" for i in range(len(by))]
+    counted = placed.select(*groups, "z.*").groupBy(*groups, "k", "zone", "at").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("top"))
+    upto = F.sum("c").over(Window.partitionBy(*groups, "k").orderBy("zone", "at").rowsBetween(Window.unboundedPreceding, 0))
+    at = (F.col("n") - 1) * F.array(*map(F.lit, map(float, shares)))[F.col("k")]
+    ranked = counted.withColumns({"upto": upto, "place": at, "value": F.when(F.col("zone") < 0, F.col("top")).otherwise(F.col("low"))})
+    holds = lambda rank: (rank > F.col("upto") - F.col("c")) & (rank <= F.col("upto"))
     found = []
-    for i, p in enumerate(wanted.values()):
-        at = (F.col("__n") - 1) * F.lit(float(p))
-        last = F.col(f"__below{i}") + F.col("__upto")
-        holds = lambda rank, last=last: (rank > last - F.col("__c")) & (rank <= last)
-        for side, rank in (("a", F.floor(at) + 1), ("b", F.ceil(at) + 1)):
-            found.append(F.max(F.when((F.col("__i") == i) & holds(rank), v)).alias(f"__{side}{i}"))
-    bounds = [f"__{k}{i}" for i in range(len(names)) for k in ("below", "before", "after")]
-    hit = ranked.groupBy(*by).agg(F.max("__n").alias("__n"), *[F.max(c).alias(c) for c in bounds], *found)
-    out = []
-    for i, (name, p) in enumerate(wanted.items()):
-        at = (F.col("__n") - 1) * F.lit(float(p))
-        value_at = lambda side, rank, i=i: F.coalesce(f"__{side}{i}", F.when(rank <= F.col(f"__below{i}"), F.col(f"__before{i}")).otherwise(F.col(f"__after{i}")))
-        a, b = value_at("a", F.floor(at) + 1), value_at("b", F.ceil(at) + 1)
-        out.append((a + (b - a) * (at - F.floor(at))).alias(name))
-    exact = hit.select(*by, *out)
-    if not by:
-        return rough.select("__n").join(exact, F.lit(True), "left").select(*names)
-    every = rough.select(*by)
-    renamed = exact.withColumnsRenamed({c: f"__by_{c}" for c in by})
-    return every.join(renamed, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], "left").select(*by, *names)
+    for k in range(len(shares)):
+        mine = F.col("k") == k
+        found += [F.max(F.when(mine & holds(F.floor("place") + 1), F.col("value"))).alias(f"a{k}"), F.max(F.when(mine & holds(F.ceil("place") + 1), F.col("value"))).alias(f"b{k}"), F.max(F.when(mine, F.col("place") - F.floor("place"))).alias(f"f{k}")]
+    hit = ranked.groupBy(*groups).agg(*found)
+    between = lambda k: F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * F.col(f"f{k}")
+    return hit.select(*[F.col(g).alias(c) for g, c in zip(groups, by, strict=True)], *[between(k).alias(name) for k, name in enumerate(wanted)])
 
 
 def attach_percentiles(summary: DataFrame, exact: DataFrame, by: list[str] = ()) -> DataFrame:
