@@ -221,11 +221,11 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row: (start, end, first): row i has the words first[i]:first[i + 1]."""
+def words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes that are not ``space``: ``[^\\x20\\x09-\\x0D]+``) of each row: (start, end, first): row i has the words first[i]:first[i + 1]."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    solid = ~IS_SPACE[data]
+    solid = ~space[data]
     begins = np.empty(len(data), bool)
     begins[0] = solid[0]
     begins[1:] = solid[1:] & ~solid[:-1]
@@ -250,5 +250,36 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64(h ^ ((end - start).astype(np.uint64) << np.uint64(1)))
 
 
+def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices start[0], start[0] + 1, ... of size[0], then those of the next slice."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+
+
+def distinct_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a slice of each class, the class of each slice). Slices of a class have equal bytes: they are found by hash and compared with
+    the class's first slice; one whose bytes differ from it is a class of its own, unless another of those is equal to it."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, of = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+    size, like = end - start, first[of]
+    same = size == size[like]
+    check = np.flatnonzero(same & (like != np.arange(len(of))))
+    different = data[gather(start[check], size[check])] != data[gather(start[like[check]], size[check])]
+    if different.any():
+        same[check[np.repeat(np.arange(len(check)), size[check])[different]]] = False
+    if not same.all():
+        known: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(~same).tolist():
+            key = data[start[i] : end[i]].tobytes()
+            if key not in known:
+                known[key] = len(first) + len(more)
+                more.append(i)
+            of[i] = known[key]
+        first = np.append(first, more)
+    return first, of
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)

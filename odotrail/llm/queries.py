@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, minhash, quality, substring, suffix, toxicity, urls
+from . import ann, bpe, decontaminate, hardneg, langid, lexical, minhash, quality, substring, suffix, token_counts, toxicity, urls
 from .common import fold_of, table
 
 def held_out(folds: int, fold: int) -> Column:
@@ -121,6 +121,45 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=shifted)
+
+
+OP11_SQL = r"""
+with r as (select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+    from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, list_inner_product(a.q, b.q)::bigint as score from r a join r b on a.vec_id % 50 = 0),
+p as (select anchor_id, own, vec_id, score from s where label = own and vec_id <> anchor_id qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id)::integer as rank, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and s.label <> p.own and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+qualify rank <= 3
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+i as (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+t as (select count(*) filter (len(ts) > 0) as many, sum(len(ts))::bigint as length from d),
+q as (select item_id, term, count(*) as times from i group by all),
+f as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from d) semi join q using (term) group by all),
+w as (select term, floor(1000 * ln((2 * many + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, t group by term, many),
+s as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ts) * many) // length))))::bigint as score
+    from q join f using (term) join w using (term) join d using (doc_id), t group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank, doc_id, score from s where score > 0 qualify rank <= 10
+"""
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
@@ -132,5 +171,8 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_lexical_search": op13_lexical_search,
 }
-SQL = {"op5_url_filter": OP5_SQL, "op6_suffix_arrays": OP6_SQL, "op7_substrings": OP7_SQL, "op8_minhash": OP8_SQL}
+SQL = {"op5_url_filter": OP5_SQL, "op6_suffix_arrays": OP6_SQL, "op7_substrings": OP7_SQL, "op8_minhash": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op13_lexical_search": OP13_SQL}
