@@ -257,17 +257,23 @@ def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def distinct_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a slice of each class, the class of each slice). Slices of a class have equal bytes: they are found by hash and compared with
-    the class's first slice; one whose bytes differ from it is a class of its own, unless another of those is equal to it."""
+    """(a slice of each class, the class of each slice), for slices in order that do not overlap. Those of a class have equal bytes: they are found by
+    hash and compared with the class's first slice; one whose bytes differ from it is a class of its own, unless another of those is equal to it."""
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, first, of = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
-    size, like = end - start, first[of]
-    same = size == size[like]
-    check = np.flatnonzero(same & (like != np.arange(len(of))))
-    different = data[gather(start[check], size[check])] != data[gather(start[like[check]], size[check])]
-    if different.any():
-        same[check[np.repeat(np.arange(len(check)), size[check])[different]]] = False
+    parts = list(blocks(np.append(start, end[-1])))  # hashes and comparisons take several times the bytes
+    hashes = [word_hashes(data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]) for i, j in parts]
+    _, first, of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    del hashes
+    size = end - start
+    same = size == size[first[of]]
+    for i, j in parts:
+        check = np.arange(i, j)[same[i:j]]
+        like = first[of[check]]
+        check, like = check[check != like], like[check != like]
+        different = data[gather(start[check], size[check])] != data[gather(start[like], size[check])]
+        if different.any():
+            same[check[np.repeat(np.arange(len(check)), size[check])[different]]] = False
     if not same.all():
         known: dict[bytes, int] = {}
         more = []

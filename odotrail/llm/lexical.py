@@ -39,7 +39,7 @@ from .common import ASCII_LOWER, distinct_slices, gather, materialize, utf8, wor
 from .substring import NULL_ID, chunks, keyed
 
 #: Bytes of text of a shard, about; postings of a block; items of a group.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 BLOCK = 128
 GROUP_ITEMS = 2000
 #: Terms asked for, with the items that ask, are broadcast to the index if they are no larger.
