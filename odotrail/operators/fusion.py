@@ -1,22 +1,25 @@
 """Track fusion: navigation modes, filters, calibration, inertial tracks, Kalman filtering.
 
-Folds that are no running sums take one track in order (a track is bounded by its drive; many tracks run side
-by side). Their step functions are plain Python on one row, shared with the streaming operators.
+What goes through a track in order is spread over tasks by ``tracks``: mode machine, low and high passes and throttle as scans, the rest as
+folds of array steps with all tracks of a task side by side (``kinematics``). Long tracks are cut into blocks either way.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geo, scalar
+from . import kinematics as kin
+from . import tracks
+from .kinematics import G
+from .tracks import flags, numbers, typed
 
 DOMINANT, HYBRID, DEGRADED, DENIED, RECOVERY = "GNSS_DOMINANT", "HYBRID", "GNSS_DEGRADED", "GNSS_DENIED", "RECOVERY"
 RECOVERY_STEPS = 10
@@ -42,51 +45,86 @@ def next_mode(mode: str, count: int, confidence: float, anomalous: bool, nav_mod
     return (DOMINANT if c > 0.8 else HYBRID), count
 
 
-def _typed(df: DataFrame, **columns: str) -> T.StructType:
-    extra = T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in columns.items()))
-    return T.StructType([*df.schema.fields, *extra.fields])
-
-
 def fold_tracks(df: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], track: str, on: str, row: str, **columns: str) -> DataFrame:
-    """``fold`` over each track's rows in order; it returns the rows with the new columns."""
-    schema = _typed(df, **columns)
+    """``fold`` over each track's rows in order, one task a track; it returns the rows with the new columns."""
+    schema = typed(df, **columns)
     return df.groupBy(track).applyInPandas(lambda pdf: fold(pdf.sort_values([on, row], kind="mergesort"))[[f.name for f in schema]], schema)
 
 
-def mode_fsm(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Adds mode, from confidence, is_anomalous and navigation_mode: the fold runs in the JVM over each track's array.
+#: What the mode machine can be in: a mode and, in recovery, the steps in it.
+MODE_STATES = [(DOMINANT, 0), (HYBRID, 0), (DEGRADED, 0), (DENIED, 0), *[(RECOVERY, n) for n in range(RECOVERY_STEPS + 1)]]
+MODE_NAMES = np.array([m for m, _ in MODE_STATES], object)
+IN_RECOVERY, IN_DENIED = MODE_NAMES == RECOVERY, MODE_NAMES == DENIED
+#: Confidences at which the machine's rules change; a confidence is told by how many of these are below it and at most it.
+_CUTS = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.7, 0.8])
+
+
+def _mode_table() -> np.ndarray:
+    """(inputs x states): the state after one. Inputs: confidence by cuts, anomalous, navigation mode (other, ANOMALOUS, DENIED)."""
+    at = {s: i for i, s in enumerate(MODE_STATES)}
+    inner = [_CUTS[0] / 2, *((_CUTS[1:] + _CUTS[:-1]) / 2), 0.9]
+    levels = [v for pair in zip(inner, [*_CUTS, None], strict=True) for v in pair if v is not None]
+    return np.array([[at[next_mode(m, n, c, bad, nav)] for m, n in MODE_STATES] for c in levels for bad in (False, True) for nav in ("", "ANOMALOUS", "DENIED")])
+
+
+MODE_TABLE = _mode_table()
+
+
+def mode_inputs(pdf: pd.DataFrame) -> np.ndarray:
+    """The row of ``MODE_TABLE`` of each row: a missing confidence counts as 0, a missing flag as false, a missing navigation mode as none."""
+    c = np.clip(np.nan_to_num(numbers(pdf, "confidence")[:, 0]), 0.0, 1.0)
+    level = np.searchsorted(_CUTS, c, "left") + np.searchsorted(_CUTS, c, "right")
+    nav = pdf["navigation_mode"]
+    return level * 6 + flags(pdf, "is_anomalous") * 3 + (nav == "ANOMALOUS").to_numpy(bool) + 2 * (nav == "DENIED").to_numpy(bool)
+
+
+class ModeScan(tracks.Scan):
+    """A row is a map from states to states, and so is a block; maps compose."""
+
+    def effects(self, pdf: pd.DataFrame, starts: np.ndarray) -> list[list[float]]:
+        inputs, (begin, of) = mode_inputs(pdf), tracks.cut(starts, len(pdf))
+        every = np.tile(np.arange(len(MODE_STATES)), (len(begin), 1))
+        maps = tracks.steps(begin, len(pdf), every, lambda s, at: MODE_TABLE[inputs[at][:, None], s])
+        out = [np.arange(len(MODE_STATES))] * len(starts)
+        for m, k in zip(maps, of.tolist(), strict=True):
+            out[k] = m[out[k]]
+        return [m.astype(float).tolist() for m in out]
+
+    def after(self, state: list[float], effect: list[float]) -> list[float]:
+        return [effect[int(state[0]) if state else 0]]
+
+    def states(self, pdf: pd.DataFrame, starts: np.ndarray, states: list[list[float]]) -> np.ndarray:
+        """The state after each row."""
+        inputs, (begin, of) = mode_inputs(pdf), tracks.cut(starts, len(pdf))
+        every = np.tile(np.arange(len(MODE_STATES)), (len(begin), 1))
+        maps = tracks.steps(begin, len(pdf), every, lambda s, at: MODE_TABLE[inputs[at][:, None], s])
+        now, first = [int(s[0]) if s else 0 for s in states], np.zeros(len(begin), np.int64)
+        for i, k in enumerate(of.tolist()):
+            first[i] = now[k]
+            now[k] = int(maps[i][now[k]])
+        out = np.zeros(len(pdf), np.int64)
+
+        def step(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+            out[at] = MODE_TABLE[inputs[at], s]
+            return out[at]
+
+        tracks.steps(begin, len(pdf), first, step)
+        return out
+
+    def fill(self, pdf: pd.DataFrame, starts: np.ndarray, states: list[list[float]]) -> pd.DataFrame:
+        return pdf.assign(mode=MODE_NAMES[self.states(pdf, starts, states)])
+
+
+def mode_fsm(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx", block_rows: int | None = None) -> DataFrame:
+    """Adds mode, from confidence, is_anomalous and navigation_mode.
 
     As in ``mode_fsm_fold``, a missing confidence (null or NaN) counts as 0, a missing flag as false, a missing navigation mode as
-    none; rows without a time come last, and repeated rows are steps each. Columns must be of orderable types."""
-    confidence = F.nanvl(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.0))
-    one = F.struct(F.col(on).isNull().alias("__late"), F.col(on).alias("__t"), F.col(row).alias("__r"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__x"), confidence.alias("__c"), F.coalesce("is_anomalous", F.lit(False)).alias("__a"), F.coalesce("navigation_mode", F.lit("")).alias("__m"))
-    start = F.struct(F.lit(DOMINANT).alias("mode"), F.lit(0).alias("count"), F.array().cast("array<string>").alias("modes"))
-
-    def step(s: Column, x: Column) -> Column:
-        c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["__c"]))
-        bad, nav, mode, n = x["__a"], x["__m"], s["mode"], s["count"]
-        after = F.when(bad | (c < 0.3), DEGRADED).when(c > 0.8, DOMINANT).otherwise(HYBRID)
-        lost, odd = (nav == "DENIED") | (c < 0.05), bad | (nav == "ANOMALOUS")
-        new = (
-            F.when(mode == DENIED, F.when((nav != "DENIED") & (c > 0.1), RECOVERY).otherwise(DENIED))
-            .when(mode == RECOVERY, F.when(n >= RECOVERY_STEPS, after).otherwise(RECOVERY))
-            .when(lost, DENIED)
-            .when(mode == DEGRADED, F.when(~bad & (c > 0.4), HYBRID).otherwise(DEGRADED))
-            .when(odd | (c < F.when(mode == DOMINANT, 0.3).otherwise(0.2)), DEGRADED)
-            .when(mode == DOMINANT, F.when(c < 0.7, HYBRID).otherwise(DOMINANT))
-            .otherwise(F.when(c > 0.8, DOMINANT).otherwise(HYBRID))
-        )
-        count = F.when((mode == RECOVERY) & (n < RECOVERY_STEPS), n + 1).when(mode.isin(RECOVERY, DENIED) & (new != mode), 0).otherwise(n)
-        return F.struct(new.alias("mode"), count.alias("count"), F.concat(s["modes"], F.array(new)).alias("modes"))
-
-    tracks = df.groupBy(track).agg(F.array_sort(F.collect_list(one)).alias("xs"))
-    modes = tracks.withColumn("ms", F.aggregate("xs", start, step)["modes"])
-    rows = modes.select(F.explode(F.arrays_zip("xs", "ms")).alias("z"))
-    return rows.select("z.xs.__x.*", F.col("z.ms").alias("mode"))
+    none; rows without a time come last, and repeated rows are steps each."""
+    return tracks.scan(df, ModeScan(), track, on, row, {"mode": "string"}, block_rows)
 
 
 def mode_fsm_fold(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """The same by a fold in Python, for long tracks (the JVM's array grows with each step)."""
+    """The same by a fold in Python, a row at a time: what ``mode_fsm`` is tested against."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         mode, n, out = DOMINANT, 0, []
@@ -108,36 +146,131 @@ def gnss_weight_ramp(df: DataFrame, track: str = "track_id", on: str = "t", row:
     return out.withColumn("__n", n).withColumn("gnss_weight", weight).drop("__new", "__run", "__n")
 
 
-def low_pass(df: DataFrame, columns: list[str], alpha: float = 0.9, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
+class LowPass(tracks.Scan):
+    """Over a block f becomes A f + B; S, if there was no f yet."""
+
+    def __init__(self, columns: list[str], alpha: float):
+        self.columns, self.alpha = columns, alpha
+
+    def step(self, f: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(x), f, np.where(np.isnan(f), x, self.alpha * f + (1 - self.alpha) * x))
+
+    def lines(self, x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(parts x 3 x columns): A, B and S."""
+        start = np.zeros((len(begin), 3, len(self.columns)))
+        start[:, 0], start[:, 2] = 1.0, np.nan
+
+        def step(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return np.stack([np.where(np.isnan(x[at]), s[:, 0], self.alpha * s[:, 0]), self.step(s[:, 1], x[at]), self.step(s[:, 2], x[at])], 1)
+
+        return tracks.steps(begin, len(x), start, step)
+
+    @staticmethod
+    def moved(line: np.ndarray, f: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(f), line[2], line[0] * f + line[1])
+
+    def before(self, state: list[float]) -> np.ndarray:
+        return np.array(state) if state else np.full(len(self.columns), np.nan)
+
+    def effects(self, pdf: pd.DataFrame, starts: np.ndarray) -> list[list[float]]:
+        x, (begin, of) = numbers(pdf, *self.columns), tracks.cut(starts, len(pdf))
+        out = [np.stack([np.ones(x.shape[1]), np.zeros(x.shape[1]), np.full(x.shape[1], np.nan)]) for _ in starts]
+        for line, k in zip(self.lines(x, begin), of.tolist(), strict=True):
+            a = out[k]
+            out[k] = np.stack([line[0] * a[0], line[0] * a[1] + line[1], self.moved(line, a[2])])
+        return [o.ravel().tolist() for o in out]
+
+    def after(self, state: list[float], effect: list[float]) -> list[float]:
+        return self.moved(np.array(effect).reshape(3, -1), self.before(state)).tolist()
+
+    def fill(self, pdf: pd.DataFrame, starts: np.ndarray, states: list[list[float]]) -> pd.DataFrame:
+        x, (begin, of) = numbers(pdf, *self.columns), tracks.cut(starts, len(pdf))
+        now = [self.before(s) for s in states]
+        first, out = np.zeros((len(begin), len(self.columns))), np.zeros(x.shape)
+        for i, (line, k) in enumerate(zip(self.lines(x, begin), of.tolist(), strict=True)):
+            first[i] = now[k]
+            now[k] = self.moved(line, now[k])
+
+        def step(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+            out[at] = self.step(f, x[at])
+            return out[at]
+
+        tracks.steps(begin, len(x), first, step)
+        return pdf.assign(**{f"{c}_low": out[:, i] for i, c in enumerate(self.columns)})
+
+
+def low_pass(df: DataFrame, columns: list[str], alpha: float = 0.9, track: str = "track_id", on: str = "t", row: str = "row_idx", block_rows: int | None = None) -> DataFrame:
     """Adds <column>_low: f = alpha f + (1 - alpha) x, from the first value on; a missing value holds f."""
+    return tracks.scan(df, LowPass(columns, alpha), track, on, row, {f"{c}_low": "double" for c in columns}, block_rows)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        for c in columns:
-            f, out = math.nan, []
-            for x in pdf[c].to_numpy(float):
-                f = x if math.isnan(f) else f if math.isnan(x) else alpha * f + (1 - alpha) * x
-                out.append(f)
-            pdf = pdf.assign(**{f"{c}_low": out})
-        return pdf
 
-    return fold_tracks(df, fold, track, on, row, **{f"{c}_low": "double" for c in columns})
+class HighPass(tracks.Scan):
+    """The state is f and the last value; over a block f becomes A (f - last + first) + B, with the block's first value; S, if there was no value yet."""
 
+    def __init__(self, columns: list[str], alpha: float):
+        self.columns, self.alpha = columns, alpha
 
-def high_pass(df: DataFrame, columns: list[str], alpha: float = 0.98, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Adds <column>_high: f = alpha (f + x - previous x), from 0 on."""
+    def step(self, f: np.ndarray, last: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.where(np.isnan(last), 0.0, self.alpha * (f + x - last))
+        return np.where(np.isnan(x), f, moved), np.where(np.isnan(x), last, x)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        for c in columns:
-            f, last, out = 0.0, math.nan, []
-            for x in pdf[c].to_numpy(float):
-                if not math.isnan(x):
-                    f = 0.0 if math.isnan(last) else alpha * (f + x - last)
-                    last = x
-                out.append(f)
-            pdf = pdf.assign(**{f"{c}_high": out})
-        return pdf
+    def lines(self, x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(parts x 5 x columns): A, B, S, first and last value."""
+        start = np.zeros((len(begin), 5, len(self.columns)))
+        start[:, 0], start[:, 3:] = 1.0, np.nan
+
+        def step(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+            v = x[at]
+            gone = np.isnan(v)
+            s0, last = self.step(s[:, 2], s[:, 4], v)
+            return np.stack([np.where(gone, s[:, 0], self.alpha * s[:, 0]), self.step(s[:, 1], s[:, 4], v)[0], s0, np.where(np.isnan(s[:, 3]), v, s[:, 3]), last], 1)
+
+        return tracks.steps(begin, len(x), start, step)
+
+    @staticmethod
+    def moved(line: np.ndarray, state: np.ndarray) -> np.ndarray:
+        f, last = state
+        none = np.isnan(line[4])
+        new = np.where(np.isnan(last), line[2], line[0] * (f - last + line[3]) + line[1])
+        return np.stack([np.where(none, f, new), np.where(none, last, line[4])])
+
+    def effects(self, pdf: pd.DataFrame, starts: np.ndarray) -> list[list[float]]:
+        x, (begin, of) = numbers(pdf, *self.columns), tracks.cut(starts, len(pdf))
+        empty = np.zeros((5, x.shape[1]))
+        empty[0], empty[3:] = 1.0, np.nan
+        out = [empty for _ in starts]
+        for line, k in zip(self.lines(x, begin), of.tolist(), strict=True):
+            a = out[k]
+            none, fresh = np.isnan(line[4]), np.isnan(a[4])
+            joined = np.stack([line[0] * a[0], line[0] * (a[1] - a[4] + line[3]) + line[1], self.moved(line, a[[2, 4]])[0], a[3], line[4]])
+            out[k] = np.where(none, a, np.where(fresh, line, joined))
+        return [o.ravel().tolist() for o in out]
 
-    return fold_tracks(df, fold, track, on, row, **{f"{c}_high": "double" for c in columns})
+    def before(self, state: list[float]) -> np.ndarray:
+        return np.array(state).reshape(2, -1) if state else np.stack([np.zeros(len(self.columns)), np.full(len(self.columns), np.nan)])
+
+    def after(self, state: list[float], effect: list[float]) -> list[float]:
+        return self.moved(np.array(effect).reshape(5, -1), self.before(state)).ravel().tolist()
+
+    def fill(self, pdf: pd.DataFrame, starts: np.ndarray, states: list[list[float]]) -> pd.DataFrame:
+        x, (begin, of) = numbers(pdf, *self.columns), tracks.cut(starts, len(pdf))
+        now = [self.before(s) for s in states]
+        first, out = np.zeros((len(begin), 2, x.shape[1])), np.zeros(x.shape)
+        for i, (line, k) in enumerate(zip(self.lines(x, begin), of.tolist(), strict=True)):
+            first[i] = now[k]
+            now[k] = self.moved(line, now[k])
+
+        def step(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+            out[at], last = self.step(s[:, 0], s[:, 1], x[at])
+            return np.stack([out[at], last], 1)
+
+        tracks.steps(begin, len(x), first, step)
+        return pdf.assign(**{f"{c}_high": out[:, i] for i, c in enumerate(self.columns)})
+
+
+def high_pass(df: DataFrame, columns: list[str], alpha: float = 0.98, track: str = "track_id", on: str = "t", row: str = "row_idx", block_rows: int | None = None) -> DataFrame:
+    """Adds <column>_high: f = alpha (f + x - previous x), from 0 on; a missing value holds f."""
+    return tracks.scan(df, HighPass(columns, alpha), track, on, row, {f"{c}_high": "double" for c in columns}, block_rows)
 
 
 def imu_calibration(df: DataFrame, columns: list[str], seconds: float = 3.0, track: str = "track_id", on: str = "t") -> DataFrame:
@@ -154,8 +287,7 @@ def motion_window_std(df: DataFrame, n: int = 50, x: str = "accel_magnitude", tr
     return df.withColumn("motion_std", std).withColumn("vibration", F.least(F.col("motion_std") / 2.5, F.lit(1.0)))
 
 
-#: Gravity, and limits of the motion states (fixed values).
-G = 9.80665
+#: Limits of the motion states (fixed values): the library's own, and those of the phone module.
 MOTION = {"gyro_still": 0.05, "accel_still": 0.15, "std_still": 0.04, "disturbed_gyro": 1.5, "disturbed_accel": 2.5, "pothole": 5.0, "pothole_jerk": 150.0, "braking": -2.5, "turning": 0.4, "accelerating": 1.5}
 
 
@@ -200,296 +332,253 @@ def imu_confidence(df: DataFrame, heading: str = "gnss_heading", long_seconds: f
     return df.withColumn("__seen", seen).withColumn("imu_confidence", F.when(F.col("__seen").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(c, F.lit(1.0))))).drop("__seen", "__step")
 
 
-def quaternion_of(yaw: float, pitch: float, roll: float) -> np.ndarray:
-    """w, x, y, z of Euler angles in degrees."""
-    y, p, r = (math.radians(v) / 2 for v in (yaw, pitch, roll))
-    cy, sy, cp, sp, cr, sr = math.cos(y), math.sin(y), math.cos(p), math.sin(p), math.cos(r), math.sin(r)
-    return np.array([cr * cp * cy + sr * sp * sy, sr * cp * cy - cr * sp * sy, cr * sp * cy + sr * cp * sy, cr * cp * sy - sr * sp * cy])
+class OrientationFold(tracks.Fold):
+    width = 5
 
+    def __init__(self, on: str, gyro: tuple[str, str, str], euler: tuple[str, str, str], accel: tuple[str, str, str] | None):
+        self.on, self.gyro, self.euler, self.accel = on, gyro, euler, accel
 
-def euler_of(q: np.ndarray) -> tuple[float, float, float]:
-    """yaw, pitch, roll in degrees."""
-    w, x, y, z = q
-    sine = 2 * (w * y - z * x)
-    pitch = math.copysign(90.0, sine) if abs(sine) >= 1 else math.degrees(math.asin(sine))
-    return math.degrees(math.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))), pitch, math.degrees(math.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)))
+    def run(self, pdf: pd.DataFrame, starts: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        t = numbers(pdf, self.on)[:, 0]
+        rate, angles = np.nan_to_num(numbers(pdf, *self.gyro)), np.nan_to_num(numbers(pdf, *self.euler))
+        pull = None if self.accel is None else np.nan_to_num(numbers(pdf, *self.accel))
 
+        def step(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            new = np.isnan(s[:, 0])
+            q = kin.turn(np.nan_to_num(s[:, :4]), rate[at], kin.gyro_step(t[at] - s[:, 4]))
+            q = q if pull is None else kin.level_by_gravity(q, pull[at])
+            q = np.where(new[:, None], kin.quaternion_of(*angles[at].T), q)
+            return np.column_stack([q, t[at]]), np.stack(kin.euler_of(q), 1)
 
-def turn(q: np.ndarray, rate: np.ndarray, dt: float) -> np.ndarray:
-    """The orientation after turning at ``rate`` (rad/s) for ``dt``."""
-    x, y, z = rate * dt / 2
-    w0, x0, y0, z0 = q
-    new = np.array([w0 - x0 * x - y0 * y - z0 * z, w0 * x + x0 + y0 * z - z0 * y, w0 * y - x0 * z + y0 + z0 * x, w0 * z + x0 * y - y0 * x + z0])
-    size = np.linalg.norm(new)
-    return new / size if size > 1e-9 else np.array([1.0, 0.0, 0.0, 0.0])
+        state, out = tracks.side_by_side(starts, len(pdf), state, step)
+        return dict(zip(("track_yaw", "track_pitch", "track_roll"), _columns(out, 3), strict=True)), state
 
 
-def matrix_of(q: np.ndarray) -> np.ndarray:
-    """Rotation from the body's to the level frame."""
-    w, x, y, z = q
-    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+def _columns(out: np.ndarray | None, n: int) -> np.ndarray:
+    return np.zeros((n, 0)) if out is None else out.T
 
 
-def gyro_step(dt: float) -> float:
-    """Seconds to integrate: steps without time or over 0.2 s count as a 50th of a second."""
-    return dt if 0 < dt <= 0.2 else 0.02
+def orientation_track(df: DataFrame, gyro: tuple[str, str, str] = ("gx", "gy", "gz"), euler: tuple[str, str, str] = ("yaw", "pitch", "roll"), track: str = "track_id", on: str = "t", row: str = "row_idx", accel: tuple[str, str, str] | None = None, block_rows: int | None = None) -> DataFrame:
+    """Adds track_yaw, track_pitch, track_roll: the first row's angles, turned on by the gyroscope; with ``accel``, pitch and roll are
+    corrected by the accelerometer after each turn (a missing value is 0, and so no gravity)."""
+    return tracks.fold(df, OrientationFold(on, gyro, euler, accel), track, on, row, dict.fromkeys(("track_yaw", "track_pitch", "track_roll"), "double"), block_rows)
 
 
-#: Share of the gyroscope when gravity corrects pitch and roll, and the sizes of it that are trusted (fixed values).
-GYRO_SHARE = 0.98
-TRUSTED_G = (0.65 * G, 1.35 * G)
+def _kinds(fields: tuple[str, ...]) -> dict[str, str]:
+    return {c: "string" if c == "mode" else "boolean" if c in ("zero_velocity", "drift_warning") else "double" for c in fields}
 
 
-def level_by_gravity(q: np.ndarray, accel: np.ndarray) -> np.ndarray:
-    """The orientation with pitch and roll drawn to the measured direction of gravity; unchanged if that is no likely gravity."""
-    if not TRUSTED_G[0] <= float(np.linalg.norm(accel)) <= TRUSTED_G[1]:
-        return q
-    x, y, z = accel
-    yaw, pitch, roll = euler_of(q)
-    blend = lambda turned, seen: GYRO_SHARE * turned + (1 - GYRO_SHARE) * math.degrees(seen)
-    return quaternion_of(yaw, blend(pitch, math.atan2(-x, math.hypot(y, z))), blend(roll, math.atan2(y, z)))
+def _named(fields: tuple[str, ...], out: np.ndarray | None) -> dict[str, np.ndarray]:
+    """Columns of an output array; missing doubles and flags are null."""
+    found = {}
+    for c, x in zip(fields, _columns(out, len(fields)), strict=True):
+        found[c] = np.where(np.isnan(x), None, x == 1) if _kinds((c,))[c] == "boolean" else np.where(np.isnan(x), None, x)
+    return found
 
 
-def orientation_track(df: DataFrame, gyro: tuple[str, str, str] = ("gx", "gy", "gz"), euler: tuple[str, str, str] = ("yaw", "pitch", "roll"), track: str = "track_id", on: str = "t", row: str = "row_idx", accel: tuple[str, str, str] | None = None) -> DataFrame:
-    """Adds track_yaw, track_pitch, track_roll: the first row's angles, turned on by the gyroscope; with ``accel``, pitch and roll are
-    corrected by the accelerometer after each turn (a missing value is 0, and so no gravity)."""
+def _sensors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """accel, gyro, angles, still, grade of each row, for ``kin.ins_step``."""
+    three = [np.nan_to_num(numbers(pdf, *c)) for c in (("ax", "ay", "az"), ("gx", "gy", "gz"), ("yaw", "pitch", "roll"))]
+    return *three, flags(pdf, "still"), np.nan_to_num(numbers(pdf, "grade_pct")[:, 0])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, last, out = None, None, []
-        pull = pdf[list(accel)].fillna(0.0).to_numpy(float) if accel else None
-        for i, (t, rate, angles) in enumerate(zip(pdf[on], pdf[list(gyro)].fillna(0.0).to_numpy(float), pdf[list(euler)].fillna(0.0).to_numpy(float), strict=True)):
-            if q is None:
-                q = quaternion_of(*angles)
-            else:
-                q = turn(q, rate, gyro_step(t - last))
-                q = q if pull is None else level_by_gravity(q, pull[i])
-            last = t
-            out.append(euler_of(q))
-        return pdf.assign(**dict(zip(("track_yaw", "track_pitch", "track_roll"), np.array(out).T, strict=True)))
 
-    return fold_tracks(df, fold, track, on, row, track_yaw="double", track_pitch="double", track_roll="double")
+class InsFold(tracks.Fold):
+    width = kin.INS_WIDTH
 
+    def __init__(self, on: str):
+        self.on = on
 
-class InertialState:
-    """Inertial dead reckoning of one track, one row at a time."""
+    def run(self, pdf: pd.DataFrame, starts: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        t, lat, lon, heading, speed = numbers(pdf, self.on, "lat", "lon", "heading", "speed").T
+        accel, gyro, angles, still, grade = _sensors(pdf)
+        reset = flags(pdf, "reset")
+        fresh = np.isnan(state[:, kin.OFFSET])
+        state[fresh] = kin.ins_start(int(fresh.sum()))
 
-    FIELDS = ("ins_lat", "ins_lon", "ins_speed", "ins_distance", "ins_yaw", "vehicle_ax", "zero_velocity")
+        def step(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            fix = lat[at], lon[at], heading[at], speed[at]
+            kin.ins_enter(s, *fix)
+            out = kin.ins_step(s, t[at], accel[at], gyro[at], angles[at], still[at], grade[at])
+            kin.ins_fix(s, reset[at], *fix)
+            return s, out
 
-    def __init__(self):
-        self.q = self.last = self.heading = self.align = self.origin = None
-        self.v, self.d = np.zeros(3), np.zeros(3)
-        self.bias = np.zeros(3)
-        self.yaw_offset = 0.0
-
-    def fix(self, lat: float, lon: float, heading: float | None, speed: float | None) -> None:
-        """Set the position, and heading and speed where given, from outside."""
-        self.origin, self.d = (lat, lon), np.zeros(3)
-        if heading is not None and math.isfinite(heading):
-            self.heading = heading
-            if self.q is not None:
-                self.yaw_offset = (heading - euler_of(self.q)[0] + 180) % 360 - 180
-        if speed is not None:
-            self.v = np.array([max(0.0, speed), 0.0, 0.0])
+        state, out = tracks.side_by_side(starts, len(pdf), state, step)
+        return _named(kin.INS_FIELDS, out), state
 
-    def step(self, t: float, accel: np.ndarray, gyro: np.ndarray, angles: np.ndarray, still: bool, grade_pct: float = 0.0) -> tuple:
-        dt = None if self.last is None else t - self.last
-        if self.q is None:
-            self.q = quaternion_of(*angles)
-            if self.heading is not None:
-                self.yaw_offset = (self.heading - euler_of(self.q)[0] + 180) % 360 - 180
-        elif dt is not None:
-            self.q = turn(self.q, gyro - self.bias, gyro_step(dt))
-        self.last = t
-        yaw, pitch, roll = euler_of(self.q)
-        forward, zero = 0.0, False
-        if self.heading is not None and dt is not None:
-            free = accel - matrix_of(self.q).T @ np.array([0.0, 0.0, G])  # in the phone's frame
-            level = matrix_of(quaternion_of(self.yaw_offset, -pitch, -roll)) @ free
-            # the grade comes in per cent, its angle is the arc tangent
-            level[0] -= G * math.sin(math.atan(grade_pct / 100))
-            forward = float(level[0])
-            h = min(0.2, max(0.001, dt))
-            zero = bool(still)
-            if zero:
-                self.v = np.zeros(3)
-            else:
-                self.v = self.v + level * h
-                if forward < MOTION["braking"] and self.v[0] < 0:
-                    self.v[0] = 0.0
-            self.d = self.d + self.v * h
-        lat = lon = math.nan
-        if self.origin and self.heading is not None:
-            course = math.radians(yaw + self.yaw_offset)
-            north = self.d[0] * math.cos(course) - self.d[1] * math.sin(course)
-            east = self.d[0] * math.sin(course) + self.d[1] * math.cos(course)
-            lat, lon = destination(*self.origin, math.hypot(north, east), math.atan2(east, north))
-        return lat, lon, float(np.linalg.norm(self.v)), float(np.linalg.norm(self.d)), yaw, forward, zero
-
-
-def destination(lat: float, lon: float, distance: float, bearing: float, radius: float = geo.EQUATORIAL_RADIUS) -> tuple[float, float]:
-    """Position after ``distance`` metres along ``bearing`` (radians)."""
-    arc, phi = distance / radius, math.radians(lat)
-    phi2 = math.asin(math.sin(phi) * math.cos(arc) + math.cos(phi) * math.sin(arc) * math.cos(bearing))
-    step = math.atan2(math.sin(bearing) * math.sin(arc) * math.cos(phi), math.cos(arc) - math.sin(phi) * math.sin(phi2))
-    return math.degrees(phi2), (lon + math.degrees(step) + 540) % 360 - 180
-
-
-def ins_track(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Adds the inertial track (``InertialState.FIELDS``). Needs ax..az, gx..gz, yaw, pitch, roll, lat, lon, heading, speed
-    (m/s), still and reset (a fix to trust), and optionally grade_pct; the first row is a fix."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = InertialState(), []
-        accel, gyro, angles = (pdf[list(c)].fillna(0.0).to_numpy(float) for c in (("ax", "ay", "az"), ("gx", "gy", "gz"), ("yaw", "pitch", "roll")))
-        grade = pdf["grade_pct"].fillna(0.0).to_numpy(float) if "grade_pct" in pdf else np.zeros(len(pdf))
-        for i, (t, lat, lon, heading, speed, still, reset) in enumerate(zip(pdf[on], pdf["lat"], pdf["lon"], pdf["heading"], pdf["speed"], pdf["still"], pdf["reset"], strict=True)):
-            if i == 0:
-                state.fix(lat, lon, heading, speed)
-            out.append(state.step(t, accel[i], gyro[i], angles[i], bool(still), grade[i]))
-            if reset:
-                state.fix(lat, lon, heading, speed)
-        return pdf.assign(**dict(zip(InertialState.FIELDS, zip(*out, strict=True), strict=True)))
-
-    return fold_tracks(df, fold, track, on, row, **{f: "boolean" if f == "zero_velocity" else "double" for f in InertialState.FIELDS})
-
-
-class UnscentedFilter:
-    """Unscented Kalman filter of x, y, speed and heading (radians); constant speed and heading between rows."""
-
-    N = 4
-
-    def __init__(self, x: np.ndarray, alpha: float = 0.1, kappa: float = 0.0, beta: float = 2.0, noise: float = 0.01):
-        self.x, self.p, self.q = x.astype(float), np.eye(self.N), np.eye(self.N) * noise
-        spread = alpha * alpha * (self.N + kappa)
-        self.spread = spread
-        self.mean_weights = np.full(2 * self.N + 1, 1 / (2 * spread))
-        self.mean_weights[0] = (spread - self.N) / spread
-        self.cov_weights = self.mean_weights.copy()
-        self.cov_weights[0] += 1 - alpha * alpha + beta
-
-    def points(self) -> np.ndarray:
-        s = np.linalg.cholesky((self.p + self.p.T) / 2 * self.spread + np.eye(self.N) * 1e-12)
-        return np.vstack([self.x, self.x + s.T, self.x - s.T])
-
-    def predict(self, dt: float) -> None:
-        s = self.points()
-        moved = s + np.stack([s[:, 2] * np.cos(s[:, 3]) * dt, s[:, 2] * np.sin(s[:, 3]) * dt, np.zeros(len(s)), np.zeros(len(s))], 1)
-        self.x = self.mean_weights @ moved
-        d = moved - self.x
-        d[:, 3] = wrap(d[:, 3])
-        self.p = (d * self.cov_weights[:, None]).T @ d + self.q
-
-    def update(self, z: np.ndarray, noise: float) -> None:
-        """All four measured, with variance ``noise`` each."""
-        s = self.points()
-        seen = self.mean_weights @ s
-        dz, dx = s - seen, s - self.x
-        dx[:, 3] = wrap(dx[:, 3])
-        cov = (dz * self.cov_weights[:, None]).T @ dz + np.eye(self.N) * noise
-        gain = (dx * self.cov_weights[:, None]).T @ dz @ np.linalg.inv(cov)
-        self.x = self.x + gain @ (z - seen)
-        self.x[3] = wrap(self.x[3])
-        self.p = self.p - gain @ cov @ gain.T
-
-
-def wrap(a):
-    """Radians to [-pi, pi)."""
-    return (a + math.pi) % (2 * math.pi) - math.pi
+def ins_track(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx", block_rows: int | None = None) -> DataFrame:
+    """Adds the inertial track (``kinematics.INS_FIELDS``). Needs ax..az, gx..gz, yaw, pitch, roll, lat, lon, heading, speed
+    (m/s), still and reset (a fix to trust), and optionally grade_pct; the first position is a fix. Missing values: see ``kinematics``;
+    ins_lat and ins_lon are null before the first position and heading."""
+    return tracks.fold(df, InsFold(on), track, on, row, _kinds(kin.INS_FIELDS), block_rows)
 
 
-class TrackFilter:
-    """Position fusion of one track, one row at a time."""
+class FilterFold(tracks.Fold):
+    width = kin.UKF_WIDTH
 
-    FIELDS = ("fused_lat", "fused_lon", "fused_speed", "fused_heading", "position_error", "position_confidence", "drift_warning")
+    def __init__(self, on: str):
+        self.on = on
 
-    def __init__(self):
-        self.ukf = self.origin = self.last = None
+    def run(self, pdf: pd.DataFrame, starts: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        columns = numbers(pdf, self.on, "lat", "lon", "speed", "heading", "accuracy", "confidence", "gnss_weight")
 
-    def step(self, t: float, lat: float, lon: float, speed: float, heading: float, accuracy: float, confidence: float, weight: float) -> tuple:
-        if self.origin is None:
-            self.origin, self.last = (lat, lon), t
-        lat0, lon0 = self.origin
-        x = math.radians(lon - lon0) * geo.MEAN_RADIUS * math.cos(math.radians(lat0))
-        y = math.radians(lat - lat0) * geo.MEAN_RADIUS
-        z = np.array([x, y, speed, math.radians(heading % 360)])
-        if self.ukf is None:
-            self.ukf = UnscentedFilter(z)
-        self.ukf.predict(min(1.0, max(0.0, t - self.last)))
-        self.last = t
-        bound = lambda v: min(1.0, max(1e-6, v))
-        self.ukf.update(z, max(accuracy, 1.0) / (bound(confidence) * bound(weight)))
-        f, trace = self.ukf.x, float(np.trace(self.ukf.p))
-        error = math.sqrt(max(0.0, trace))
-        out_lat = lat0 + math.degrees(f[1] / geo.MEAN_RADIUS)
-        out_lon = lon0 + math.degrees(f[0] / (geo.MEAN_RADIUS * math.cos(math.radians(lat0))))
-        return out_lat, out_lon, float(f[2]), math.degrees(f[3]) % 360, error, 1 / (1 + error), trace > 50
-
-
-def track_filter(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Adds the fused track (``TrackFilter.FIELDS``). Needs lat, lon, speed, heading, accuracy, confidence, gnss_weight."""
+        def step(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return s, kin.filter_step(s, *columns[at].T)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = TrackFilter()
-        out = [f.step(*r) for r in zip(*[pdf[c].to_numpy(float) for c in (on, "lat", "lon", "speed", "heading", "accuracy", "confidence", "gnss_weight")], strict=True)]
-        return pdf.assign(**dict(zip(TrackFilter.FIELDS, zip(*out, strict=True), strict=True)))
+        state, out = tracks.side_by_side(starts, len(pdf), state, step)
+        return _named(kin.UKF_FIELDS, out), state
 
-    return fold_tracks(df, fold, track, on, row, **{c: "boolean" if c == "drift_warning" else "double" for c in TrackFilter.FIELDS})
 
+def track_filter(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx", block_rows: int | None = None) -> DataFrame:
+    """Adds the fused track (``kinematics.UKF_FIELDS``). Needs lat, lon, speed, heading, accuracy, confidence, gnss_weight. Rows without a
+    position, speed or heading are predicted, and corrected by what they have; null before the first position."""
+    return tracks.fold(df, FilterFold(on), track, on, row, _kinds(kin.UKF_FIELDS), block_rows)
 
-FUSED = ("mode", "gnss_weight", *InertialState.FIELDS, *TrackFilter.FIELDS, "final_lat", "final_lon")
 
+FUSED = ("mode", "gnss_weight", *kin.INS_FIELDS, *kin.UKF_FIELDS, "final_lat", "final_lon")
 
-class FusionState:
-    """One track's whole cycle: inertial step, mode, weight, filter, choice of position, reset of the inertial state."""
 
-    def __init__(self):
-        self.ins, self.filter = InertialState(), TrackFilter()
-        self.mode, self.count, self.ramp, self.started = DOMINANT, 0, 0, False
-
-    def step(self, r: dict) -> tuple:
-        values = lambda *names: np.array([r.get(n) if r.get(n) is not None and r.get(n) == r.get(n) else 0.0 for n in names], float)
-        if not self.started:
-            self.ins.fix(r["lat"], r["lon"], r["heading"], r["speed"])
-            self.started = True
-        ins = self.ins.step(r["t"], values("ax", "ay", "az"), values("gx", "gy", "gz"), values("yaw", "pitch", "roll"), bool(r.get("still")), float(values("grade_pct")[0]))
-        self.mode, self.count = next_mode(self.mode, self.count, r["confidence"], r["is_anomalous"], r["navigation_mode"])
-        self.ramp = self.ramp + 1 if self.mode == RECOVERY else 0
-        weight = min(1.0, self.ramp / 10) if self.mode == RECOVERY else 0.0 if self.mode == DENIED else 0.5 if r["is_anomalous"] else 1.0
-        fused = self.filter.step(r["t"], r["lat"], r["lon"], r["speed"], r["heading"], r["accuracy"], r["confidence"], weight)
-        final = ins[:2] if self.mode == DENIED and not math.isnan(ins[0]) else fused[:2]
-        if not r["is_anomalous"] and r["navigation_mode"] == "STRONG":
-            self.ins.fix(r["lat"], r["lon"], r["heading"], r["speed"])
-        return (self.mode, weight, *ins, *fused, *final)
+class FusionFold(tracks.Fold):
+    """The whole cycle: inertial step, mode, weight, filter, choice of position, reset of the inertial state, and the grade of the row's
+    map match for the next step. The state: inertial, filter, mode machine, steps of recovery, grade."""
+
+    width = kin.INS_WIDTH + kin.UKF_WIDTH + 3
+
+    def __init__(self, on: str = "t"):
+        self.on = on
+
+    def run(self, pdf: pd.DataFrame, starts: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        t, lat, lon, heading, speed, accuracy, confidence, matched = numbers(pdf, self.on, "lat", "lon", "heading", "speed", "accuracy", "confidence", "map_grade_pct").T
+        accel, gyro, angles, still, grade = _sensors(pdf)
+        inputs, bad = mode_inputs(pdf), flags(pdf, "is_anomalous")
+        trusted = ~bad & (pdf["navigation_mode"] == "STRONG").to_numpy(bool)
+        ins, ukf, (mode, ramp, road) = slice(0, kin.INS_WIDTH), slice(kin.INS_WIDTH, kin.INS_WIDTH + kin.UKF_WIDTH), range(self.width - 3, self.width)
+        fresh = np.isnan(state[:, mode])
+        state[fresh, ins], state[np.ix_(fresh, [mode, ramp, road])] = kin.ins_start(int(fresh.sum())), 0.0
+
+        def step(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            fix = lat[at], lon[at], heading[at], speed[at]
+            kin.ins_enter(s[:, ins], *fix)
+            moved = kin.ins_step(s[:, ins], t[at], accel[at], gyro[at], angles[at], still[at], grade[at] + s[:, road])
+            now = MODE_TABLE[inputs[at], s[:, mode].astype(int)]
+            s[:, ramp] = np.where(IN_RECOVERY[now], s[:, ramp] + 1, 0)
+            weight = np.where(IN_RECOVERY[now], np.minimum(1.0, s[:, ramp] / 10), np.where(IN_DENIED[now], 0.0, np.where(bad[at], 0.5, 1.0)))
+            s[:, mode] = now
+            fused = kin.filter_step(s[:, ukf], t[at], lat[at], lon[at], speed[at], heading[at], accuracy[at], confidence[at], weight)
+            final = np.where((IN_DENIED[now] & ~np.isnan(moved[:, 0]))[:, None], moved[:, :2], fused[:, :2])
+            kin.ins_fix(s[:, ins], trusted[at], *fix)
+            s[:, road] = np.where(np.isnan(matched[at]), s[:, road], matched[at])
+            return s, np.column_stack([now, weight, moved, fused, final])
+
+        state, out = tracks.side_by_side(starts, len(pdf), state, step)
+        found = _named(FUSED, out)
+        return found | {"mode": MODE_NAMES[np.zeros(0, int) if out is None else out[:, 0].astype(int)]}, state
 
 
 def fused_types() -> dict[str, str]:
-    return {c: "string" if c == "mode" else "boolean" if c in ("zero_velocity", "drift_warning") else "double" for c in FUSED}
+    return _kinds(FUSED)
+
+
+def ins_types() -> dict[str, str]:
+    return _kinds(kin.INS_FIELDS)
+
+
+def fusion_pipeline(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx", block_rows: int | None = None) -> DataFrame:
+    """Adds ``FUSED``: needs the columns of ``ins_track`` and ``track_filter``, is_anomalous and navigation_mode. grade_pct is the road's
+    grade in a row; map_grade_pct, that of a map match in the row, counts from the next row on (the last one known).
+
+    From the first position on, final_lat and final_lon are there in every row, whatever is missing in it; before, they are null."""
+    return tracks.fold(df, FusionFold(on), track, on, row, fused_types(), block_rows)
+
+
+class Throttle(tracks.Scan):
+    """A block's effect: for each row that can be the first one kept (those up to ``min_gap`` after its first row, and the next), its time
+    and that of the last one then kept, found by pointers from each row to the next one kept after it, doubled until they end."""
+
+    def __init__(self, on: str, min_gap: float):
+        self.on, self.min_gap = on, min_gap
+
+    def next_kept(self, t: np.ndarray) -> np.ndarray:
+        """Of each row the first later one at least ``min_gap`` after it, or the number of rows; times ascend."""
+        n = len(t)
+        at = np.arange(n)
+        j = np.maximum(np.searchsorted(t, t + self.min_gap), at + 1)
+        far = lambda j: t[np.minimum(j, n - 1)] - t >= self.min_gap
+        while (early := (j < n) & ~far(j)).any():  # the sum was rounded
+            j[early] += 1
+        while (late := (j - 1 > at) & far(j - 1)).any():
+            j[late] -= 1
+        return j
+
+    def entry(self, t: np.ndarray, last: float) -> int:
+        """The first row at least ``min_gap`` after ``last``."""
+        return int(np.argmax(np.append(t - last >= self.min_gap, True)))
+
+    def parts(self, pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        t = numbers(pdf, self.on)[:, 0]
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
+            yield s, t[s:e][~np.isnan(t[s:e])]  # those without a time are last
+
+    def effects(self, pdf: pd.DataFrame, starts: np.ndarray) -> list[list[float]]:
+        out = []
+        for _, t in self.parts(pdf, starts):
+            j = self.next_kept(t)
+            ends = np.where(j < len(t), j, np.arange(len(t)))
+            while (ends[ends] != ends).any():
+                ends = ends[ends]
+            k = min(len(t), self.entry(t, t[0]) + 1) if len(t) else 0
+            out.append([*t[:k].tolist(), *t[ends[:k]].tolist()])
+        return out
+
+    def after(self, state: list[float], effect: list[float]) -> list[float]:
+        first, ends = np.array(effect[: len(effect) // 2]), effect[len(effect) // 2 :]
+        k = self.entry(first, state[0] if state else -math.inf)
+        return [ends[k]] if k < len(first) else state
+
+    def fill(self, pdf: pd.DataFrame, starts: np.ndarray, states: list[list[float]]) -> pd.DataFrame:
+        keep = np.zeros(len(pdf), bool)
+        for (s, t), state in zip(self.parts(pdf, starts), states, strict=True):
+            first = self.entry(t, state[0] if state else -math.inf)
+            if first < len(t):
+                jump, reached = np.append(self.next_kept(t), len(t)), np.zeros(len(t) + 1, bool)
+                reached[first] = True
+                while not reached[jump[reached]].all():
+                    reached[jump[reached]] = True
+                    jump = jump[jump]
+                keep[s : s + len(t)] = reached[:-1]
+        return pdf[keep]
+
+
+def throttle(df: DataFrame, min_gap: float = 0.05, track: str = "track_id", on: str = "t", row: str = "row_idx", block_rows: int | None = None) -> DataFrame:
+    """Rows at least ``min_gap`` seconds after the last *kept* row of their track; rows without a time are not kept."""
+    return tracks.scan(df, Throttle(on, min_gap), track, on, row, {}, block_rows)
+
 
+class TrackFilter:
+    """``kinematics.filter_step`` of one track, one row at a time."""
 
-def fusion_pipeline(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Adds ``FUSED``: needs the columns of ``ins_track`` and ``track_filter``, is_anomalous and navigation_mode; grade_pct
-    may come from a map match before."""
+    FIELDS = kin.UKF_FIELDS
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = FusionState()
-        out = [state.step({**r, "t": r[on]}) for r in pdf.to_dict("records")]
-        return pdf.assign(**dict(zip(FUSED, zip(*out, strict=True), strict=True)))
+    def __init__(self):
+        self.state = kin.filter_start(1)
 
-    return fold_tracks(df, fold, track, on, row, **fused_types())
+    def step(self, t: float, lat: float, lon: float, speed: float, heading: float, accuracy: float, confidence: float, weight: float) -> tuple:
+        return tuple(kin.filter_step(self.state, *(np.array([v], float) for v in (t, lat, lon, speed, heading, accuracy, confidence, weight)))[0])
 
 
-def throttle(df: DataFrame, min_gap: float = 0.05, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Rows at least ``min_gap`` seconds after the last *kept* row of their track."""
+class InertialState:
+    """``kinematics.ins_step`` of one track, one row at a time."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([on, row], kind="mergesort")
-        keep, last = [], -math.inf
-        for t in pdf[on]:
-            keep.append(t - last >= min_gap)
-            last = t if keep[-1] else last
-        return pdf[np.array(keep, bool)]
-
-    return df.groupBy(track).applyInPandas(fold, df.schema)
+    FIELDS = kin.INS_FIELDS
+
+    def __init__(self):
+        self.state = kin.ins_start(1)
+
+    def fix(self, lat: float, lon: float, heading: float, speed: float) -> None:
+        kin.ins_fix(self.state, np.ones(1, bool), *(np.array([v], float) for v in (lat, lon, heading, speed)))
+
+    def step(self, t: float, accel: np.ndarray, gyro: np.ndarray, angles: np.ndarray, still: bool, grade_pct: float = 0.0) -> tuple:
+        return tuple(kin.ins_step(self.state, np.array([t], float), *(np.array([v], float) for v in (accel, gyro, angles)), np.array([bool(still)]), np.array([grade_pct], float))[0])
 
 
 def sensor_states(df: DataFrame, accuracy: str = "accuracy", satellites: str = "satellites") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import features, fusion, isolation, matching, metrics, models, sync
+from ..sources.scratch import scratch_path
 from ..streaming import state
 from . import views
 from .book import Book
@@ -58,11 +59,7 @@ def learned_rerank(spark, d):
 @book.add()
 def fusion_stream(spark, d):
     """The fusion cycle as a stream over the events' file, collected as a table in the shared folder."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="odotrail-")
-    out = f"{root.rstrip('/')}/odotrail/stream-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "stream")
     table = states(spark, d)
     source = f"{out}/in"
     table.write.parquet(source)

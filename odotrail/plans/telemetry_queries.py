@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, headers, scalar
-from ..operators import features, fusion, labels, metrics, preparation, sync
+from ..operators import features, fusion, kinematics, labels, metrics, online, preparation, sync
 from . import views
 from .book import Book, r
 
@@ -362,12 +362,12 @@ def orientation_track(spark, d):
 
 @book.add()
 def ins_track(spark, d):
-    return fusion.ins_track(states(spark, d)).select("track_id", "row_idx", *fusion.InertialState.FIELDS)
+    return fusion.ins_track(states(spark, d)).select("track_id", "row_idx", *kinematics.INS_FIELDS)
 
 
 @book.add()
 def track_filter(spark, d):
-    return fusion.track_filter(states(spark, d).withColumn("gnss_weight", F.lit(1.0))).select("track_id", "row_idx", *fusion.TrackFilter.FIELDS)
+    return fusion.track_filter(states(spark, d).withColumn("gnss_weight", F.lit(1.0))).select("track_id", "row_idx", *kinematics.UKF_FIELDS)
 
 
 @book.add()

@@ -1,121 +1,244 @@
 """Streaming operators: state kept per track, and the watermarked synchronisation of two streams.
 
-Each batch's rows of a track are put in event-time order before they are folded. The step functions are those of
-the batch operators, so a stream and a table give the same rows.
+The operators are those of tables (``Fold`` and ``Scan`` of ``operators.tracks``), so a stream and a table give the same rows. Their state
+is a typed value of the state store; the state that a table's fold ends in can be a stream's first one.
+
+- Without ``event_time``, each batch's rows of a track are put in order and worked on as they come. ``ttl_ms`` drops the state of a track that
+  has had no rows for so long (such a query goes on looking for idle tracks, and does not end by itself).
+- With ``event_time`` (a timestamp), rows wait in a list of the state store until the watermark, ``late`` behind the newest row, has passed
+  their batch, and are then worked on in order, whatever batch they came in; rows later than that are dropped by the watermark. ``idle_ms`` after a
+  track's last row (by the watermark) its state is dropped, and its next row begins it anew.
+
+These need Spark's RocksDB state store, which is chosen where the session still has the default one.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import fusion
-from ..operators.fusion import _typed
+from ..operators import fusion, online
+from ..operators import tracks as tr
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _stateful(df: DataFrame, track: str, on: str, row: str, schema: T.StructType, fresh, step, idle_ms: int | None = None) -> DataFrame:
-    """``step(state, rows) -> (state, rows)`` per track; with ``idle_ms`` the state is dropped after that
-    time without rows (such a query never ends by itself, as it has to go on looking for idle tracks).
 
-    Structs of state are pickled: they are plain numbers and arrays of this library's own classes, written and
-    read by the same query's checkpoint.
-    """
+class Carried:
+    """A ``Fold`` with its state from batch to batch."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([on, row], kind="mergesort")
-        held = pickle.loads(state.get[0]) if state.exists else fresh()
-        held, out = step(held, rows)
-        state.update((pickle.dumps(held),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield out[[f.name for f in schema]]
+    state = "state array<double>"
 
-    return df.groupBy(track).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    def __init__(self, op: tr.Fold):
+        self.op = op
 
+    def run(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        before = np.full((1, self.op.width), np.nan) if held is None else np.array([held[0]], float)
+        found, after = self.op.run(pdf, np.zeros(1, np.int64), before)
+        return pdf.assign(**found), (after[0].tolist(),)
 
-def mode_fsm_stream(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Adds mode and gnss_weight."""
 
-    def step(held: tuple, rows: pd.DataFrame):
-        mode, count, ramp = held
-        modes, weights = [], []
-        for c, a, m in zip(rows["confidence"], rows["is_anomalous"], rows["navigation_mode"], strict=True):
-            mode, count = fusion.next_mode(mode, count, c, a, m)
-            ramp = ramp + 1 if mode == fusion.RECOVERY else 0
-            modes.append(mode)
-            weights.append(min(1.0, ramp / 10) if mode == fusion.RECOVERY else 0.0 if mode == fusion.DENIED else 0.5 if a else 1.0)
-        return (mode, count, ramp), rows.assign(mode=modes, gnss_weight=weights)
+class CarriedScan:
+    """A ``Scan`` with its state from batch to batch."""
 
-    return _stateful(df, track, on, row, _typed(df, mode="string", gnss_weight="double"), lambda: (fusion.DOMINANT, 0, 0), step)
+    state = "state array<double>"
 
+    def __init__(self, op: tr.Scan):
+        self.op = op
 
-def sticky_match_stream(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """Rows with road_segment_id, matched_latitude, matched_longitude, map_confidence (null without a match), lat and lon:
-    without a match the last one's with confidence 0.3, or the own position with confidence 0. Adds source."""
+    def run(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        before, start = [] if held is None else list(held[0]), np.zeros(1, np.int64)
+        return self.op.fill(pdf, start, [before]), ([float(v) for v in self.op.after(before, self.op.effects(pdf, start)[0])],)
 
-    def step(last, rows: pd.DataFrame):
-        out = []
-        for r in rows.to_dict("records"):
-            if r["road_segment_id"] is not None and r["road_segment_id"] == r["road_segment_id"]:
-                last = (r["road_segment_id"], r["matched_latitude"], r["matched_longitude"])
-                out.append({**r, "source": "match"})
-            else:
-                s, a, b = last or ("", r["lat"], r["lon"])
-                out.append({**r, "road_segment_id": s, "matched_latitude": a, "matched_longitude": b, "map_confidence": 0.3 if last else 0.0, "source": "last" if last else "query"})
-        return last, pd.DataFrame(out)
 
-    return _stateful(df, track, on, row, _typed(df, source="string"), lambda: None, step)
+class Sticky:
+    """The last match of a track stands in where there is none."""
+
+    state = "segment string, lat double, lon double"
+
+    def run(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        own = pdf["road_segment_id"].notna()
+        match = pdf[["road_segment_id", "matched_latitude", "matched_longitude"]]
+        last = match.where(own).ffill()
+        known = own.cumsum() > 0
+        if held is not None:
+            last.loc[~known] = list(held)
+            known[:] = True
+        out = pdf.assign(source=np.where(own, "match", np.where(known, "last", "query")))
+        out["road_segment_id"] = last["road_segment_id"].where(known, "")
+        out["matched_latitude"] = last["matched_latitude"].astype(float).where(known, pdf["lat"])
+        out["matched_longitude"] = last["matched_longitude"].astype(float).where(known, pdf["lon"])
+        out["map_confidence"] = pdf["map_confidence"].where(own, np.where(known, 0.3, 0.0))
+        end = last.iloc[-1]
+        return out, (str(end.iloc[0]), float(end.iloc[1]), float(end.iloc[2])) if known.iloc[-1] else None
+
+
+class Windows:
+    """Windows of online features, from the last 2 n rows of a track."""
+
+    def __init__(self, names: list[str], n: int):
+        self.names, self.n = names, n
+        self.state = "first double, rows array<array<double>>"
+
+    def run(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        new = tr.numbers(pdf, *self.names)
+        old = np.zeros((0, len(self.names))) if held is None else np.array(held[1], float).reshape(-1, len(self.names))
+        rows = np.concatenate([old, new])
+        first = float(rows[0, 0]) if held is None else held[0]
+        found = online.windows(rows, first, self.n, len(old), len(old) < 2 * self.n)
+        keep = np.array([w is not None for w in found], bool)
+        out = pdf[keep].assign(window=[w for w in found if w is not None])
+        return out, (first, rows[-2 * self.n :].tolist())
 
 
-def throttle_stream(df: DataFrame, min_gap: float = 0.05, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    def step(last: float, rows: pd.DataFrame):
-        keep = []
-        for t in rows[on]:
-            keep.append(t - last >= min_gap)
-            last = t if keep[-1] else last
-        return last, rows[keep]
+class TrackProcessor(StatefulProcessor):
+    """One track's rows, put in order and given to ``op``."""
 
-    return _stateful(df, track, on, row, df.schema, lambda: -math.inf, step)
+    def __init__(self, op, waiting: T.StructType, wanted: list[str], on: str, row: str, event_time: str | None, idle_ms: int | None, ttl_ms: int | None):
+        self.op, self.schema, self.wanted, self.on, self.row = op, waiting, wanted, on, row
+        self.event_time, self.idle_ms, self.ttl_ms = event_time, idle_ms, ttl_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.op.state, self.ttl_ms)
+        if self.event_time:
+            self.waiting = handle.getListState("waiting", self.schema)
+            self.last = handle.getValueState("last", "ms long")
 
-def online_features(df: DataFrame, columns: list[str], n: int = 30, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """From the 2n - 1 last states of a track: window (the last n steps of each column and its rolling mean, deviation,
-    least, greatest and range over n states), for rows with that many states before."""
-    need = 2 * n - 1
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for state in initialState["state"]:
+            self.held.update((list(state),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        if not self.event_time:
+            yield from self._work(new)
+            return
+        now = timerValues.getCurrentWatermarkInMs()
+        new = new[new[self.event_time].map(lambda v: pd.isna(v) or now <= 0 or _ms(v) > now).to_numpy(bool)]  # what is older may have been passed
+        if not len(new):
+            return
+        self.waiting.appendList(_plain(new))
+        newest = new[self.event_time].max()
+        if pd.notna(newest):
+            self.handle.registerTimer(_ms(newest))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=[f.name for f in self.schema])
+        due = held[self.event_time].map(lambda v: pd.isna(v) or _ms(v) <= now).to_numpy(bool) if len(held) else np.zeros(0, bool)
+        if due.any():
+            rest = held[~due]
+            if len(rest):
+                self.waiting.put(_plain(rest))
+            else:
+                self.waiting.clear()
+            newest = held[due][self.event_time].max()
+            if pd.notna(newest):
+                self.last.update((_ms(newest),))
+                if self.idle_ms is not None:
+                    self.handle.registerTimer(_ms(newest) + self.idle_ms)
+            yield from self._work(held[due])
+        elif not len(held) and self.idle_ms is not None and self.last.exists() and self.last.get()[0] + self.idle_ms <= now:
+            self.held.clear()
+            self.last.clear()
+
+    def _work(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows, _ = tr.in_order(rows.assign(__one=0), ("__one", self.on, self.row))
+        out, state = self.op.run(rows, self.held.get() if self.held.exists() else None)
+        if state is not None:
+            self.held.update(state)
+        if len(out):
+            yield out[self.wanted]
+
+
+def _ms(v) -> int:
+    """Milliseconds of a timestamp, rounded up."""
+    return -(-pd.Timestamp(v).value // 1_000_000)
+
+
+def _plain(pdf: pd.DataFrame) -> list[tuple]:
+    """Rows as Python's own values."""
+    columns = []
+    for c in pdf.columns:
+        values = pdf[c].tolist()  # numpy's numbers become Python's
+        columns.append([None if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.tolist() if isinstance(v, np.ndarray) else v for v in values])
+    return list(zip(*columns, strict=True))
+
+
+def stateful(df: DataFrame, op, schema: T.StructType, track: str, on: str, row: str, event_time: str | None = None, late: str = "10 seconds", idle_ms: int | None = None, ttl_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """``op`` (as ``Carried``) over each track of a stream. ``initial``: (track, state), the state that tracks begin with; see ``operators.tracks.end_states``."""
+    conf = df.sparkSession.conf
+    if "RocksDB" not in (conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):
+        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    if event_time:
+        df = df.withWatermark(event_time, late)
+    processor = TrackProcessor(op, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]), [f.name for f in schema], on, row, event_time, idle_ms, ttl_ms)
+    mode = "EventTime" if event_time else "ProcessingTime" if ttl_ms else "None"
+    first = None if initial is None else initial.groupBy(track)
+    return df.groupBy(track).transformWithStateInPandas(processor, schema, "Append", mode, initialState=first)
+
+
+class ModeFold(tr.Fold):
+    """The mode machine and the weight that comes of it; state: mode, steps of recovery."""
+
+    width = 2
+
+    def run(self, pdf: pd.DataFrame, starts: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        inputs, bad = fusion.mode_inputs(pdf), tr.flags(pdf, "is_anomalous")
+        state = np.nan_to_num(state)
+
+        def step(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            now = fusion.MODE_TABLE[inputs[at], s[:, 0].astype(int)]
+            ramp = np.where(fusion.IN_RECOVERY[now], s[:, 1] + 1, 0)
+            weight = np.where(fusion.IN_RECOVERY[now], np.minimum(1.0, ramp / 10), np.where(fusion.IN_DENIED[now], 0.0, np.where(bad[at], 0.5, 1.0)))
+            return np.column_stack([now, ramp]), np.column_stack([now, weight])
+
+        state, out = tr.side_by_side(starts, len(pdf), state, step)
+        return {"mode": fusion.MODE_NAMES[out[:, 0].astype(int)], "gnss_weight": out[:, 1]}, state
+
+
+def mode_fsm_stream(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx", **options) -> DataFrame:
+    """Adds mode and gnss_weight. ``options``: those of ``stateful``."""
+    return stateful(df, Carried(ModeFold()), tr.typed(df, mode="string", gnss_weight="double"), track, on, row, **options)
+
+
+def sticky_match_stream(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx", **options) -> DataFrame:
+    """Rows with road_segment_id, matched_latitude, matched_longitude, map_confidence (null without a match), lat and lon:
+    without a match the last one's with confidence 0.3, or the own position with confidence 0. Adds source."""
+    return stateful(df, Sticky(), tr.typed(df, source="string"), track, on, row, **options)
+
+
+def throttle_stream(df: DataFrame, min_gap: float = 0.05, track: str = "track_id", on: str = "t", row: str = "row_idx", **options) -> DataFrame:
+    """Rows at least ``min_gap`` seconds after the last kept one of their track."""
+    return stateful(df, CarriedScan(fusion.Throttle(on, min_gap)), df.schema, track, on, row, **options)
+
+
+def online_features(df: DataFrame, n: int = 30, track: str = "track_id", on: str = "t", row: str = "row_idx", **options) -> DataFrame:
+    """track, time, row and window: the model's input at each row with 2 n - 2 rows before it, as ``operators.online.online_windows`` of a table."""
     schema = T.StructType([df.schema[track], df.schema[on], df.schema[row], T.StructField("window", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    return stateful(df, Windows([on, *online.SENSORS], n), schema, track, on, row, **options)
 
-    def step(held: list, rows: pd.DataFrame):
-        out = []
-        for key, t, i, *xs in zip(rows[track], rows[on], rows[row], *[rows[c].astype(float) for c in columns], strict=True):
-            held = [*held, xs][-need:]
-            if len(held) == need:
-                x = pd.DataFrame(held)
-                r = x.rolling(n, min_periods=1)
-                wide = pd.concat([x, r.mean(), r.std(ddof=0), r.min(), r.max(), r.max() - r.min()], axis=1).iloc[-n:]
-                out.append((key, t, i, [[None if v != v else float(v) for v in line] for line in wide.to_numpy()]))
-        return held, pd.DataFrame(out, columns=[track, on, row, "window"])
 
-    return _stateful(df, track, on, row, schema, list, step)
+def orientation_stream(df: DataFrame, gyro: tuple[str, str, str] = ("gx", "gy", "gz"), euler: tuple[str, str, str] = ("yaw", "pitch", "roll"), accel: tuple[str, str, str] | None = None, track: str = "track_id", on: str = "t", row: str = "row_idx", **options) -> DataFrame:
+    """Adds track_yaw, track_pitch and track_roll."""
+    return stateful(df, Carried(fusion.OrientationFold(on, gyro, euler, accel)), tr.typed(df, track_yaw="double", track_pitch="double", track_roll="double"), track, on, row, **options)
 
 
-def fusion_stream(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
-    """The whole cycle (``fusion.FUSED``); a map match joined before gives grade_pct."""
+def ins_stream(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx", **options) -> DataFrame:
+    """Adds the inertial track, as ``fusion.ins_track``."""
+    return stateful(df, Carried(fusion.InsFold(on)), tr.typed(df, **fusion.ins_types()), track, on, row, **options)
 
-    def step(state: fusion.FusionState, rows: pd.DataFrame):
-        out = [state.step({**r, "t": r[on]}) for r in rows.to_dict("records")]
-        return state, rows.assign(**dict(zip(fusion.FUSED, zip(*out, strict=True), strict=True)))
 
-    return _stateful(df, track, on, row, _typed(df, **fusion.fused_types()), fusion.FusionState, step)
+def fusion_stream(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx", **options) -> DataFrame:
+    """The whole cycle (``fusion.FUSED``), as ``fusion.fusion_pipeline``; a map match joined before gives map_grade_pct."""
+    return stateful(df, Carried(fusion.FusionFold(on)), tr.typed(df, **fusion.fused_types()), track, on, row, **options)
 
 
 def watermarked_sync_stream(s: DataFrame, v: DataFrame, tolerance: str = "50 milliseconds", late: str = "10 seconds", by: str = "sequence_id", ts: str = "ts", row: str = "row_idx") -> DataFrame:
@@ -142,4 +265,3 @@ def to_json_lines(df: DataFrame) -> DataFrame:
 
 def from_json_lines(df: DataFrame, schema: str) -> DataFrame:
     return df.select(F.from_json("value", schema).alias("v")).select("v.*")
-
