@@ -9,7 +9,7 @@ bytes.
 Both hold for patterns that end in ``\\s+(?!\\S)|\\s+`` and else match at most one white space, a leading one.
 
 Cases: a null text counts as empty and has no ids, and counts as decoded rightly. A text without a safe boundary
-is encoded whole. Repeated rows and null ids give one row each; an empty table gives an empty result. Columns not
+is encoded whole. Texts that are not valid UTF-8 count as Spark's ``make_valid_utf8`` gives them. Repeated rows and null ids give one row each; an empty table gives an empty result. Columns not
 in ``keep`` are ignored, whatever their names.
 """
 
@@ -23,6 +23,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Longer texts (in characters) are cut at safe boundaries, into pieces of about this size.
 PIECE_CHARS = 1 << 15
@@ -76,7 +77,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
     """One row per row of ``docs``: id, the columns in ``keep``, n_tokens, ids_sha256 (of the decimal ids joined
     by commas), decoded_sha256 (of the decoded bytes), round_trip (the decoded bytes are the text's) and, with
     ``keep_ids``, the ids themselves."""
-    source = docs.select(id_col, *keep, text_col)
+    source = docs.select(id_col, *keep, F.make_valid_utf8(F.col(text_col)).alias("__text"))
     head = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     schema = f"{head}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
 

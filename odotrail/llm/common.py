@@ -242,12 +242,30 @@ def words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = IS_SPACE) ->
     return start, end, np.searchsorted(start, bounds)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+#: Low bytes of a 64-bit number that are kept for 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A keyed 64-bit hash of each word's bytes: the sum of its scrambled groups of 8 bytes, each under a key of its place. (No polynomial: those
+    modulo 2**64 are equal for certain words whatever the base.) Words of at most 8 bytes and equal length never share one."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    h = PolyHash(BYTE_VALUES[data]).slices(start, end)
-    return mix64(h ^ ((end - start).astype(np.uint64) << np.uint64(1)))
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # the 8 bytes from each byte on
+    size = end - start
+    groups = np.maximum(1, -(-size // 8))
+    with np.errstate(over="ignore"):
+        if groups.max() == 1:
+            at, left, place = start, size, np.zeros(1, np.uint64)
+        else:
+            number = np.arange(int(groups.sum())) - np.repeat(np.cumsum(groups) - groups, groups)
+            at, left = np.repeat(start, groups) + 8 * number, np.minimum(np.repeat(size, groups) - 8 * number, 8)
+            place = number.astype(np.uint64)
+        first = np.uint64(key) ^ np.uint64(BASE)
+        mixed = mix64((eight[at] & _LOW[left]) ^ mix64(place * np.uint64(SECOND_BASE) + first))
+        h = mixed if len(mixed) == len(start) else np.add.reduceat(mixed, np.cumsum(groups) - groups)
+        return mix64(h ^ mix64(size.astype(np.uint64) + first))
 
 
 def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -15,7 +15,8 @@ matches of several blocks have to be put beside their documents again.
 
 Cases: null and empty texts match nothing, nor do items that are null or hold no letter or digit. Repeated documents are
 each reported, repeated items (of equal id and text) once; items of equal text but other ids each; null ids as others. An
-id with several texts is several items. Very long texts are matched whole. Empty tables give empty results. Columns not in
+id with several texts is several items. Very long texts are matched whole. In texts that are not valid UTF-8, what is
+wrong counts as a blank. Empty tables give empty results. Columns not in
 ``keep`` are ignored, whatever their names.
 """
 
@@ -42,7 +43,7 @@ _OTHER = re.compile(r"[\W_]+")
 def normalize(text: bytes) -> str:
     """The normalised bytes, one character each."""
     if not text.isascii():
-        return _OTHER.sub(" ", text.decode().lower()).strip().encode().decode("latin-1")
+        return _OTHER.sub(" ", text.decode(errors="replace").lower()).strip().encode().decode("latin-1")
     return b" ".join(text.translate(_NORMAL).split()).decode("latin-1")
 
 
@@ -126,7 +127,7 @@ class ItemIndex:
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
     """The distinct items, normalised, in blocks."""
-    items = benchmark.filter(F.col(item_text).isNotNull()).select(item_id, item_text).distinct()
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(item_id, F.make_valid_utf8(F.col(item_text))).distinct()
     block, size = [], 0
     for i, text in items.toLocalIterator():
         text = normalize(text.encode())

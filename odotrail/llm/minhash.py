@@ -1,12 +1,13 @@
 """MinHash near-duplicate detection with circulant signatures and exact verification.
 
-1. Every text becomes its set of distinct word shingles. Texts with equal sets are one node (named by a
-   128-bit digest of the set), so copies are never compared.
+1. Every text becomes its set of distinct word shingles, told by keyed hashes. Texts with equal sets are one node (named by a
+   128-bit digest of the set's hashes, of 64 bits, and of the sum of second ones under another key), so copies are never compared. The keys are drawn anew for
+   each run, so no text can be made to collide.
 2. Circulant MinHash: one permutation scatters the shingles over ``UNIVERSE`` places, a second one, shifted
    by 0, 1, 2, ... places, gives all signature coordinates. (Li and Li, "C-MinHash", 2022.) ``bands`` bands
    of ``rows`` coordinates each name the buckets of a node.
-3. Every node of a bucket is compared with the bucket's smallest node, on full sets; connected components of these
-   links are formed in Spark.
+3. Every node of a bucket is compared with the bucket's smallest node, on full sets of the words themselves; connected
+   components of these links are formed in Spark.
 4. A bucket whose nodes are now in one component has nothing left to say, and one of two nodes is done. All other
    buckets are verified whole, those with equal members once: a prefix filter, which loses no pair at the threshold,
    and a union-find that starts from the components yield the links that join them.
@@ -24,13 +25,14 @@ Cases: texts without words (and null texts) have an empty set, are linked with n
 fewer words than a shingle has its whole sequence as its only one. Rows with null id join groups but never
 name them (a component of null ids alone has a null name). Repeated rows share a node; all rows that have a component's
 smallest id are kept. Very long texts are groups of their own, compared whole. An empty table gives no rows. Columns other
-than id and text are ignored, whatever their names.
+than id and text are ignored, whatever their names. Texts are read as bytes, valid UTF-8 or not.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, PolyHash, blocks, materialize, mix64, utf8, word_hashes, words
+from .common import ASCII_LOWER, BASE, SECOND_BASE, PolyHash, blocks, distinct_slices, materialize, mix64, utf8, word_hashes, words
 from .graph import connected_components, hot_limit, join_counted
 
 UNIVERSE = 1 << 18
@@ -55,20 +57,47 @@ def bands_for(percent: int, rows: int) -> int:
     return max(1, math.floor(math.log(MISS) / math.log1p(-((percent / 100) ** rows)) + 0.5)) if percent < 100 else 1
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes of all rows, sorted within each row; bounds of the rows)."""
-    data = ASCII_LOWER[data]
-    start, end, first = words(data, bounds)
+def _shingles(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, word after the last) of all shingles of rows with the words first[i]:first[i + 1]."""
     n = np.diff(first)
     count = np.where(n > 0, np.maximum(1, n - size + 1), 0)
     row = np.repeat(np.arange(len(n)), count)
     at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-    stop = np.minimum(at + size, first[row + 1])
-    h = mix64(PolyHash(word_hashes(data, start, end)).slices(at, stop) ^ (stop - at).astype(np.uint64))
+    return row, at, np.minimum(at + size, first[row + 1])
+
+
+def _distinct(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(one shingle of each value in a row, by row and value; bounds of the rows)."""
     order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    fresh = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.zeros(0, bool)
-    return h[fresh], np.searchsorted(row[fresh], np.arange(len(bounds)))
+    x, y = h[order], row[order]
+    order = order[np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))] if len(h) else order
+    return order, np.searchsorted(row[order], np.arange(rows + 1))
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int, keys: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingle hashes of all rows, sorted within each row; second hashes of the same; bounds of the rows)."""
+    data = ASCII_LOWER[data]
+    start, end, first = words(data, bounds)
+    row, at, stop = _shingles(first, size)
+    h, second = (mix64(PolyHash(word_hashes(data, start, end, key), base).slices(at, stop) ^ (stop - at).astype(np.uint64)) for key, base in zip(keys, (BASE, SECOND_BASE), strict=True))
+    order, cut = _distinct(row, h, len(bounds) - 1)
+    return h[order], second[order], cut
+
+
+def exact_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the distinct shingles of all rows, sorted within each row; bounds of the rows). Equal numbers are shingles of equal words: words are
+    numbered by their bytes, and shingles by the numbers of their words."""
+    data = ASCII_LOWER[data]
+    start, end, first = words(data, bounds)
+    _, word = distinct_slices(data, start, end)
+    row, at, stop = _shingles(first, size)
+    number = np.zeros(len(row), np.int64)
+    for k in range(size):
+        # one more word, or none (0)
+        next_word = np.where(at + k < stop, word[np.minimum(at + k, max(0, len(word) - 1))] + 1, 0) if len(word) else number
+        _, number = np.unique(number * (len(word) + 1) + next_word, return_inverse=True)
+    order, cut = _distinct(row, number, len(bounds) - 1)
+    return number[order], cut
 
 
 class Circulant:
@@ -93,14 +122,14 @@ class Circulant:
         return out
 
 
-def _sketch(shingle: int, bands: int, rows: int):
+def _sketch(shingle: int, bands: int, rows: int, word_keys: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = Circulant(bands * rows)
         salt = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(32)
         for b in batches:
             data, bounds = utf8(b.column(2))
             for i, j in blocks(bounds):
-                sets, cut = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle)
+                sets, second, cut = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle, word_keys)
                 n = np.diff(cut)
                 full = np.flatnonzero(n)
                 keys = np.zeros((len(n), bands), np.uint64)
@@ -111,7 +140,9 @@ def _sketch(shingle: int, bands: int, rows: int):
                         h = mix64(h ^ sig[:, :, k].astype(np.uint64))
                     keys[full] = h
                 raw = memoryview(sets).cast("B")
-                node = [hashlib.blake2b(raw[8 * s : 8 * e], digest_size=16).digest() if e > s else None for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                with np.errstate(over="ignore"):
+                    sums = np.diff(np.append(np.uint64(0), np.cumsum(second))[cut]).tolist()
+                node = [hashlib.blake2b(raw[8 * s : 8 * e], digest_size=16, key=x.to_bytes(8, "little")).digest() if e > s else None for s, e, x in zip(cut[:-1].tolist(), cut[1:].tolist(), sums, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(np.frombuffer(b"".join(x[:8] if x else bytes(8) for x in node), np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel()))],
                     names=["id", "text_hash", "n", "node", "short", "keys"],
@@ -190,7 +221,7 @@ def _verify_stars(shingle: int, percent: int):
         node, hub = group.column("node").to_pylist(), group.column("short").to_numpy() == group.column("label").to_numpy()
         a, b = [], []
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            tokens, at = shingle_sets(data[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], shingle)
+            tokens, at = exact_sets(data[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], shingle)
             row = np.repeat(np.arange(e - s), np.diff(at))
             for h in np.flatnonzero(hub[s:e]).tolist():
                 mine = tokens[at[h] : at[h + 1]]
@@ -215,7 +246,7 @@ def _verify_groups(shingle: int, percent: int):
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if len(set(component[s:e])) < 2:
                 continue
-            tokens, at = shingle_sets(data[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], shingle)
+            tokens, at = exact_sets(data[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], shingle)
             for i, root in enumerate(link_sets(np.split(tokens, at[1:-1]), percent, component[s:e])):
                 if component[s + root] != component[s + i]:
                     a.append(node[s + i])
@@ -252,7 +283,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     component, which tells components apart whose smallest ids are equal; null for an empty set)."""
     bands = bands or bands_for(percent, rows)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    sketch = materialize(source.mapInArrow(_sketch(shingle, bands, rows), "id long, text_hash long, n long, node binary, short long, keys array<long>"), "sketches")
+    sketch = materialize(source.mapInArrow(_sketch(shingle, bands, rows, (secrets.randbits(64), secrets.randbits(64))), "id long, text_hash long, n long, node binary, short long, keys array<long>"), "sketches")
     nodes = sketch.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "text_hash", "short", "n", "keys")).alias("r"), F.min("id").alias("first")).select("node", "r.*", "first")
     nodes = materialize(nodes, "nodes")
 
