@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,18 +21,42 @@ def average_path(n) -> float:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit words (the finalizer of SplitMix64)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def isolation_forest_fit(df: DataFrame, features: list[str], trees: int = 200, psi: int = 256, seed: int = 42, keys: tuple[str, ...] = ("sequence_id", "row_idx")) -> DataFrame:
     """One row a tree node: tree, node, feature (-1: a leaf), cut, left, right, size.
 
-    Every tree has its own sample of ``psi`` rows: the rows are cut into about as many shares as there are trees'
-    samples by a hash, and each tree takes the smallest hashes of its shares; the trees are grown in parallel.
+    Every tree has its own sample of ``psi`` rows (all, if there are fewer): each row is in each tree's draw with one small
+    probability, and a tree keeps the ``psi`` draws with the least hashes. Which trees draw a row follows from one hash of the row,
+    by skips: the trees up to the next one that draws it are geometrically distributed. The trees are grown in parallel.
     """
     total = df.count()
     psi = max(1, min(psi, total))
-    rate = min(1.0, 4.0 * psi / max(1, total))  # four times what is needed, so that no tree falls short
+    rate = min(1.0, (psi + 8 * math.sqrt(psi) + 32) / max(1, total))  # more than needed, so that no tree falls short
     vector = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
-    tree = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(*keys, t, F.lit(seed)).alias("h"))), lambda x: F.pmod(x["h"], F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))))
-    drawn = df.select(*keys, vector.alias("v")).withColumn("x", tree).select("x.tree", "x.h", "v")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, row = b.column(0).to_numpy().astype(np.uint64), np.arange(b.num_rows)
+            at, step, found = np.full(len(h), -1), 0, []
+            while len(row):
+                step += 1
+                u = (mix64(h[row] ^ mix64(np.full(len(row), step, np.uint64))) >> np.uint64(11)).astype(float) / (1 << 53)
+                skip = np.ones(len(row)) if rate >= 1 else 1 + np.floor(np.log1p(-u) / math.log1p(-rate))
+                at = at + np.minimum(skip, trees + 1).astype(np.int64)
+                row, at = row[at < trees], at[at < trees]
+                found.append((row, at))
+            row, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            order = mix64(h[row] + mix64(at.astype(np.uint64) + np.uint64(1 << 32)))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(order.view(np.int64)), b.column(1).take(pa.array(row))], names=["tree", "h", "v"])
+
+    drawn = df.select(F.xxhash64(*keys, F.lit(seed)).alias("h"), vector.alias("v")).mapInArrow(draw, "tree int, h long, v array<double>")
     kept = drawn.withColumn("n", F.row_number().over(Window.partitionBy("tree").orderBy("h"))).filter(F.col("n") <= psi)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,6 +89,37 @@ def match(points: DataFrame, edges: DataFrame, config: MatchConfig = GRAPH, poin
     return match_result(match_confidence(ranked, point, config), point, config)
 
 
+#: What ``best_match`` adds.
+BEST = ("road_segment_id", "map_confidence", "map_distance_m", "matched_latitude", "matched_longitude", "road_heading", "road_curvature", "map_grade_pct", "one_way_violation")
+
+
+def best_match(points: DataFrame, edges: DataFrame, config: MatchConfig = GRAPH, lat: str = "lat", lon: str = "lon", heading: str = "heading") -> DataFrame:
+    """Every row of ``points``, a table or a stream, with ``BEST``: the best match of ``match`` (nulls where there is none). Rows meet their cell's
+    edges as one array, so that this is one join without an aggregation. Edges need curvature_deg and slope_pct."""
+    i, j = roads.cell_of(F.col(lat), F.col(lon), config.max_distance)
+    joined = points.withColumns({"__i": i, "__j": j}).join(roads.road_cells(edges, config.max_distance).withColumnRenamed("roads", "__roads"), ["__i", "__j"], "left")
+    method = "ellipsoid" if config.preset == "graph" else "equirectangular"
+
+    def rated(e: Column) -> Column:
+        away = geo.point_to_segment_m(lat, lon, e["lat1"], e["lon1"], e["lat2"], e["lon2"], method)
+        diff = geo.angular_diff_deg(heading, e["bearing"])
+        wrong = e["one_way"] & (diff > config.one_way_limit)
+        score = away + config.heading_weight * diff - config.rank_weight * scalar.road_rank(e["road_type"], config.preset) + F.when(wrong, config.one_way_penalty).otherwise(0.0)
+        return F.struct(F.round(score, 6).alias("score"), e["segment_id"].alias("segment_id"), away.alias("away"), wrong.alias("wrong"), *[e[c].alias(c) for c in ("lat1", "lon1", "lat2", "lon2", "bearing", "curvature_deg", "slope_pct")])
+
+    found = F.array_sort(F.filter(F.transform("__roads", rated), lambda c: c["away"] <= config.max_distance))
+    found = found if config.keep is None else F.slice(found, 1, config.keep)
+    out = joined.withColumn("__found", found).withColumn("__best", F.try_element_at("__found", F.lit(1)))
+    best = F.col("__best")
+    weight = (lambda c: 1 / (1 + c["score"] - best["score"])) if config.preset == "graph" else (lambda c: F.exp(-(c["score"] - best["score"]) / 10))
+    share = 1 / F.aggregate(F.transform("__found", weight), F.lit(0.0), lambda a, x: a + x)
+    off = best["away"] > config.off_road
+    confidence = F.when(off, 0.4).otherwise(F.round(share + 1e-9, 3)) if config.preset == "graph" else F.when(off, F.least(share, F.lit(0.4))).otherwise(share)
+    at = F.struct(best["lat1"].alias("lat"), best["lon1"].alias("lon")) if config.preset == "graph" else geo.snap_to_segment(lat, lon, best["lat1"], best["lon1"], best["lat2"], best["lon2"])
+    values = (best["segment_id"], F.when(best.isNotNull(), confidence), best["away"], F.when(best.isNotNull(), at["lat"]), F.when(best.isNotNull(), at["lon"]), best["bearing"], best["curvature_deg"], best["slope_pct"], best["wrong"])
+    return out.select(*[F.col(f"`{c}`") for c in points.columns if c not in BEST], *[v.alias(n) for n, v in zip(BEST, values, strict=True)])
+
+
 def sticky_match(points: DataFrame, results: DataFrame, point: str = "point_id", track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
     """Every point's match: its own; else the track's last one with confidence 0.3 and no candidates; else its own position with confidence 0."""
     fields = [c for c in results.columns if c != point]

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalar
-from .ranks import percentiles
+from .ranks import percentiles, running_counts
 
 
 def split_counts(n: int, train: float = 0.7, validation: float = 0.15) -> tuple[int, int]:
@@ -23,9 +22,8 @@ def split_sequences(ids: DataFrame, rank_by: Column | None = None, seed: int = 4
     one = ids.select(by).distinct()
     a, b = split_counts(one.count(), train, validation)
     key = F.xxhash64(by, F.lit(seed)) if rank_by is None else rank_by
-    # the ids are one row a sequence; ordering them all is one task over that small table
-    ranked = one.withColumn("__k", key).withColumn("__r", F.row_number().over(Window.orderBy("__k", by)))
-    return ranked.select(by, F.when(F.col("__r") <= a, "train").when(F.col("__r") <= a + b, "validation").otherwise("test").alias("split"))
+    ranked = running_counts(one, [key, F.col(by)])
+    return ranked.select(by, F.when(F.col("__upto") <= a, "train").when(F.col("__upto") <= a + b, "validation").otherwise("test").alias("split"))
 
 
 def split_summary(df: DataFrame, by: str = "sequence_id") -> DataFrame:
@@ -67,4 +65,4 @@ def representative_sequences(ids: DataFrame, by: str = "sequence_id") -> DataFra
     """The first, the middle and the last sequence."""
     one = ids.select(by).distinct()
     n = one.count()
-    return one.withColumn("n", F.row_number().over(Window.orderBy(by))).filter(F.col("n").isin(1, n // 2 + 1, n)).select(by)
+    return running_counts(one, [F.col(by)]).filter(F.col("__upto").isin(1, n // 2 + 1, n)).select(by)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
+from .ranks import weighted_medians
 
 #: Name of a count: column, rule. Fixed values.
 RANGE_RULES = {
@@ -123,12 +124,12 @@ def feature_statistics(df: DataFrame, features: list[str]) -> DataFrame:
         F.min(ok).alias("min"),
         F.max(ok).alias("max"),
         (F.sum(ok * F.col("n")) / F.nullif(F.sum(good), F.lit(0))).alias("mean"),
-        F.percentile(ok, F.lit(0.5), F.when(ok.isNotNull(), F.col("n")).otherwise(0)).alias("median"),
     )
+    median = weighted_medians(values.select("feature", ok.alias("value"), "n"), "value", F.col("n"), ["feature"])
     spread = values.join(stats.select("feature", "mean", "finite"), "feature").groupBy("feature").agg(F.sqrt(F.sum(F.pow(ok - F.col("mean"), 2) * F.col("n")) / F.nullif(F.max("finite"), F.lit(0))).alias("std"))
     constant = (F.col("finite") > 0) & (F.col("distinct") <= 1)
     near = (F.col("finite") > 0) & ((F.col("dominant") >= 0.99 * F.col("finite")) | (F.col("distinct") <= F.greatest(F.lit(2), F.floor(F.col("finite") * 0.01))))
-    out = stats.join(spread, "feature").withColumns({"missing_pct": F.col("missing") * 100.0 / F.col("rows"), "is_constant": constant, "is_near_constant": near})
+    out = stats.join(spread, "feature").join(median, "feature", "left").withColumns({"missing_pct": F.col("missing") * 100.0 / F.col("rows"), "is_constant": constant, "is_near_constant": near})
     return out.withColumns({"status": scalar.feature_status("missing_pct", "infinite", "is_constant", "is_near_constant"), "cause": F.when(F.col("missing") > 0, short_missing_reason(F.col("feature"))).otherwise("None")})
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 #: Accuracy of the first pass: a bracket holds about a share of 4 / ACCURACY of its group's rows.
 ACCURACY = 10_000
 
@@ -54,3 +56,31 @@ def attach_percentiles(summary: DataFrame, exact: DataFrame, by: list[str] = ())
         return summary.join(F.broadcast(exact), F.lit(True))  # one row each
     other = exact.withColumnsRenamed({c: f"__by_{c}" for c in by})
     return summary.join(other, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], "left").drop(*[f"__by_{c}" for c in by])
+
+
+def running_counts(df: DataFrame, order: list[Column], by: list[str] = (), weight: Column | None = None) -> DataFrame:
+    """``df`` with __upto: the sum of ``weight`` (1 a row) over the rows up to this one in the order of ``order``, in all or in each group of ``by``.
+
+    Rows are dealt to partitions by ranges of their order and written with their partition's number; windows add up within partitions, and the sums of the
+    partitions before come from a table of one row a partition and group. No task orders all rows of a group. Rows should differ in ``order``."""
+    by, keys = list(by), [f"__k{i}" for i in range(len(order))]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumns({**{k: c for k, c in zip(keys, order, strict=True)}, "__w": F.lit(1) if weight is None else weight})
+    dealt = written(dealt.repartitionByRange(parts, *by, *keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*by, "__part").agg(F.sum("__w").alias("__s"))
+    before = F.sum("__s").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)) if by else F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))  # a row a partition
+    joined = dealt.join(sums, [dealt["__part"] == sums["__p"], *[F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]])
+    within = F.sum("__w").over(Window.partitionBy(*by, "__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn("__upto", F.col("__before") + within).select(*[F.col(f"`{c}`") for c in df.columns], "__upto")
+
+
+def weighted_medians(df: DataFrame, value: str, weight: Column, by: list[str]) -> DataFrame:
+    """by and median: the median of ``value``, each as often as ``weight`` says; a value may come once in a group. Groups without any are left out."""
+    counted = running_counts(df.filter(F.col(value).isNotNull()).select(*by, F.col(value), weight.cast("long").alias("__n")).filter("__n > 0"), [F.col(value)], by, F.col("__n"))
+    total = counted.groupBy(*by).agg(F.max("__upto").alias("__total")).withColumnsRenamed({c: f"__t_{c}" for c in by})
+    joined = counted.join(total, [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in by])
+    holds = lambda rank: (rank > F.col("__upto") - F.col("__n")) & (rank <= F.col("__upto"))
+    low, high = F.floor((F.col("__total") + 1) / 2), F.ceil((F.col("__total") + 1) / 2)
+    picked = joined.groupBy(*by).agg(F.max(F.when(holds(low), F.col(value))).alias("a"), F.max(F.when(holds(high), F.col(value))).alias("b"))
+    return picked.select(*by, ((F.col("a") + F.col("b")) / 2).alias("median"))

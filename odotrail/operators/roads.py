@@ -63,25 +63,48 @@ def nearby_edges(points: DataFrame, edges: DataFrame, radius_deg: float, lat: st
     return out.filter(near(lat, "lat1", "lat2") & near(lon, "lon1", "lon2")).drop("__i", "__j")
 
 
+def _narrow(lat: Column) -> Column:
+    return F.greatest(F.cos(F.least(lat, F.lit(90.0)) * geo.DEGREE), F.lit(0.01))
+
+
+def _cell(metres: float) -> float:
+    """Height of a cell in degrees: twice the distance (no degree of latitude is shorter than 110,500 metres)."""
+    return 2 * metres / 110500
+
+
+def cell_of(lat: Column, lon: Column, metres: float) -> tuple[Column, Column]:
+    """Row and column of a point's cell."""
+    size = _cell(metres)
+    i = F.floor(lat / size)
+    return i, F.floor(lon / (size / _narrow(F.abs(i * size))))
+
+
+def placed_edges(edges: DataFrame, metres: float) -> DataFrame:
+    """Edges with __i, __j: each in every cell that its box, widened by ``metres``, touches; and __reach, that distance in degrees of longitude."""
+    size, radius = _cell(metres), _cell(metres) / 2
+    reach = radius / _narrow(F.greatest(F.abs("lat1"), F.abs("lat2")))
+    rows = F.sequence(F.floor((F.least("lat1", "lat2") - radius) / size), F.floor((F.greatest("lat1", "lat2") + radius) / size))
+    placed = edges.withColumn("__reach", reach).withColumn("__i", F.explode(rows))
+    w = size / _narrow(F.abs(F.col("__i") * size))
+    return placed.withColumn("__j", F.explode(F.sequence(F.floor((F.least("lon1", "lon2") - F.col("__reach")) / w), F.floor((F.greatest("lon1", "lon2") + F.col("__reach")) / w))))
+
+
 def edges_within(points: DataFrame, edges: DataFrame, metres: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Points with every edge whose bounding box comes within ``metres`` of them (and some a little farther).
 
     As ``nearby_edges``, but degrees of longitude, which shrink towards the poles, are widened for each edge by the cosine of its
     own latitude (at least a hundredth: to 89.4 degrees), and cells by that of their row, so that a box is as wide as it is high.
     """
-    radius = metres / 110500  # no degree of latitude is shorter
-    size = 2 * radius
-    narrow = lambda x: F.greatest(F.cos(F.least(x, F.lit(90.0)) * geo.DEGREE), F.lit(0.01))
-    width = lambda i: size / narrow(F.abs(i * size))
-    reach = radius / narrow(F.greatest(F.abs("lat1"), F.abs("lat2")))
-    rows = F.sequence(F.floor((F.least("lat1", "lat2") - radius) / size), F.floor((F.greatest("lat1", "lat2") + radius) / size))
-    placed = edges.withColumn("__reach", reach).withColumn("__i", F.explode(rows))
-    w = width(F.col("__i"))
-    placed = placed.withColumn("__j", F.explode(F.sequence(F.floor((F.least("lon1", "lon2") - F.col("__reach")) / w), F.floor((F.greatest("lon1", "lon2") + F.col("__reach")) / w))))
-    i = F.floor(F.col(lat) / size)
-    out = points.withColumns({"__i": i, "__j": F.floor(F.col(lon) / width(i))}).join(placed, ["__i", "__j"])
+    i, j = cell_of(F.col(lat), F.col(lon), metres)
+    out = points.withColumns({"__i": i, "__j": j}).join(placed_edges(edges, metres), ["__i", "__j"])
     near = lambda x, a, b, r: F.col(x).between(F.least(a, b) - r, F.greatest(a, b) + r)
-    return out.filter(near(lat, "lat1", "lat2", radius) & near(lon, "lon1", "lon2", F.col("__reach"))).drop("__i", "__j", "__reach")
+    return out.filter(near(lat, "lat1", "lat2", _cell(metres) / 2) & near(lon, "lon1", "lon2", F.col("__reach"))).drop("__i", "__j", "__reach")
+
+
+def road_cells(edges: DataFrame, metres: float) -> DataFrame:
+    """__i, __j and roads: all edges of each cell of ``placed_edges`` as an array, for joins that may not multiply rows (streams). A cell's edges are
+    those within a few times ``metres``."""
+    return placed_edges(edges, metres).groupBy("__i", "__j").agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in edges.columns])).alias("roads"))
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, gates, metrics, preparation, quality, sync
+from ..operators import features, gates, metrics, preparation, quality, ranks, sync
 from . import views
 from .book import Book, r
 from .telemetry_queries import ALIGNED_SQL, SPLIT_SQL, aligned, canonical, split
@@ -266,7 +266,7 @@ g as (select 'model' as baseline, count(*) as n, avg(abs(e)) as mae, sqrt(avg(e
 select baseline, n, {r('mae')} as mae, {r('rmse')} as rmse, {r("(mae - (select mae from g where baseline = 'model')) * 100 / mae")} as improvement_pct from g""")
 def baseline_compare(spark, d):
     p = predictions(spark, d)
-    median = p.filter("split = 'train'").agg(F.median("speed").alias("train_median"))
+    median = ranks.percentiles(p.filter("split = 'train'"), F.col("speed"), {"train_median": 0.5})
     return metrics.baseline_compare(p.join(F.broadcast(median), F.lit(True)), "guess", "speed", F.col("train_median"))
 
 

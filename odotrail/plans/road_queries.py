@@ -115,6 +115,12 @@ def match_result(spark, d):
     return out.select("point_id", F.size("candidate_roads").cast("long").alias("n_candidates"), "road_segment_id", "matched_latitude", "road_heading", "road_curvature", "road_slope", "map_confidence", "one_way_violation")
 
 
+@book.add(f"{RESULT_SQL} select tel.row_idx as point_id, road_segment_id, {r('map_confidence')} as map_confidence, {r('matched_latitude')} as matched_latitude, {r('road_heading')} as road_heading, {r('road_slope')} as map_grade_pct, one_way_violation from tel left join res on res.point_id = tel.row_idx")
+def best_match(spark, d):
+    out = matching.best_match(points(spark, d), curved(spark, d))
+    return out.select("point_id", "road_segment_id", "map_confidence", "matched_latitude", "road_heading", "map_grade_pct", "one_way_violation")
+
+
 @book.add(f"""{RESULT_SQL}, o as (select tel.row_idx, sequence_id, t, road_segment_id as own, map_confidence as c, last_value(road_segment_id ignore nulls) over (partition by sequence_id order by t, tel.row_idx rows between unbounded preceding and current row) as held from tel left join res on res.point_id = tel.row_idx)
 select row_idx as point_id, coalesce(own, held, '') as road_segment_id, {r('case when own is not null then c when held is not null then 0.3 else 0 end')} as map_confidence, case when own is not null then 'match' when held is not null then 'last' else 'query' end as source from o""")
 def sticky_match(spark, d):
@@ -157,7 +163,8 @@ def neighborhood_features(spark, d):
     return out.select("node_id", *[e for h in "01" for e in ((F.col(f"dlat{h}") * 1000).alias(f"lat{h}"), (F.col(f"dlon{h}") * 1000).alias(f"lon{h}"), F.col(f"degree{h}"))])
 
 
-@book.add()
+@book.add(f"""{candidates_sql('mobile')}, nt as (select *, {_T} as along from pairs), dd as (select *, sqrt(pow(px - along * bx, 2) + pow(py - along * wy, 2)) as away from nt)
+select point_id, way_id || '_0' || case when u > v then '_rev' else '' end as segment_id, {r('lat1 + degrees(along * wy / 6371000)')} as lat, {r('lon1 + degrees(along * bx / (6371000 * cos(radians(lat1))))')} as lon from dd where away <= 30""")
 def snapped_points(spark, d):
     near = matching.match_points(points(spark, d), edges(spark, d, "mobile"), matching.MOBILE)
     return near.select("point_id", "segment_id", geo.snap_to_segment("lat", "lon", "lat1", "lon1", "lat2", "lon2").alias("s")).select("point_id", "segment_id", "s.lat", "s.lon")

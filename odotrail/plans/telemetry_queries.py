@@ -430,3 +430,29 @@ def file_headers(spark, d):
     words = [F.when(F.shiftright("p_partkey", i).bitwiseAND(F.lit(1)) == 1, w) for i, w in enumerate(_HEADERS)]
     part = spark.read.parquet(f"{d}/part.parquet")
     return part.select("p_partkey", headers.classify_by_columns(F.concat_ws(" ", *words, F.lower("p_type"))).alias("kind"))
+
+
+#: The sensor states that the online features are made of, as the view has them.
+_ONLINE = f"""{views.TEL_SQL}, o as (select sequence_id, row_idx, row_number() over {W} as step, t, sqrt(ax * ax + ay * ay + az * az) as accel, sqrt(gx * gx + gy * gy + gz * gz) as gyro, sqrt(mx * mx + my * my + mz * mz) as field, speed / 3.6 * 3.6 as kmh, gz, t - lag(t) over {W} as gap from tel),
+c as (select *, case when gap > 0 then gap else 0.1 end as dt, case when step = 1 then 0 else accel - lag(accel) over {W} end as accel_change, case when step = 1 then 0 else gz - lag(gz) over {W} end as yaw_change, t - first_value(t) over {W} as elapsed,
+  avg(kmh) over f as kmh_mean, stddev_pop(gyro) over f as gyro_std, min(field) over f as field_min, max(accel) over f - min(accel) over f as accel_range from o window f as (partition by sequence_id order by t, row_idx rows between 29 preceding and current row))"""
+
+
+def online_states(spark, d):
+    return views.tel(spark, d).withColumns({"speed": F.col("speed") / 3.6, "heading": F.col("yaw")})
+
+
+@book.add(f"""{_ONLINE} select sequence_id, row_idx, step, {r('dt')} as delta_time, {r('elapsed')} as elapsed_time, {r('accel')} as accel_magnitude, {r('field')} as mag_magnitude, {r('9.8066::double')} as gravity_magnitude, {r('accel_change')} as accel_change, {r('accel_change / dt')} as accel_change_rate, {r('yaw_change')} as yaw_change,
+{r('kmh_mean')} as gps_speed_rolling_mean, {r('gyro_std')} as gyro_magnitude_rolling_std, {r('field_min')} as mag_magnitude_rolling_min, {r('accel_range')} as accel_magnitude_rolling_range from c""")
+def online_vectors(spark, d):
+    out = online.online_vectors(online_states(spark, d), track="sequence_id")
+    names = ("delta_time", "elapsed_time", "accel_magnitude", "mag_magnitude", "gravity_magnitude", "accel_change", "accel_change_rate", "yaw_change", "gps_speed_rolling_mean", "gyro_magnitude_rolling_std", "mag_magnitude_rolling_min", "accel_magnitude_rolling_range")
+    return out.select("sequence_id", "row_idx", F.col("step").cast("long").alias("step"), *[F.col("vector")[features.DEPLOYABLE_FEATURES.index(n)].alias(n) for n in names])
+
+
+@book.add(f"""{_ONLINE}, k as (select sequence_id, row_idx, step, lag(gyro, 29) over {W} as oldest_gyro, lag(kmh_mean, 29) over {W} as oldest_kmh_mean, field as newest_field from c)
+select sequence_id, row_idx, 30::bigint as steps, {r('oldest_gyro')} as oldest_gyro, {r('oldest_kmh_mean')} as oldest_kmh_mean, {r('newest_field')} as newest_field from k where step >= 59""")
+def online_windows(spark, d):
+    at = features.DEPLOYABLE_FEATURES.index
+    out = online.online_windows(online_states(spark, d), track="sequence_id")
+    return out.select("sequence_id", "row_idx", F.size("window").cast("long").alias("steps"), F.col("window")[0][at("gyro_magnitude")].alias("oldest_gyro"), F.col("window")[0][at("gps_speed_rolling_mean")].alias("oldest_kmh_mean"), F.col("window")[29][at("mag_magnitude")].alias("newest_field"))
