@@ -289,6 +289,7 @@ def motion_window_std(df: DataFrame, n: int = 50, x: str = "accel_magnitude", tr
 
 #: Limits of the motion states (fixed values): the library's own, and those of the phone module.
 MOTION = {"gyro_still": 0.05, "accel_still": 0.15, "std_still": 0.04, "disturbed_gyro": 1.5, "disturbed_accel": 2.5, "pothole": 5.0, "pothole_jerk": 150.0, "braking": -2.5, "turning": 0.4, "accelerating": 1.5}
+PHONE_MOTION = {"gyro_still": 0.08, "accel_still": 0.35, "std_still": 0.70, "disturbed_gyro": 4.0, "disturbed_accel": 2.5, "pothole": 5.0, "pothole_jerk": 25.0, "braking": -5.0, "turning": 0.25, "accelerating": 1.0}
 
 
 def motion_state(df: DataFrame, gyro: tuple[str, str, str] = ("gx", "gy", "gz"), vehicle_accel: str = "vehicle_ax", track: str = "track_id", on: str = "t", row: str = "row_idx", limits: dict[str, float] = MOTION) -> DataFrame:

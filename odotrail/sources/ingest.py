@@ -49,33 +49,35 @@ def inventory(files: DataFrame) -> DataFrame:
 
 
 def read_sv_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(samples, rejects): one row a sample with sequence_id, kind, row_idx and its cells by header; and what could not be
-    read, with the reason. A file is parsed by one task, line by line."""
+    """(samples, rejects): one row a sample with sequence_id, kind (by path, or by headers where the path does not tell), row_idx and its
+    cells by header; and what could not be read, with the reason. A file is parsed by one task, line by line."""
+    columns = ["path", "row_idx", "cells", "by_headers", "problem"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, raw in zip(b["path"], b["content"], strict=True):
-                out, names = [], []
+                out, names, kind = [], [], "UNKNOWN"
                 try:
                     lines = csv.reader(io.StringIO(decode_with_fallback(bytes(raw))[0]), strict=True)
                     names = headers.unique_headers(headers.clean_headers(next(lines, [])))
-                    n = 0
+                    n, kind = 0, headers.kind_of_headers(names)
                     for cells in lines:
                         if cells:
                             bad = f"{len(cells)} cells, {len(names)} headers" if len(cells) != len(names) else None
-                            out.append((path, n, dict(zip(names, cells, strict=False)), bad))
+                            out.append((path, n, dict(zip(names, cells, strict=False)), kind, bad))
                             n += 1
                         if len(out) == 5000:
-                            yield pd.DataFrame(out, columns=["path", "row_idx", "cells", "problem"])
+                            yield pd.DataFrame(out, columns=columns)
                             out = []
                 except csv.Error as e:
-                    out.append((path, -1, {}, str(e)))
+                    out.append((path, -1, {}, kind, str(e)))
                 if not names:
-                    out.append((path, -1, {}, "no header"))
-                yield pd.DataFrame(out, columns=["path", "row_idx", "cells", "problem"])
+                    out.append((path, -1, {}, kind, "no header"))
+                yield pd.DataFrame(out, columns=columns)
 
-    rows = files.mapInPandas(parse, "path string, row_idx long, cells map<string,string>, problem string")
-    kind = headers.classify_by_path(F.col("path"))
+    rows = files.mapInPandas(parse, "path string, row_idx long, cells map<string,string>, by_headers string, problem string")
+    by_path = headers.classify_by_path(F.col("path"))
+    kind = F.when(by_path == "UNKNOWN", F.col("by_headers")).otherwise(by_path)
     named = rows.select(headers.extract_sequence_id(F.col("path")).alias("sequence_id"), kind.alias("kind"), "path", "row_idx", "cells", "problem")
     return named.filter("problem is null").drop("problem"), named.filter("problem is not null").select("sequence_id", "path", "row_idx", "problem")
 

@@ -43,3 +43,13 @@ def test_sinks(spark, tmp_path):
     sinks.write_report(df.withColumn("l", F.array(F.lit(1))), str(tmp_path / "report"))
     assert '"x":null' in "".join(r.value for r in spark.read.text(str(tmp_path / "report/json")).collect())
     assert ingest.read_columns(spark, str(tmp_path / "out"), ["x", "absent"]).columns == ["x"]
+
+
+def test_kind_by_headers_where_the_path_does_not_tell(spark, tmp_path):
+    texts = {"drive1": "ACCELEROMETER X (m/s²),GYROSCOPE Yaw (rad/s),GPS SPEED (Kmh),MAGNETIC FIELD X (µT)\n1,2,3,4\n", "drive2": "Velocity (km/hr),Steering Angle,Engine Speed,Brake,Throttle,Latitude\n1,2,3,4,5,6\n", "drive3": "a,b\n1,2\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8")
+    files = ingest.scan_csv_tree(spark, str(tmp_path))
+    kinds = {r.sequence_id: r.kind for r in ingest.read_sv_tables(files)[0].collect()}
+    assert kinds == {r.sequence_id: r.kind for r in ingest.inventory(files).collect()}
+    assert sorted(kinds.values()) == ["S", "UNKNOWN", "V"]

@@ -229,3 +229,11 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], SENSORS)
     for f in (fusion.mode_fsm, fusion.ins_track, fusion.track_filter, fusion.fusion_pipeline, fusion.orientation_track, fusion.throttle, lambda d: fusion.low_pass(d, ["ax"])):
         assert f(df).collect() == []
+
+
+def test_motion_presets(spark):
+    rows = [("a", i, i * 0.1, a, g, f) for i, (a, g, f) in enumerate([(G + 0.3, 0.06, 0.0), (G, 0.0, -3.0), (G, 0.0, -6.0), (G, 0.3, 0.0), (G + 3, 2.0, 0.0), (G, 0.0, 1.2)])]
+    df = spark.createDataFrame(rows, "track_id string, row_idx int, t double, accel_magnitude double, gz double, vehicle_ax double").withColumns({"gx": F.lit(0.0), "gy": F.lit(0.0), "motion_std": F.lit(0.5)})
+    states = lambda limits: [r.motion_state for r in fusion.motion_state(df, limits=limits).orderBy("row_idx").collect()]
+    assert states(fusion.MOTION) == ["NORMAL", "BRAKING", "BRAKING", "NORMAL", "PHONE_DISTURBANCE", "NORMAL"]
+    assert states(fusion.PHONE_MOTION) == ["STATIONARY", "STATIONARY", "STATIONARY", "TURNING", "TURNING", "STATIONARY"]
