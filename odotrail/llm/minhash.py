@@ -90,12 +90,14 @@ def exact_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     data = ASCII_LOWER[data]
     start, end, first = words(data, bounds)
     _, word = distinct_slices(data, start, end)
+    del data, start, end
     row, at, stop = _shingles(first, size)
+    word = np.append(word + 1, np.zeros(size, np.int64))
     number = np.zeros(len(row), np.int64)
-    for k in range(size):
-        # one more word, or none (0)
-        next_word = np.where(at + k < stop, word[np.minimum(at + k, max(0, len(word) - 1))] + 1, 0) if len(word) else number
-        _, number = np.unique(number * (len(word) + 1) + next_word, return_inverse=True)
+    for k in range(size):  # one more word, or none (0)
+        number *= len(word)
+        number += np.where(at + k < stop, word[at + k], 0)
+        number = np.unique(number, return_inverse=True)[1]
     order, cut = _distinct(row, number, len(bounds) - 1)
     return number[order], cut
 
@@ -207,21 +209,21 @@ def _links(a: list[bytes], b: list[bytes]) -> pa.Table:
     return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _by_label(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows sorted by label and node, where labels begin, the texts' bytes and bounds)."""
+def _by_label(group: pa.Table, shingle: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows sorted by label and node, where labels begin, their exact shingle sets and bounds)."""
     group = group.sort_by([("label", "ascending"), ("node", "ascending")]).combine_chunks()
     label = group.column("label").to_numpy()
-    return group, np.append(np.flatnonzero(np.append(True, label[1:] != label[:-1])), len(label)), *utf8(group.column("text").chunk(0))
+    return group, np.append(np.flatnonzero(np.append(True, label[1:] != label[:-1])), len(label)), *exact_sets(*utf8(group.column("text").chunk(0)), shingle)
 
 
 def _verify_stars(shingle: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         """Links between the nodes of each label and the label's own node."""
-        group, cut, data, bounds = _by_label(group)
+        group, cut, sets, bounds = _by_label(group, shingle)
         node, hub = group.column("node").to_pylist(), group.column("short").to_numpy() == group.column("label").to_numpy()
         a, b = [], []
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            tokens, at = exact_sets(data[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], shingle)
+            tokens, at = sets[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s]
             row = np.repeat(np.arange(e - s), np.diff(at))
             for h in np.flatnonzero(hub[s:e]).tolist():
                 mine = tokens[at[h] : at[h + 1]]
@@ -240,13 +242,13 @@ def _verify_stars(shingle: int, percent: int):
 def _verify_groups(shingle: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         """Links that join the components of each label's nodes."""
-        group, cut, data, bounds = _by_label(group)
+        group, cut, sets, bounds = _by_label(group, shingle)
         node, component = group.column("node").to_pylist(), group.column("component").to_pylist()
         a, b = [], []
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if len(set(component[s:e])) < 2:
                 continue
-            tokens, at = exact_sets(data[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], shingle)
+            tokens, at = sets[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s]
             for i, root in enumerate(link_sets(np.split(tokens, at[1:-1]), percent, component[s:e])):
                 if component[s + root] != component[s + i]:
                     a.append(node[s + i])
