@@ -128,6 +128,35 @@ def audit_verdict(spark, d):
     return out.withColumn("infinite", F.col("infinite").cast("long"))
 
 
+#: The telemetry with infinite, missing and repeated values: each rule of the audit has something to find.
+BROKEN_SQL = f"""{views.TEL_SQL}, bt as (select sequence_id, row_idx, case when row_idx % 17 = 0 then null when sequence_id % 3 = 0 then floor(t / 86400) else t end as t, case when row_idx % 29 = 0 then 'infinity'::double else ay end as ay, null::double as gap_free,
+  case when sequence_id % 2 = 0 then 5.0::double else gx end as gx, row_idx % 13 = 0 as time_gap_flag from tel)"""
+
+
+def broken(spark, d):
+    r = F.col("row_idx")
+    t = F.when(r % 17 != 0, F.when(F.col("sequence_id") % 3 == 0, F.floor(F.col("t") / 86400).cast("double")).otherwise(F.col("t")))
+    out = views.tel(spark, d).withColumns({"t": t, "ay": F.when(r % 29 == 0, float("inf")).otherwise(F.col("ay")), "gap_free": F.lit(None).cast("double"), "gx": F.when(F.col("sequence_id") % 2 == 0, 5.0).otherwise(F.col("gx")), "time_gap_flag": r % 13 == 0})
+    return out.select("sequence_id", "row_idx", "t", "ay", "gap_free", "gx", "time_gap_flag")
+
+
+@book.add(f"""{BROKEN_SQL}, o as (select *, lag(t) over (partition by sequence_id order by row_idx) as prior from bt), dup as (select sequence_id, sum(n - 1)::bigint as repeated_rows from (select sequence_id, t, ay, gap_free, gx, time_gap_flag, count(*) as n from bt group by all) group by 1)
+select sequence_id, count(*) as rows, count(*) filter (t < prior) as steps_back, count(t) - count(distinct t) as repeated_times, count(*) filter (t is null) as missing_times, count(*) filter (time_gap_flag) as time_gaps, count(*) filter (isinf(ay)) as infinite_values, any_value(repeated_rows) as repeated_rows,
+ 1 + case when count(distinct gx) <= 1 then 1 else 0 end + case when count(distinct ay) <= 1 then 1 else 0 end as constant_features, '' as unexpected_text, false as gyro_bug, 'WARNING' as status from o join dup using (sequence_id) group by 1""")
+def sequence_audit_broken(spark, d):
+    """The audit where every rule but the gyroscope's finds something."""
+    out = quality.sequence_audit(broken(spark, d), ["ay", "gap_free", "gx"])
+    return out.select("sequence_id", "rows", "steps_back", "repeated_times", "missing_times", "time_gaps", "infinite_values", "repeated_rows", F.col("constant_features").cast("int").alias("constant_features"), "unexpected_text", "gyro_bug", "status")
+
+
+@book.add(f"""{BROKEN_SQL}, c as (select count(*) filter (isinf(ay)) as infinite, 1 + case when count(*) filter (isinf(ay)) > 0 then 1 else 0 end as failed_features from bt) select failed_features, infinite, case when failed_features > 0 or infinite > 0 then 'REQUIRES CORRECTION' else 'READY' end as verdict from c""")
+def audit_verdict_broken(spark, d):
+    """The verdict's other branch: a feature that is wholly missing, and one with infinities."""
+    tel = broken(spark, d)
+    out = quality.audit_verdict(quality.feature_statistics(tel, ["ay", "gap_free", "gx"]), quality.sequence_audit(tel, ["ay", "gap_free", "gx"]))
+    return out.select("failed_features", F.col("infinite").cast("long").alias("infinite"), "verdict")
+
+
 COLUMNS_SQL = f"{views.TEL_SQL}, c as (select distinct sequence_id, unnest([event_type, event_type || '_' || satellites]) as column_name from tel)"
 
 

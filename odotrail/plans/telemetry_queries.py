@@ -140,6 +140,30 @@ def engineered_features(spark, d):
     return out.select("sequence_id", "row_idx", "elapsed_time", "delta_time", "time_gap_flag", "accel_magnitude", "gyro_magnitude", "accel_change", "accel_change_rate", "gyro_change", "magnetic_field_change", "speed_change", "speed_change_rate", "yaw_change", "yaw_change_rate", "missing_sensor_flag", "sensor_quality_score", "accel_magnitude_rolling_mean", "accel_magnitude_rolling_std", "accel_magnitude_rolling_range", "gps_speed_rolling_min", "speed_change_rolling_max")
 
 
+#: Rolled features and their columns in ``BASE_SQL``; there is no gravity in the view, so seven of eight.
+_ROLLED = {"accel_magnitude": "am", "gyro_magnitude": "gm", "mag_magnitude": "mm", "gps_speed": "speed", "accel_change": "ac", "gyro_change": "gc", "speed_change": "sc"}
+_STATS = {"mean": "avg({0}) over " + ROLL, "std": "stddev_pop({0}) over " + ROLL, "min": "min({0}) over " + ROLL, "max": "max({0}) over " + ROLL, "range": "max({0}) over " + ROLL + " - min({0}) over " + ROLL}
+
+
+@book.add(f"{BASE_SQL} select sequence_id, row_idx, " + ", ".join(f"{r(e.format(x))} as {name}_rolling_{stat}" for name, x in _ROLLED.items() for stat, e in _STATS.items()) + " from f1")
+def rolling_features(spark, d):
+    """All rolling statistics."""
+    return features.engineer(canonical(spark, d)).select("sequence_id", "row_idx", *[f"{name}_rolling_{stat}" for name in _ROLLED for stat in _STATS])
+
+
+def _turn(x: str) -> str:
+    return f"((({x} - lag({x}) over {W} + 180) % 360 + 360) % 360 - 180)"
+
+
+@book.add(f"""{BASE_SQL}, f2 as (select *, {_turn('pitch')} as pc, {_turn('roll')} as rc, (mm - lag(mm) over {W}) / nullif(dt, 0) as mr from f1)
+select sequence_id, row_idx, {r('ax')} as accel_x, {r('gz')} as gyro_roll, {r('mm')} as mag_magnitude, {r('gr')} as gyro_change_rate, {r('mr')} as magnetic_field_change_rate, {r('pc')} as pitch_change, {r('rc')} as roll_change, {r('(pc - lag(pc) over ' + W + ') / nullif(dt, 0)')} as pitch_change_rate, {r('(rc - lag(rc) over ' + W + ') / nullif(dt, 0)')} as roll_change_rate,
+ lat between -90 and 90 and lon between -180 and 180 as gps_valid, accuracy >= 0 as gps_accuracy_valid, satellites >= 0 as satellite_count_valid, {r('speed')} as gps_speed from f2""")
+def remaining_features(spark, d):
+    """The features that ``engineered_features`` and ``rolling_features`` leave out, and some of the sources."""
+    out = features.engineer(canonical(spark, d))
+    return out.select("sequence_id", "row_idx", "accel_x", "gyro_roll", "mag_magnitude", "gyro_change_rate", "magnetic_field_change_rate", "pitch_change", "roll_change", "pitch_change_rate", "roll_change_rate", "gps_valid", "gps_accuracy_valid", "satellite_count_valid", "gps_speed")
+
+
 FEATURE_REPORT_SQL = f"""{BASE_SQL}, g as (select *, case when lag(t) over {W} is null then null else dt end as step, coalesce(dt > gap and lag(t) over {W} is not null, false) as is_gap from f1 left join lim using (sequence_id)),
 report as (select sequence_id, count(*) as rows, 3 as features, count(*) filter (ax is null) * 100.0::double / (count(*) * 3) as missing_pct, avg(step) as dt_mean, quantile_cont(step, 0.5) as dt_median, stddev_samp(step) as dt_std, min(step) as dt_min, max(step) as dt_max,
  count(*) filter (is_gap) as gaps, count(t) - count(distinct t) as repeated_times, 100.0::double as gps_valid_pct, avg((3.0::double + case when ax is null then 0 else 1 end) / 4) as quality_mean, min((3.0::double + case when ax is null then 0 else 1 end) / 4) as quality_min, max((3.0::double + case when ax is null then 0 else 1 end) / 4) as quality_max from g group by 1)"""
@@ -348,6 +372,13 @@ def motion_states(spark, d):
     return fusion.motion_state(fusion.motion_window_std(s), vehicle_accel="ax").groupBy("track_id", "motion_state").agg(F.count("*").alias("rows"))
 
 
+@book.add(f"""{MOTION_SQL} select sequence_id as track_id, row_idx, case when gm > 4.0 and off > 2.5 then 'PHONE_DISTURBANCE' when off > 5 and jerk > 25 then 'POTHOLE' when off < 0.35 and gm < 0.08 and sd < 0.7 then 'STATIONARY' when coalesce(ax, 0) < -5 then 'BRAKING' when abs(gz) > 0.25 then 'TURNING' when coalesce(ax, 0) > 1 then 'ACCELERATING' else 'NORMAL' end as motion_state from j""")
+def phone_motion(spark, d):
+    """Row by row, by the phone module's limits."""
+    s = states(spark, d).withColumn("accel_magnitude", scalar.vector_magnitude(F.coalesce("ax", F.lit(0.0)), "ay", "az"))
+    return fusion.motion_state(fusion.motion_window_std(s), vehicle_accel="ax", limits=fusion.PHONE_MOTION).select("track_id", "row_idx", "motion_state")
+
+
 @book.add(f"""{views.TEL_SQL}, v as (select *, t / {SCALE} as ts, least(coalesce(stddev_samp(ay) over (partition by sequence_id order by t, row_idx rows between 49 preceding and current row), 0) / 2.5, 1) as vib, last_value(case when accuracy < 10 and satellites <> 0 then t / {SCALE} end ignore nulls) over (partition by sequence_id order by t, row_idx rows between unbounded preceding and current row) as seen from tel)
 select sequence_id as track_id, row_idx, {r('case when seen is null then 0 else (1 - 0.45 * vib) * case when ts - seen > 60 then exp(-(ts - seen - 60) / 60) else 1 end end')} as imu_confidence from v""")
 def imu_confidence(spark, d):

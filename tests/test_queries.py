@@ -50,8 +50,28 @@ def test_equals_sql(spark, sf_dir, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
-def test_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).count() > 0
+def test_properties(spark, sf_dir, name):
+    """What no SQL can say: rows are there, once each, and hold numbers."""
+    found = registry.QUERIES[name](spark, sf_dir).collect()
+    assert found
+    numbers = [v for x in found for v in x if isinstance(v, float)]
+    assert numbers or name == "mode_fsm_fold"
+    assert all(map(math.isfinite, numbers))
+    keys = [k for k in ("track_id", "sequence_id", "row_idx") if k in found[0].__fields__]
+    if "row_idx" in keys:
+        assert len({tuple(x[k] for k in keys) for x in found}) == len(found)
+    if name.startswith(("fusion", "navigation")):
+        by = {}
+        for x in found:
+            by.setdefault(x.track_id, []).append(x)
+        for rows_of in by.values():
+            first = [x.final_lat is None for x in rows_of]
+            assert not all(first) and (name == "fusion_outage" or not any(first)) and all(x["mode"] for x in rows_of)
+            assert all((x.final_lat is None) == (x.final_lon is None) and (x.final_lat is None or -90 <= x.final_lat <= 90) for x in rows_of)
+    if name == "fusion_outage":
+        assert any(x.lat is None and x.final_lat is not None for x in found)
+    if name == "isolation_forest":
+        assert all(-0.5 <= x.drift_score <= 0.5 for x in found) and any(x.drift_detected for x in found) and not all(x.drift_detected for x in found)
 
 
 def test_entry(spark):
