@@ -6,7 +6,6 @@ string for every row. A null text counts as an empty one.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import scratch_root
+
 #: Bytes of text that one numpy step works on; a single longer text is worked on alone.
 BLOCK_BYTES = 1 << 20
 
@@ -25,18 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a temporary folder will do for a local
-    session only: on a cluster the executors' folders are not the driver's."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="odotrail-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: Tables written by ``materialize`` in this process and not yet deleted.
 _written: dict[str, SparkSession] = {}
 
