@@ -20,7 +20,7 @@ def percentiles(df: DataFrame, value: Column, wanted: dict[str, float], by: list
 def percentiles_of(df: DataFrame, wanted: dict[str, tuple[Column, float]], by: list[str] = ()) -> DataFrame:
     """by and one column a name of ``wanted`` (a value and a share of 0 to 1): the exact percentile, interpolated between neighbours.
 
-    An approximate pass brackets each percentile. A second one counts the rows below and above the brackets and the values
+    An approximate pass brackets each percentile. A second one counts the rows below and above the brackets, and the values
     within them, each value once; a window that can spill orders these. Nulls are left out; a group of nulls alone
     gives nulls, an empty table without ``by`` one row of nulls.
     """
@@ -29,14 +29,21 @@ def percentiles_of(df: DataFrame, wanted: dict[str, tuple[Column, float]], by: l
     ends = [[max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)] for p in shares]
     rough = x.groupBy(*by).agg(*[c for k, e in enumerate(ends) for c in (F.count(f"__v{k}").alias(f"__n{k}"), F.approx_percentile(f"__v{k}", e, ACCURACY).alias(f"__e{k}"))])
 
-    def place(k: int) -> Column:
-        v, e = F.col(f"__v{k}"), F.col(f"__e{k}")
-        zone = F.when(v.isNull(), 2).when(v < e[0], -1).when(v > e[1], 1).otherwise(0)
-        return F.struct(F.lit(k).alias("k"), zone.alias("zone"), F.when(zone == 0, v).alias("at"), v.alias("v"), F.col(f"__n{k}").alias("n"))
-
-    placed = attach_percentiles(x, rough, by).select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.explode(F.array(*map(place, range(len(shares))))).alias("z"))
-    groups = [f"__by{i}" for i in range(len(by))]
-    counted = placed.select(*groups, "z.*").groupBy(*groups, "k", "zone", "at").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("top"))
+    many, groups = range(len(shares)), [f"__by{i}" for i in range(len(by))]
+    v, e = (lambda k: F.col(f"__v{k}")), (lambda k: F.col(f"__e{k}"))
+    below, above = (lambda k: v(k) < e(k)[0]), (lambda k: v(k) > e(k)[1])
+    joined = attach_percentiles(x, rough, by).withColumns({f"__at{k}": F.when(~below(k) & ~above(k), v(k)) for k in many})
+    # rows outside all brackets are one group of counts; few values are within one
+    sums = [c for k in many for c in (F.count_if(below(k)).alias(f"__b{k}"), F.max(F.when(below(k), v(k))).alias(f"__top{k}"), F.count_if(above(k)).alias(f"__a{k}"), F.min(F.when(above(k), v(k))).alias(f"__low{k}"), F.max(f"__n{k}").alias(f"__n{k}"))]
+    counted = joined.groupBy(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], *[f"__at{k}" for k in many]).agg(F.count("*").alias("__c"), *sums)
+
+    def zones(k: int) -> list[Column]:
+        made = lambda zone, at, c, value: F.struct(F.lit(k).alias("k"), F.lit(zone).alias("zone"), at.cast("double").alias("at"), c.alias("c"), value.cast("double").alias("v"), F.col(f"__n{k}").alias("n"))
+        at, none = F.col(f"__at{k}"), F.lit(None)
+        return [made(-1, none, F.col(f"__b{k}"), F.col(f"__top{k}")), made(0, at, F.when(at.isNotNull(), F.col("__c")).otherwise(F.lit(0)), at), made(1, none, F.col(f"__a{k}"), F.col(f"__low{k}")), made(2, none, F.lit(0).cast("long"), none)]
+
+    placed = counted.select(*groups, F.explode(F.array(*[z for k in many for z in zones(k)])).alias("z")).select(*groups, "z.*").filter("c > 0 or zone = 2")
+    counted = placed.groupBy(*groups, "k", "zone", "at").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("top"))
     upto = F.sum("c").over(Window.partitionBy(*groups, "k").orderBy("zone", "at").rowsBetween(Window.unboundedPreceding, 0))
     at = (F.col("n") - 1) * F.array(*map(F.lit, map(float, shares)))[F.col("k")]
     ranked = counted.withColumns({"upto": upto, "place": at, "value": F.when(F.col("zone") < 0, F.col("top")).otherwise(F.col("low"))})
