@@ -187,6 +187,21 @@ def missing_causes(spark, d):
     return quality.missing_causes(aligned(spark, d), ["V_lat", "yaw"])
 
 
+#: Features by name, each missing in the rows whose number its divisor divides (0: in none), so that every rule names one.
+_GAPS = {"gyro_magnitude": 5, "gyro_change_rate": 9, "delta_time": 7, "accel_change": 11, "speed": 13, "speed_rolling_mean": 17, "ay": 0, "ay_rolling_std": 19, "turn_rate": 23, "S_level": 29, "timestamp": 31, "other": 37}
+
+
+@book.add(f"""{ALIGNED_SQL}, c as (select count(*) as n, count(*) filter (v_lat is null) as u, {', '.join(f"{f'count(*) filter (row_idx % {k} = 0)' if k else '0::bigint'} as {name}" for name, k in _GAPS.items())} from aligned),
+l as (unpivot (select n, u, u as V_lat, {', '.join(_GAPS)} from c) on V_lat, {', '.join(_GAPS)} into name feature value missing)
+select feature, missing, {r('round(missing * 100.0::double / n, 4)')} as missing_pct, case when missing = 0 then 'None' when regexp_matches(feature, '^gyro_(magnitude|change)') then 'gyroscope axes' when regexp_matches(feature, '(delta_time|_change|_change_rate)$') then 'first difference'
+ when contains(feature, 'rolling') then case when (select b.missing from l b where b.feature = regexp_replace(l.feature, '_rolling_(mean|std|min|max|range)$', '')) > 0 then 'inherited from the rolled source' else 'rolling window start' end
+ when ends_with(feature, '_rate') then 'division by zero' when starts_with(feature, 'V_') and u > 0 then 'unmatched row' when regexp_matches(feature, '^[SV]_') then 'sensor or source' when feature in ('timestamp', 'elapsed_time') then 'no synchronised time' else 'to be inspected' end as cause from l""")
+def missing_causes_all(spark, d):
+    """Every rule of the causes."""
+    table = aligned(spark, d).withColumns({name: F.when(F.col("row_idx") % k != 0, 1.0) if k else F.lit(1.0) for name, k in _GAPS.items()} | {f"gyro_{a}": F.lit(0.0) for a in ("yaw", "pitch", "roll")})
+    return quality.missing_causes(table, ["V_lat", *_GAPS])
+
+
 PARAMS_SQL = f"""{SPLIT_SQL}, train as (select * from tel join split using (sequence_id) where split = 'train'), l as ({long_sql(['ax', 'ay', 'speed']).replace('from tel', 'from train')}), m as (select feature, quantile_cont(value, 0.5) as median from l group by 1),
 params as (select feature, any_value(median) as median, avg(coalesce(value, median)) as mean, stddev_pop(coalesce(value, median)) as std from l join m using (feature) group by 1)"""
 
