@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 from .ranks import percentiles
 
 
+LARGEST = np.finfo(float).max
+
+
 def average_path(n) -> float:
     """Mean path length of an unsuccessful search among n values."""
     n = np.asarray(n, float)
@@ -84,11 +87,21 @@ def isolation_forest_fit(df: DataFrame, features: list[str], trees: int = 200, p
     return kept.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, left int, right int, size int")
 
 
+def _walk(tree: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(feature, cut, left child, path length, depth) of a tree's nodes; a right child follows its left one, and a walk stays in a leaf."""
+    feature, left, size = (tree[c].to_numpy(np.int64) for c in ("feature", "left", "size"))
+    leaf, depth = feature < 0, np.zeros(len(tree), np.int64)
+    for i in np.flatnonzero(~leaf).tolist():  # parents come before their children
+        depth[left[i] : left[i] + 2] = depth[i] + 1
+    cut = np.where(leaf, np.inf, tree["cut"].to_numpy(float))
+    return np.maximum(feature, 0), cut, np.where(leaf, np.arange(len(tree)), left), depth + average_path(size), int(depth.max())
+
+
 def isolation_forest_score(df: DataFrame, forest: DataFrame, features: list[str], psi: int = 256) -> DataFrame:
     """Adds drift_score = 2 ** (-mean path / c(psi)) - 0.5; larger is more anomalous. The forest has at most
     trees * 2 * psi nodes, and is broadcast."""
     nodes = forest.orderBy("tree", "node").toPandas()
-    by_tree = [g[["feature", "cut", "left", "right", "size"]].to_numpy(float) for _, g in nodes.groupby("tree")]
+    by_tree = [_walk(g) for _, g in nodes.groupby("tree")]
     psi = max(1, min(psi, int(nodes.loc[nodes["node"] == 0, "size"].max()))) if len(nodes) else psi
     shared = df.sparkSession.sparkContext.broadcast(by_tree)
     vector = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
@@ -97,15 +110,14 @@ def isolation_forest_score(df: DataFrame, forest: DataFrame, features: list[str]
     def score(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in vectors:
             x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, len(features)))
-            path = np.zeros(len(x))
-            for t in shared.value:
-                f, cut, left, right, size = t[:, 0].astype(int), t[:, 1], t[:, 2].astype(int), t[:, 3].astype(int), t[:, 4]
-                node, depth = np.zeros(len(x), int), np.zeros(len(x))
-                while (inner := np.flatnonzero(f[node] >= 0)).size:
-                    at = node[inner]
-                    node[inner] = np.where(x[inner, f[at]] < cut[at], left[at], right[at])
-                    depth[inner] += 1
-                path += depth + average_path(size[node])
+            # missing values go right, as the largest ones do
+            x, first = np.nan_to_num(x, nan=LARGEST, posinf=LARGEST, neginf=-np.inf).ravel(), np.arange(len(x)) * x.shape[1]
+            path = np.zeros(len(first))
+            for feature, cut, left, length, depth in shared.value:
+                node = np.zeros(len(first), np.int64)
+                for _ in range(depth):
+                    node = left.take(node) + (x.take(first + feature.take(node)) >= cut.take(node))
+                path += length.take(node)
             yield pd.Series(np.power(2.0, -path / len(shared.value) / max(float(average_path(psi)), 1e-9)) - 0.5)
 
     return df.withColumn("drift_score", score(vector))

@@ -5,7 +5,8 @@ size; a task works on one piece, with all its tracks side by side. Three ways to
 
 - ``scan``: operators whose effect over a block can be put in a few numbers (a map of states, a line, entry and end times).
   The blocks' effects are computed in parallel, chained track by track, and then the rows are filled in parallel.
-- ``fold``: any other state. All tracks' first blocks run, then all second ones with the states that the first ones left, and so on.
+- ``fold``: any other state. All tracks' first blocks run, then all second ones with the states that the first ones left, and so on. The
+  rows are written by block first, so that each pass reads its own.
 - Within a task, ``cut`` parts tracks once more, so that recurrences run over all parts at once, in as many steps as a part has rows.
 
 Rows of one time are never parted: a time with very many rows makes a block of that size. Rows without a time come last. A null
@@ -204,9 +205,9 @@ def _folded(df: DataFrame, op: Fold, track: str, on: str, row: str, columns: dic
 
     if d.blocks == 1:
         return d.rows.groupBy("__piece").applyInPandas(run, schema)
-    out, state = None, None
-    for b in range(d.blocks):
-        rows = d.rows.filter(F.col("__block") == b)
+    out, state, dealt = None, None, written(d.rows.repartition("__block", "__piece"), "track-rows", "__block")
+    for b in range(d.blocks):  # each reads its own blocks alone
+        rows = dealt.filter(F.col("__block") == b)
         if state is not None:
             rows = rows.join(state, F.col(track).eqNullSafe(F.col("__track")), "left").drop("__track")
         done = written(rows.groupBy("__piece").applyInPandas(run, schema), "track-fold")

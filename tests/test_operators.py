@@ -200,6 +200,28 @@ def test_isolation_forest_finds_outlier(spark):
     assert scored[0].row_idx == 400 and -0.5 <= scored[-1].drift_score <= scored[0].drift_score <= 0.5
 
 
+def test_isolation_forest_scores_by_plain_walks(spark):
+    r = np.random.default_rng(3)
+    values = [[float(v) for v in r.normal(0, 1, 3)] for _ in range(300)]
+    for i, v in enumerate([None, float("nan"), float("inf"), float("-inf")]):
+        values[i * 7][i % 3] = v
+    df = spark.createDataFrame([("s", i, *v) for i, v in enumerate(values)], "sequence_id string, row_idx int, x double, y double, z double")
+    forest = isolation.isolation_forest_fit(df.filter("row_idx > 30"), ["x", "y", "z"], trees=20, psi=64)
+    nodes = {(n.tree, n.node): n for n in forest.collect()}
+    trees = {t for t, _ in nodes}
+
+    def path(v, t):
+        node, depth = nodes[t, 0], 0
+        while node.feature >= 0:
+            x = v[node.feature]
+            node, depth = nodes[t, node.left if x is not None and x < node.cut else node.right], depth + 1
+        return depth + float(isolation.average_path(node.size))
+
+    for row in isolation.isolation_forest_score(df, forest, ["x", "y", "z"], psi=64).collect():
+        mean = sum(path(values[row.row_idx], t) for t in trees) / len(trees)
+        assert row.drift_score == pytest.approx(2 ** (-mean / float(isolation.average_path(64))) - 0.5, abs=1e-12)
+
+
 def test_status_rule(spark):
     df = spark.createDataFrame([(0.0, 0, False, False), (2.0, 0, False, False), (100.0, 0, False, False), (0.0, 1, False, False)], "m double, i int, c boolean, n boolean")
     assert [r[0] for r in df.select(scalar.feature_status("m", "i", "c", "n")).collect()] == ["PASS", "WARNING", "FAIL", "FAIL"]
