@@ -1,9 +1,10 @@
 """Streaming operators: state kept per track, and the watermarked synchronisation of two streams.
 
 The operators are those of tables (``Fold`` and ``Scan`` of ``operators.tracks``), so a stream and a table give the same rows. Their state
-is a typed value of the state store; the state that a table's fold ends in can be a stream's first one.
+is a typed entry of the state store; the state that a table's fold ends in can be a stream's first one.
 
-- Without ``event_time``, each batch's rows of a track are put in order and worked on as they come. ``ttl_ms`` drops the state of a track that
+- Without ``event_time``, each batch's rows of a track are put in order and worked on as they come. Tracks are dealt to ``BUCKETS`` keys by hash; those of
+  a bucket run side by side, each with its own entry in the bucket's map of states. ``ttl_ms`` drops the state of a track that
   has had no rows for so long (such a query goes on looking for idle tracks, and does not end by itself).
 - With ``event_time`` (a timestamp), rows wait in a list of the state store until the watermark, ``late`` behind the newest row, has passed
   their batch, and are then worked on in order, whatever batch they came in; rows later than that are dropped by the watermark. ``idle_ms`` after a
@@ -27,42 +28,57 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators import fusion, online
 from ..operators import tracks as tr
 
+#: Keys of streams without ``event_time``; fixed, as a query's state is found by them.
+BUCKETS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Carried:
-    """A ``Fold`` with its state from batch to batch."""
+    """A ``Fold`` with its states from batch to batch. ``run``: rows in order, where each track's begin, and what was held of each (or None)."""
 
     state = "state array<double>"
 
     def __init__(self, op: tr.Fold):
         self.op = op
 
-    def run(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        before = np.full((1, self.op.width), np.nan) if held is None else np.array([held[0]], float)
-        found, after = self.op.run(pdf, np.zeros(1, np.int64), before)
-        return pdf.assign(**found), (after[0].tolist(),)
+    def run(self, pdf: pd.DataFrame, starts: np.ndarray, held: list[tuple | None]) -> tuple[pd.DataFrame, list[tuple | None]]:
+        before = np.array([np.full(self.op.width, np.nan) if h is None else h[0] for h in held], float)
+        found, after = self.op.run(pdf, starts, before)
+        return pdf.assign(**found), [(s,) for s in after.tolist()]
 
 
 class CarriedScan:
-    """A ``Scan`` with its state from batch to batch."""
+    """A ``Scan`` with its states from batch to batch."""
 
     state = "state array<double>"
 
     def __init__(self, op: tr.Scan):
         self.op = op
 
-    def run(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        before, start = [] if held is None else list(held[0]), np.zeros(1, np.int64)
-        return self.op.fill(pdf, start, [before]), ([float(v) for v in self.op.after(before, self.op.effects(pdf, start)[0])],)
+    def run(self, pdf: pd.DataFrame, starts: np.ndarray, held: list[tuple | None]) -> tuple[pd.DataFrame, list[tuple | None]]:
+        before = [[] if h is None else list(h[0]) for h in held]
+        after = [([float(v) for v in self.op.after(b, e)],) for b, e in zip(before, self.op.effects(pdf, starts), strict=True)]
+        return self.op.fill(pdf, starts, before), after
 
 
-class Sticky:
+class OneByOne:
+    """Tracks one after the other: ``one`` with a track's rows and what was held of it."""
+
+    def run(self, pdf: pd.DataFrame, starts: np.ndarray, held: list[tuple | None]) -> tuple[pd.DataFrame, list[tuple | None]]:
+        ends = [*starts[1:].tolist(), len(pdf)]
+        done = [self.one(pdf.iloc[a:b], h) for a, b, h in zip(starts.tolist(), ends, held, strict=True)]
+        return pd.concat([out for out, _ in done]), [after for _, after in done]
+
+    def one(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        raise NotImplementedError
+
+
+class Sticky(OneByOne):
     """The last match of a track stands in where there is none."""
 
     state = "segment string, lat double, lon double"
 
-    def run(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+    def one(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
         own = pdf["road_segment_id"].notna()
         match = pdf[["road_segment_id", "matched_latitude", "matched_longitude"]]
         last = match.where(own).ffill()
@@ -79,14 +95,14 @@ class Sticky:
         return out, (str(end.iloc[0]), float(end.iloc[1]), float(end.iloc[2])) if known.iloc[-1] else None
 
 
-class Windows:
+class Windows(OneByOne):
     """Windows of online features, from the last 2 n rows of a track."""
 
     def __init__(self, names: list[str], n: int):
         self.names, self.n = names, n
         self.state = "first double, rows array<array<double>>"
 
-    def run(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def one(self, pdf: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
         new = tr.numbers(pdf, *self.names)
         old = np.zeros((0, len(self.names))) if held is None else np.array(held[1], float).reshape(-1, len(self.names))
         rows = np.concatenate([old, new])
@@ -98,22 +114,22 @@ class Windows:
 
 
 class TrackProcessor(StatefulProcessor):
-    """One track's rows, put in order and given to ``op``."""
+    """The rows of a key, a bucket of tracks or a track alone, put in order and given to ``op``, all tracks side by side."""
 
-    def __init__(self, op, waiting: T.StructType, wanted: list[str], on: str, row: str, event_time: str | None, idle_ms: int | None, ttl_ms: int | None):
-        self.op, self.schema, self.wanted, self.on, self.row = op, waiting, wanted, on, row
+    def __init__(self, op, waiting: T.StructType, wanted: list[str], track: str, on: str, row: str, event_time: str | None, idle_ms: int | None, ttl_ms: int | None):
+        self.op, self.schema, self.wanted, self.track, self.on, self.row = op, waiting, wanted, track, on, row
         self.event_time, self.idle_ms, self.ttl_ms = event_time, idle_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", self.op.state, self.ttl_ms)
+        self.held = handle.getMapState("held", T.StructType([self.schema[self.track]]), self.op.state, self.ttl_ms)
         if self.event_time:
             self.waiting = handle.getListState("waiting", self.schema)
             self.last = handle.getValueState("last", "ms long")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for state in initialState["state"]:
-            self.held.update((list(state),))
+        for name, state in zip(self._names(initialState), initialState["state"], strict=True):
+            self.held.updateValue(name, (list(state),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)
@@ -150,13 +166,21 @@ class TrackProcessor(StatefulProcessor):
             self.last.clear()
 
     def _work(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows, _ = tr.in_order(rows.assign(__one=0), ("__one", self.on, self.row))
-        out, state = self.op.run(rows, self.held.get() if self.held.exists() else None)
-        if state is not None:
-            self.held.update(state)
+        rows, starts = tr.in_order(rows, (self.track, self.on, self.row))
+        names, known = self._names(rows.iloc[starts]), self.held.exists()
+        held = [self.held.getValue(n) if known and self.held.containsKey(n) else None for n in names]
+        out, states = self.op.run(rows, starts, held)
+        for name, state in zip(names, states, strict=True):
+            if state is not None:
+                self.held.updateValue(name, state)
         if len(out):
             yield out[self.wanted]
 
+    def _names(self, rows: pd.DataFrame) -> list[tuple]:
+        """Tracks as keys; whole numbers beside a null come as doubles."""
+        whole = isinstance(self.schema[self.track].dataType, T.IntegralType)
+        return [(None if pd.isna(v) else int(v) if whole else v,) for (v,) in _plain(rows[[self.track]])]
+
 
 def _ms(v) -> int:
     """Milliseconds of a timestamp, rounded up."""
@@ -179,10 +203,11 @@ def stateful(df: DataFrame, op, schema: T.StructType, track: str, on: str, row:
         conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     if event_time:
         df = df.withWatermark(event_time, late)
-    processor = TrackProcessor(op, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]), [f.name for f in schema], on, row, event_time, idle_ms, ttl_ms)
+    processor = TrackProcessor(op, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]), [f.name for f in schema], track, on, row, event_time, idle_ms, ttl_ms)
     mode = "EventTime" if event_time else "ProcessingTime" if ttl_ms else "None"
-    first = None if initial is None else initial.groupBy(track)
-    return df.groupBy(track).transformWithStateInPandas(processor, schema, "Append", mode, initialState=first)
+    bucket = F.pmod(F.xxhash64(track), F.lit(BUCKETS))
+    dealt = lambda x: x.groupBy(track) if event_time else x.withColumn("__bucket", bucket).groupBy("__bucket")
+    return dealt(df).transformWithStateInPandas(processor, schema, "Append", mode, initialState=None if initial is None else dealt(initial))
 
 
 class ModeFold(tr.Fold):

@@ -57,6 +57,31 @@ def test_filters_orientation_and_cycle_equal_tables(spark, tmp_path):
         assert got == want
 
 
+class SideBySide(state.Carried):
+    """Tells how many tracks each run had."""
+
+    def run(self, pdf, starts, held):
+        out, after = super().run(pdf, starts, held)
+        return out.assign(confidence=float(len(starts))), after
+
+
+def test_tracks_of_a_bucket_run_side_by_side(spark, tmp_path, monkeypatch):
+    """Each with its own state, a null track too."""
+    monkeypatch.setattr(state, "BUCKETS", 2)
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i % 40 or None, i // 40, i * 0.03, float(r.random()), bool(r.random() < 0.2), str(r.choice(["STRONG", "DENIED"]))) for i in range(480)], SCHEMA.replace("track_id string", "track_id long"))
+    for n in range(3):
+        df.filter(F.floor(F.col("row_idx") / 4) == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    key = ["track_id", "row_idx"]
+    got = run(spark, state.mode_fsm_stream(stream), tmp_path, "modes").orderBy(*key).collect()
+    assert [(*x[:2], x["mode"]) for x in got] == [(*x[:2], x["mode"]) for x in fusion.mode_fsm(df).orderBy(*key).collect()]
+    schema = tracks.typed(df, mode="string", gnss_weight="double")
+    counted = run(spark, state.stateful(stream, SideBySide(state.ModeFold()), schema, "track_id", "t", "row_idx"), tmp_path, "counted")
+    sizes = {x.confidence for x in counted.collect()}
+    assert len(sizes) <= 2 and sum(sizes) in (40, 20)
+
+
 def test_state_of_a_table_goes_on_in_a_stream(spark, tmp_path):
     df = spark.createDataFrame(drives(0.1, seed=22), SENSORS).drop("gnss_weight")
     half = F.col("row_idx") < 20
