@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -14,19 +16,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _summaries(windows: pa.Array, n_features: int) -> pa.Array:
+    """The summary of each window, in one go for all windows of a length."""
+    size = np.nan_to_num(windows.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
+    steps = windows.flatten()
+    values = np.append(pc.fill_null(steps.values, 0.0).to_numpy(zero_copy_only=False), 0.0)
+    if (steps.drop_null().value_lengths().to_numpy(zero_copy_only=False) < n_features).any():
+        raise ValueError(f"a window holds vectors of fewer than {n_features} values")
+    at = steps.offsets.to_numpy()[:-1, None] + np.arange(n_features)
+    x = values[np.where(steps.is_valid().to_numpy(zero_copy_only=False)[:, None], at, len(values) - 1)]
+    begin, out = np.cumsum(size) - size, np.zeros((len(size), n_features, 6))
+    for n in set(size.tolist()) - {0}:
+        rows = np.flatnonzero(size == n)
+        w = x[begin[rows][:, None] + np.arange(n)]
+        mean = w.sum(1) / n
+        std = np.sqrt(((w - mean[:, None]) ** 2).sum(1) / n)
+        out[rows] = np.stack([w[:, -1], mean, std, np.fmin.reduce(w, 1), w.max(1), (w[:, -1] - w[:, 0]) / max(n - 1, 1)], 2)
+    ends = np.append(0, np.cumsum(np.where(size > 0, n_features * 6, 0)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out[size > 0].ravel()), mask=pa.array(size == 0))
+
+
 def window_summary(window: str | Column, n_features: int) -> Column:
-    """A window (array of vectors) as one vector: the last row, and each feature's mean, deviation, least, greatest and slope. Nulls count as 0."""
-    w = F.col(window) if isinstance(window, str) else window
-    n = F.size(w)
-
-    def summary(i: int) -> list[Column]:
-        x = F.transform(w, lambda v: F.coalesce(v[i], F.lit(0.0)))
-        mean = F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / n
-        std = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, b: a + F.pow(b - mean, F.lit(2.0))) / n)
-        slope = (F.element_at(x, -1) - F.element_at(x, 1)) / F.greatest(n - 1, F.lit(1))
-        return [F.element_at(x, -1), mean, std, F.array_min(x), F.array_max(x), slope]
-
-    return F.array(*[c for i in range(n_features) for c in summary(i)])
+    """A window (array of vectors) as one vector: the last row, and each feature's mean, deviation, least, greatest and slope. Missing values count
+    as 0; a missing or empty window gives null."""
+
+    @F.arrow_udf("array<double>")
+    def summary(w: pa.Array) -> pa.Array:
+        return _summaries(w, n_features)
+
+    return summary(window)
 
 
 def window_regressor(train: DataFrame, targets: list[str], n_features: int, window: str = "window", kind: str = "linear", **options) -> dict:

@@ -1,6 +1,7 @@
 """Small cases with known results."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -336,3 +337,24 @@ def test_rules_of_features_and_folders(spark):
     assert (got["column gyro_magnitude_rolling_mean"], got["not a number accel_magnitude_rolling_mean"]) == (1, 1)
     paths = spark.createDataFrame([("/S-Dataset/x.csv",), ("/v dataset/s1.csv",), ("/d/drive_s_1.csv",), ("/d/drive_s",), ("/d/vs.csv",)], "p string")
     assert [r[0] for r in paths.select(headers.classify_by_path(F.col("p"))).collect()] == ["S", "V", "S", "UNKNOWN", "V"]
+
+
+def test_window_summaries_take_time_in_proportion_to_the_window(spark):
+    """And are right for windows of different lengths, with missing values and missing windows."""
+    from odotrail.operators import models
+
+    r = np.random.default_rng(8)
+    long = spark.range(60).select(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.array(i * 1.0, (i * 7 % 13) * 1.0)).alias("w"))
+    began = time.time()
+    got = long.select(models.window_summary("w", 2).alias("s")).distinct().collect()
+    assert time.time() - began < 30
+    i = np.arange(1, 4001)
+    want = lambda x: [x[-1], x.mean(), x.std(), x.min(), x.max(), (x[-1] - x[0]) / max(len(x) - 1, 1)]
+    assert len(got) == 1 and np.allclose(got[0].s, [*want(i * 1.0), *want(i * 7 % 13 * 1.0)])
+    windows = [[[float(v), None if v > 1 else float(v)] for v in r.normal(size=n)] for n in (1, 3, 3, 7)]
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate([*windows, None, []])], "k int, w array<array<double>>").coalesce(1)
+    found = {x.k: x.s for x in rows.select("k", models.window_summary("w", 2).alias("s")).collect()}
+    assert found[4] is None and found[5] is None
+    for k, w in enumerate(windows):
+        x = np.array([[v or 0.0 for v in step] for step in w])
+        assert np.allclose(found[k], [*want(x[:, 0]), *want(x[:, 1])])
