@@ -97,7 +97,10 @@ def best_match(points: DataFrame, edges: DataFrame, config: MatchConfig = GRAPH,
     """Every row of ``points``, a table or a stream, with ``BEST``: the best match of ``match`` (nulls where there is none). Rows meet their cell's
     edges as one array, so that this is one join without an aggregation. Edges need curvature_deg and slope_pct."""
     i, j = roads.cell_of(F.col(lat), F.col(lon), config.max_distance)
-    joined = points.withColumns({"__i": i, "__j": j}).join(roads.road_cells(edges, config.max_distance).withColumnRenamed("roads", "__roads"), ["__i", "__j"], "left")
+    celled = points.withColumns({"__i": i, "__j": j})
+    used = edges.select("segment_id", "road_type", "one_way", "lat1", "lon1", "lat2", "lon2", "bearing", "curvature_deg", "slope_pct")
+    cells = roads.road_cells(used, config.max_distance, None if points.isStreaming else celled)
+    joined = celled.join(cells.withColumnRenamed("roads", "__roads"), ["__i", "__j"], "left")
     method = "ellipsoid" if config.preset == "graph" else "equirectangular"
 
     def rated(e: Column) -> Column:

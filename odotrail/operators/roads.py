@@ -34,10 +34,9 @@ def edges_with_nodes(ways: DataFrame, nodes: DataFrame, preset: str = "graph") -
 
 def edge_curvature(edges: DataFrame) -> DataFrame:
     """Adds curvature_deg: the sharpest turn from an edge arriving at the start node (not from the end node) onto the edge; 0 without one."""
-    arriving = edges.select(F.col("v").alias("__at"), F.col("u").alias("__from"), F.col("bearing").alias("__bearing"))
-    turns = edges.select("segment_id", "u", "v", "bearing").join(arriving, (F.col("u") == F.col("__at")) & (F.col("v") != F.col("__from")))
-    sharp = turns.groupBy("segment_id").agg(F.max(geo.curvature_deg("__bearing", "bearing")).alias("curvature_deg"))
-    return edges.join(sharp, "segment_id", "left").withColumn("curvature_deg", F.coalesce("curvature_deg", F.lit(0.0)))
+    arriving = edges.groupBy(F.col("v").alias("__at")).agg(F.collect_list(F.struct(F.col("u").alias("from"), "bearing")).alias("__in"))
+    turns = F.transform(F.filter("__in", lambda e: e["from"] != F.col("v")), lambda e: geo.curvature_deg(e["bearing"], "bearing"))
+    return edges.join(arriving, F.col("u") == F.col("__at"), "left").withColumn("curvature_deg", F.coalesce(F.array_max(turns), F.lit(0.0))).drop("__at", "__in")
 
 
 def sharp_bends(edges: DataFrame, min_deg: float = 60.0) -> DataFrame:
@@ -48,6 +47,22 @@ def cells(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
     return F.floor(lat / size), F.floor(lon / size)
 
 
+#: Rows and columns of cells in a tile.
+TILE = 256
+
+
+def _tile() -> list[Column]:
+    return [F.floor(F.col(c) / TILE).alias(c.replace("__", "__tile_")) for c in ("__i", "__j")]
+
+
+def in_tiles_of(placed: DataFrame, points: DataFrame) -> DataFrame:
+    """Those of ``placed`` (edges in cells) in tiles that hold any of ``points`` (with __i and __j), before they are shuffled. A tile is some
+    kilometres wide, so that there are few, however many points there are."""
+    tiles = points.select(*_tile()).distinct().withColumnsRenamed({"__tile_i": "__a", "__tile_j": "__b"})
+    i, j = _tile()
+    return placed.join(F.broadcast(tiles), (i == F.col("__a")) & (j == F.col("__b")), "left_semi")
+
+
 def nearby_edges(points: DataFrame, edges: DataFrame, radius_deg: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Points with every edge whose bounding box comes within ``radius_deg`` of them (both coordinates).
 
@@ -58,7 +73,8 @@ def nearby_edges(points: DataFrame, edges: DataFrame, radius_deg: float, lat: st
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - radius_deg) / size), F.floor((F.greatest(a, b) + radius_deg) / size))
     placed = edges.withColumn("__i", F.explode(span("lat1", "lat2"))).withColumn("__j", F.explode(span("lon1", "lon2")))
     i, j = cells(F.col(lat), F.col(lon), size)
-    out = points.withColumns({"__i": i, "__j": j}).join(placed, ["__i", "__j"])
+    celled = points.withColumns({"__i": i, "__j": j})
+    out = celled.join(in_tiles_of(placed, celled), ["__i", "__j"])
     near = lambda x, a, b: F.col(x).between(F.least(a, b) - radius_deg, F.greatest(a, b) + radius_deg)
     return out.filter(near(lat, "lat1", "lat2") & near(lon, "lon1", "lon2")).drop("__i", "__j")
 
@@ -96,15 +112,18 @@ def edges_within(points: DataFrame, edges: DataFrame, metres: float, lat: str =
     own latitude (at least a hundredth: to 89.4 degrees), and cells by that of their row, so that a box is as wide as it is high.
     """
     i, j = cell_of(F.col(lat), F.col(lon), metres)
-    out = points.withColumns({"__i": i, "__j": j}).join(placed_edges(edges, metres), ["__i", "__j"])
+    celled = points.withColumns({"__i": i, "__j": j})
+    out = celled.join(in_tiles_of(placed_edges(edges, metres), celled), ["__i", "__j"])
     near = lambda x, a, b, r: F.col(x).between(F.least(a, b) - r, F.greatest(a, b) + r)
     return out.filter(near(lat, "lat1", "lat2", _cell(metres) / 2) & near(lon, "lon1", "lon2", F.col("__reach"))).drop("__i", "__j", "__reach")
 
 
-def road_cells(edges: DataFrame, metres: float) -> DataFrame:
+def road_cells(edges: DataFrame, metres: float, points: DataFrame | None = None) -> DataFrame:
     """__i, __j and roads: all edges of each cell of ``placed_edges`` as an array, for joins that may not multiply rows (streams). A cell's edges are
-    those within a few times ``metres``."""
-    return placed_edges(edges, metres).groupBy("__i", "__j").agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in edges.columns])).alias("roads"))
+    those within a few times ``metres``. With ``points`` (a table with __i and __j) only cells in their tiles."""
+    placed = placed_edges(edges, metres)
+    placed = placed if points is None else in_tiles_of(placed, points)
+    return placed.groupBy("__i", "__j").agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in edges.columns])).alias("roads"))
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:

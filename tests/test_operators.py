@@ -358,3 +358,25 @@ def test_window_summaries_take_time_in_proportion_to_the_window(spark):
     for k, w in enumerate(windows):
         x = np.array([[v or 0.0 for v in step] for step in w])
         assert np.allclose(found[k], [*want(x[:, 0]), *want(x[:, 1])])
+
+
+def test_only_roads_in_tiles_of_points_are_shuffled(spark):
+    """Roads far from all points fall out as they are placed, those near points are all there; the same candidates either way."""
+    nodes = spark.range(4000).select(F.col("id").cast("string").alias("node_id"), (F.lit(13.0) + F.col("id") * 0.001).alias("lat"), F.lit(77.0).alias("lon"), F.lit(1.0).alias("elevation"))
+    ways = spark.range(3999).select(F.concat(F.lit("w"), "id").alias("way_id"), F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string")).alias("nodes"), F.create_map(F.lit("highway"), F.lit("primary")).alias("tags"))
+    edges = roads.edge_curvature(roads.edges_with_nodes(ways, nodes))
+    points = spark.range(40).select(F.col("id").alias("point_id"), (F.lit(13.0005) + F.col("id") * 0.001).alias("lat"), F.lit(77.0001).alias("lon"), F.lit(0.0).alias("heading"))
+    i, j = roads.cell_of(F.col("lat"), F.col("lon"), 30.0)
+    celled, placed = points.withColumns({"__i": i, "__j": j}), roads.placed_edges(edges, 30.0)
+    kept = roads.in_tiles_of(placed, celled)
+    assert 0 < kept.count() < placed.count() / 4
+    assert roads.road_cells(edges, 30.0, celled).count() == kept.select("__i", "__j").distinct().count()
+    near = {(r.point_id, r.segment_id) for r in roads.edges_within(points, edges, 30.0).collect()}
+    assert near == {(r.point_id, r.segment_id) for r in celled.join(placed, ["__i", "__j"]).filter("lat between least(lat1, lat2) - 0.0003 and greatest(lat1, lat2) + 0.0003").collect()}
+
+
+def test_sharpest_turn_at_a_node(spark):
+    """Over all edges that arrive, except from the end node; with loops, and with edges of one name."""
+    rows = [("s1", "a", "b", 10.0), ("s2", "b", "a", 190.0), ("s3", "c", "a", 100.0), ("s4", "d", "a", 350.0), ("s5", "a", "c", 280.0), ("s6", "a", "a", 0.0), ("s7", "x", "y", 5.0)]
+    got = {r.segment_id: r.curvature_deg for r in roads.edge_curvature(spark.createDataFrame(rows, "segment_id string, u string, v string, bearing double")).collect()}
+    assert got == {"s1": 90.0, "s2": 0.0, "s3": 0.0, "s4": 0.0, "s5": 90.0, "s6": 170.0, "s7": 0.0}
