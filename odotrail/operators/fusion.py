@@ -45,10 +45,10 @@ def next_mode(mode: str, count: int, confidence: float, anomalous: bool, nav_mod
     return (DOMINANT if c > 0.8 else HYBRID), count
 
 
-def fold_tracks(df: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], track: str, on: str, row: str, **columns: str) -> DataFrame:
-    """``fold`` over each track's rows in order, one task a track; it returns the rows with the new columns."""
-    schema = typed(df, **columns)
-    return df.groupBy(track).applyInPandas(lambda pdf: fold(pdf.sort_values([on, row], kind="mergesort"))[[f.name for f in schema]], schema)
+def fold_tracks(df: DataFrame, fold: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], track: str, on: str, row: str, **columns: str) -> DataFrame:
+    """``fold`` over the rows of whole tracks, many of them a task, in order and with where each track's begin; it returns the rows with the new columns."""
+    schema, d = typed(df, **columns), tracks.deal(df, track, on, row, block_rows=2**62)  # no track is cut
+    return d.rows.groupBy("__piece").applyInPandas(lambda pdf: fold(*tracks.in_order(pdf, (track, on, row)))[[f.name for f in schema]], schema)
 
 
 #: What the mode machine can be in: a mode and, in recovery, the steps in it.
@@ -126,10 +126,11 @@ def mode_fsm(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "
 def mode_fsm_fold(df: DataFrame, track: str = "track_id", on: str = "t", row: str = "row_idx") -> DataFrame:
     """The same by a fold in Python, a row at a time: what ``mode_fsm`` is tested against."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        mode, n, out = DOMINANT, 0, []
-        for c, a, m in zip(pdf["confidence"], pdf["is_anomalous"], pdf["navigation_mode"], strict=True):
-            mode, n = next_mode(mode, n, c, a, m)
+    def fold(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        first, out = np.zeros(len(pdf), bool), []
+        first[starts] = True
+        for new, c, a, m in zip(first.tolist(), pdf["confidence"], pdf["is_anomalous"], pdf["navigation_mode"], strict=True):
+            mode, n = next_mode(*((DOMINANT, 0) if new else (mode, n)), c, a, m)
             out.append(mode)
         return pdf.assign(mode=out)
 

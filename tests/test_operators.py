@@ -380,3 +380,11 @@ def test_sharpest_turn_at_a_node(spark):
     rows = [("s1", "a", "b", 10.0), ("s2", "b", "a", 190.0), ("s3", "c", "a", 100.0), ("s4", "d", "a", 350.0), ("s5", "a", "c", 280.0), ("s6", "a", "a", 0.0), ("s7", "x", "y", 5.0)]
     got = {r.segment_id: r.curvature_deg for r in roads.edge_curvature(spark.createDataFrame(rows, "segment_id string, u string, v string, bearing double")).collect()}
     assert got == {"s1": 90.0, "s2": 0.0, "s3": 0.0, "s4": 0.0, "s5": 90.0, "s6": 170.0, "s7": 0.0}
+
+
+def test_tracks_share_tasks_in_the_plain_fold(spark):
+    """Short tracks are folded many a call, each from its own start."""
+    df = spark.range(600).select((F.col("id") % 200).alias("track_id"), (F.col("id") / 200).cast("int").alias("row_idx"), F.col("id").cast("double").alias("t"))
+    counted = fusion.fold_tracks(df, lambda pdf, starts: pdf.assign(n=len(starts), at=np.arange(len(pdf)) - np.repeat(starts, np.diff(np.append(starts, len(pdf))))), "track_id", "t", "row_idx", n="long", at="long").collect()
+    assert len(counted) == 600 and all(x.at == x.row_idx for x in counted)
+    assert len({x.n for x in counted}) <= 4 and sum({x.track_id: 1 / x.n for x in counted}.values()) <= 4.001
